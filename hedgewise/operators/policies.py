@@ -109,13 +109,15 @@ def resolve_final(
     moves neither side more than once. A second pass is skipped once the first one is high.
     """
     passes = collect_passes(reflections, keys)
-    base = assign_regime(direct, thresholds, keys)
+    # Thresholds are attached once; the three regimes of a row are then plain expressions.
+    met = join_small(direct.join(passes, [*keys, "row_id"]), thresholds, keys)
+    joined = met.withColumns(
+        {
+            "regime": regime(F.col("entropy_over_labels"), F.col("margin")),
+            **{f"regime_{p}": regime(F.col(f"entropy_over_labels_{p}"), F.col(f"margin_{p}")) for p in (1, 2)},
+        }
+    ).drop(*[c for c in thresholds.columns if c not in keys])
     kept = [*keys, "row_id", "source", "gold_label", "pred_by_probs", "correct_by_probs", "regime"]
-    joined = base.select(*kept).join(passes, [*keys, "row_id"])
-    for p in (1, 2):
-        joined = assign_regime(
-            joined, thresholds, keys, f"entropy_over_labels_{p}", f"margin_{p}", f"regime_{p}"
-        )
     gated = policy_gate(joined)
     ran_1 = F.col("triggered") & (F.col("max_passes") >= 1)
     ran_2 = ran_1 & (F.col("max_passes") >= 2) & (F.col("regime_1") != "high")

@@ -50,29 +50,15 @@ def ranking_summary(df: DataFrame, score: str, target: str, keys: list[str] | No
     return _ranking(df, keys or [], score, target)
 
 
-def _with_group_sizes(t: DataFrame, df: DataFrame, keys: list[str], score: str, target: str) -> DataFrame:
-    from hedgewise.session import join_small
-
-    sizes = (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(*keys)
-        .agg(F.sum(F.col(target).cast("bigint")).alias("n_pos"), F.sum(1 - F.col(target).cast("bigint")).alias("n_neg"))
-    )
-    if keys:
-        return join_small(t, sizes, keys, "inner")
-    whole = sizes.select(F.struct("n_pos", "n_neg").alias("_w")).scalar()
-    return t.withColumn("_w", whole).select(*t.columns, "_w.n_pos", "_w.n_neg")
-
-
 def roc_curve(df: DataFrame, score: str, target: str, keys: list[str] | None = None) -> DataFrame:
     """fpr and tpr at every distinct threshold, plus the (0, 0) start whose threshold is null."""
     keys = keys or []
-    t = _with_group_sizes(_class_totals(df, keys, score, target, True), df, keys, score, target)
+    t = _class_totals(df, keys, score, target, True)
     points = t.select(
         *keys,
         F.col(score).cast("double").alias("threshold"),
-        F.try_divide(F.col("cum_neg"), F.col("n_neg")).alias("fpr"),
-        F.try_divide(F.col("cum_pos"), F.col("n_pos")).alias("tpr"),
+        F.try_divide(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
     )
     zero = F.lit(0.0)
     start = df.filter(F.col(score).isNotNull()).select(*keys, F.lit(0).alias("_one")).groupBy(*keys).agg(
@@ -84,12 +70,12 @@ def roc_curve(df: DataFrame, score: str, target: str, keys: list[str] | None = N
 def pr_curve(df: DataFrame, score: str, target: str, keys: list[str] | None = None) -> DataFrame:
     """precision and recall at every distinct threshold, plus the final (1, 0) point."""
     keys = keys or []
-    t = _with_group_sizes(_class_totals(df, keys, score, target, True), df, keys, score, target)
+    t = _class_totals(df, keys, score, target, True)
     points = t.select(
         *keys,
         F.col(score).cast("double").alias("threshold"),
         F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
-        F.try_divide(F.col("cum_pos"), F.col("n_pos")).alias("recall"),
+        F.try_divide(F.col("cum_pos"), F.col("all_pos")).alias("recall"),
     )
     end = df.filter(F.col(score).isNotNull()).groupBy(*keys).agg(
         F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")

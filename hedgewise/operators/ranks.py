@@ -15,9 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hedgewise.session import join_small
-
-SUM = "cum_"
+SUM, ALL = "cum_", "all_"
 MAX_SPLITTERS = 1 << 15
 
 
@@ -56,7 +54,8 @@ def running_totals(
     descending: bool = False,
     collapse: bool = True,
 ) -> DataFrame:
-    """One row per (keys, value) with each sum and its inclusive running total ``cum_<sum>``.
+    """One row per (keys, value) with each sum, its inclusive running total ``cum_<sum>`` and its
+    total over the key ``all_<sum>``.
 
     Rows whose value is null are left out. ``collapse=False`` is for values that are already
     unique within their key (``sums`` then are plain per-row expressions).
@@ -85,13 +84,20 @@ def running_totals(
             "_bucket",
             F.lit(None).cast(rows.schema[value].dataType).alias(value),
             *[F.sum(n).over(before).alias(n) for n in names],
+            *[F.sum(n).over(Window.partitionBy(*keys)).alias(ALL + n) for n in names],
         )
     )
     order = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_first()
     within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.unionByName(carry)
-        .select(*keys, value, *names, *[F.sum(n).over(within).alias(SUM + n) for n in names])
+        rows.unionByName(carry, allowMissingColumns=True)
+        .select(
+            *keys,
+            value,
+            *names,
+            *[F.sum(n).over(within).alias(SUM + n) for n in names],
+            *[F.first(ALL + n).over(within).alias(ALL + n) for n in names],
+        )
         .filter(F.col(value).isNotNull())
     )
 
@@ -132,6 +138,22 @@ def row_ranks(df: DataFrame, keys: list[str], order: list[str], name: str = "ran
     )
 
 
+def _nearby(at: Column, probs: list[float]) -> Column:
+    """The percentiles that can fall on this row's positions, by arithmetic where they are evenly spaced.
+
+    Nearly every row gets an empty list, so the exact test runs on a handful of rows.
+    """
+    k = len(probs)
+    step = (probs[-1] - probs[0]) / (k - 1) if k > 1 else 1.0
+    if any(abs(probs[0] + i * step - p) > 1e-9 for i, p in enumerate(probs)):
+        return at
+    span = (F.col("all_n") - 1).cast("double")
+    index = lambda pos: (F.try_divide(pos.cast("double"), span) - probs[0]) / step
+    low = F.greatest(F.ceil(index(F.col("cum_n") - F.col("n") - 1) - 1e-6), F.lit(0)).cast("int")
+    high = F.least(F.floor(index(F.col("cum_n")) + 1e-6), F.lit(k - 1)).cast("int")
+    return F.when(span == 0, at).when(high >= low, F.slice(at, low + 1, high - low + 1))
+
+
 def percentile_rows(
     df: DataFrame, keys: list[str], value: str, probs: list[float], sums: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -142,26 +164,15 @@ def percentile_rows(
     at or below it) and ``all_<sum>``.
     Position (n-1)*p is interpolated linearly between its two neighbours.
     """
-    sums = dict(sums or {})
+    sums = {f"sum_{n}": c for n, c in (sums or {}).items()}
     extra = list(sums)
     totals = running_totals(df, keys, value, {"n": F.lit(1).cast("bigint"), **sums})
-    size = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_size"), *[F.sum(c).alias(f"all_{n}") for n, c in sums.items()]
-    )
-    if keys:
-        totals = join_small(totals, size, keys, "inner")
-    else:
-        whole = size.select(F.struct(*size.columns).alias("_whole")).scalar()
-        totals = totals.withColumn("_whole", whole).select(
-            *totals.columns, *[F.col("_whole")[c].alias(c) for c in size.columns]
-        )
-
     # Which percentiles have their lower or upper neighbour in this row's range of positions?
     at = F.array(*[F.struct(F.lit(i).alias("prob_index"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
 
     def hit(p: Column) -> Column:
-        pos = (F.col("_size") - 1) * p["prob"]
+        pos = (F.col("all_n") - 1) * p["prob"]
         low, high = F.floor(pos), F.ceil(pos)
         return F.struct(
             p["prob_index"].alias("prob_index"),
@@ -171,13 +182,13 @@ def percentile_rows(
             ((high >= first) & (high <= last)).alias("is_high"),
         )
 
-    hits = F.filter(F.transform(at, hit), lambda h: h["is_low"] | h["is_high"])
+    hits = F.filter(F.transform(_nearby(at, probs), hit), lambda h: h["is_low"] | h["is_high"])
     found = totals.withColumn("_hit", F.explode(hits))
     kept = lambda cond, c: F.max(F.when(F.col(f"_hit.{cond}"), c))
     # The two neighbours are next to each other in the order, so nothing lies between them.
     edges = found.groupBy(*keys, F.col("_hit.prob_index").alias("prob_index")).agg(
         F.max("_hit.prob").alias("prob"),
-        F.max("_size").alias("n"),
+        F.max("all_n").alias("n"),
         F.max("_hit.frac").alias("_frac"),
         kept("is_low", F.col(value)).alias("_low"),
         kept("is_high", F.col(value)).alias("_high"),
@@ -193,15 +204,15 @@ def percentile_rows(
         "prob",
         "n",
         "edge",
-        *[f"all_{n}" for n in extra],
+        *[F.col(f"all_{n}").alias(f"all_{n[4:]}") for n in extra],
         *[
-            F.when(F.col("edge") > F.col("_low"), F.col(f"_upto_{n}")).otherwise(F.col(f"_before_{n}")).alias(f"below_{n}")
+            F.when(F.col("edge") > F.col("_low"), F.col(f"_upto_{n}")).otherwise(F.col(f"_before_{n}")).alias(f"below_{n[4:]}")
             for n in extra
         ],
         *[
             F.when(F.col("edge") >= F.col("_high"), F.col(f"_upto_high_{n}"))
             .otherwise(F.col(f"_upto_{n}"))
-            .alias(f"upto_{n}")
+            .alias(f"upto_{n[4:]}")
             for n in extra
         ],
     )
