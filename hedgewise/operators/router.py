@@ -179,6 +179,14 @@ def fit_boosted(
         rows.unpersist()
 
 
+def fit_boosted_once(
+    train: DataFrame, columns: list[str], label: str = LABEL, depth: int = 3, rate: float = 0.1, trees: int = 10
+) -> PipelineModel:
+    """Boosted trees with given settings, for refits of an already chosen combination."""
+    booster = _booster(label, maxDepth=depth, stepSize=rate, maxIter=trees)
+    return Pipeline(stages=[_assembler(columns), booster]).fit(with_scale_pos_weight(train, label))
+
+
 def best_of(model: Model) -> PipelineModel:
     return model.bestModel if isinstance(model, CrossValidatorModel) else model
 

@@ -1 +1,279 @@
-"""placeholder"""
+"""The router: features, training, application, comparison of conditions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hedgewise.operators import features as X
+from hedgewise.operators import router as R
+from hedgewise.operators.calibration import vanilla_error_prob
+from hedgewise.operators.curation import stratified_holdout
+from hedgewise.plans import inputs
+from hedgewise.plans.catalog import VIEWS, query
+from hedgewise.plans.curation_queries import draw_sql, folds_sql, holdout_sql
+from hedgewise.plans.text_queries import lexicon
+from hedgewise.session import materialise
+from hedgewise.sources.readers import scan_matrix as read_matrix
+
+
+def inference(spark, sf):
+    """Recorded answers of model 0 for the documents that were asked."""
+    docs = inputs.all_questions(spark, sf).select("row_id", F.col("source").alias("topic"), F.col("question").alias("original_question"))
+    answers = inputs.direct(spark, sf).filter("model = 0").select(
+        "row_id", "gold_label", F.col("pred_by_probs").alias("model_answer"), (F.col("correct_by_probs") == 1).alias("is_correct")
+    )
+    made = inputs.generations(spark, sf).filter("model = 0").drop("model")
+    return docs.join(answers.join(made, "row_id"), "row_id")
+
+
+def matrix(spark, sf, components=None):
+    return X.build_router_matrix(inference(spark, sf), lexicon(spark, sf), components)
+
+
+VIEWS["fx_matrix"] = """
+SELECT d.row_id, 1 - d.correct_by_probs AS target_label, b.* EXCLUDE (row_id), k.* EXCLUDE (row_id), c.* EXCLUDE (row_id),
+  g.first_token_entropy AS feat_first_token_entropy, g.avg_entropy AS feat_avg_entropy, g.perplexity AS feat_perplexity,
+  g.chosen_token_prob AS feat_chosen_token_prob, 1 - g.chosen_token_prob AS feat_prob_margin, s.top2_margin AS feat_top2_margin,
+  s.top5_entropy AS feat_top5_entropy, s.dist_kurtosis AS feat_dist_kurtosis, s.dist_std AS feat_dist_std
+FROM fx_direct d JOIN fx_basic b USING (row_id) JOIN fx_keywords k USING (row_id) JOIN fx_class_shares c USING (row_id)
+JOIN fx_generations g ON g.row_id = d.row_id AND g.model = 0 LEFT JOIN fx_shape s ON s.row_id = d.row_id AND s.model = 0
+WHERE d.model = 0"""
+FEATURES = sorted(R.READABLE)
+
+
+@query("build_router_matrix", "row_id:i target_label:i " + " ".join(f"{c}:d" for c in FEATURES), "SELECT * FROM fx_matrix")
+def build_router_matrix(spark, sf):
+    return matrix(spark, sf)
+
+
+@query(
+    "scan_matrix",
+    "feature:s n_present:i",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count({c}) AS n_present FROM fx_matrix" for c in FEATURES if not c.startswith(("feat_top", "feat_dist_"))
+    ),
+)
+def scan_matrix(spark, sf):
+    stored = materialise(matrix(spark, sf), "matrix")
+    df, names = read_matrix(spark, stored.inputFiles()[0].rsplit("/", 1)[0], ("feat_top", "feat_dist_"))
+    return df.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "n_present")
+
+
+@query("feature_name_list", "position:i feature:s", " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(FEATURES)))
+def feature_name_list(spark, sf):
+    return X.feature_name_list(matrix(spark, sf))
+
+
+NUMERIC = ["feat_first_token_entropy", "feat_perplexity", "feat_dist_kurtosis", "feat_word_count"]
+VIEWS["fx_imputed"] = "SELECT row_id, " + ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in NUMERIC) + " FROM fx_matrix"
+
+
+@query("impute_median", "row_id:i " + " ".join(f"{c}:d" for c in NUMERIC), "SELECT * FROM fx_imputed")
+def impute_median(spark, sf):
+    return R.impute_median(matrix(spark, sf), NUMERIC)[0]
+
+
+@query(
+    "standardise",
+    "row_id:i " + " ".join(f"{c}:d" for c in NUMERIC),
+    "SELECT row_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER ()) AS {c}" for c in NUMERIC) + " FROM fx_imputed",
+)
+def standardise(spark, sf):
+    return R.standardise(R.impute_median(matrix(spark, sf), NUMERIC)[0], NUMERIC)[0]
+
+
+@query(
+    "class_weights",
+    "target:i n:i balanced_weight:d scale_pos_weight:d",
+    """SELECT target, count(*) AS n, (SELECT count(*) FROM fx_questions) / (2.0 * count(*)) AS balanced_weight,
+  (SELECT count(*) FILTER (target = 0) / count(*) FILTER (target = 1) FROM fx_questions) AS scale_pos_weight
+FROM fx_questions GROUP BY target""",
+)
+def class_weights(spark, sf):
+    return R.class_weights(inputs.questions(spark, sf).select("target"), "target")
+
+
+# ---------------------------------------------------------------- training
+
+
+def prepared(spark, sf):
+    """Stored matrix, split 80/20 by label, imputed and standardised with the training part's numbers."""
+    stored = materialise(matrix(spark, sf).drop("original_question", "first_token_top5_logprobs"), "matrix")
+    split = stored.join(stratified_holdout(stored, R.LABEL).select("row_id", "split"), "row_id")
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    columns = X.feature_columns(stored)
+    train, test = R.impute_median(train, columns, test)
+    train, test = R.standardise(train, columns, test)
+    return train, test, columns
+
+
+def _scored(model, test):
+    return R.apply_router(model, test).select("row_id", "target_label", "router_prob", "router_pred")
+
+
+SCORED = "row_id:i target_label:i router_prob:d router_pred:i"
+
+
+@query("router_logreg", SCORED)
+def router_logreg(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    return _scored(R.fit_logreg(train, columns), test)
+
+
+@query("router_forest", SCORED)
+def router_forest(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    return _scored(R.fit_forest(train, columns), test)
+
+
+def small_boosted(df, columns):
+    """A short search, so that the whole family can run in one check."""
+    return R.fit_boosted(df, columns, depths=(3,), rates=(0.1,), trees=(5, 10), folds=2)
+
+
+@query("router_boosted", SCORED)
+def router_boosted(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    return _scored(small_boosted(train, columns), test)
+
+
+@query("apply_router", SCORED)
+def apply_router(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    return _scored(R.fit_logreg(train, columns), train.unionByName(test))
+
+
+@query("cv_f1", "fold:i n:i precision:d recall:d f1:d")
+def cv_f1(spark, sf):
+    train, _, columns = prepared(spark, sf)
+    return R.cv_f1(train, lambda df: R.fit_logreg(df, columns))
+
+
+VIEWS["fx_split"] = holdout_sql("fx_matrix", "target_label")
+VIEWS["fx_train"] = "SELECT row_id, target_label FROM fx_split WHERE split = 'train'"
+_ALWAYS = "2.0 * sum(target_label) / (2 * sum(target_label) + sum(1 - target_label))"
+
+
+@query(
+    "baseline_always",
+    "strategy:s train_f1:d cv_f1:d test_f1:d test_auc:d",
+    f"""SELECT 'always' AS strategy, (SELECT {_ALWAYS} FROM fx_train) AS train_f1,
+  (SELECT avg(f) FROM (SELECT {_ALWAYS} AS f FROM ({folds_sql('fx_train', 'target_label', 5, draw_sql(42) + ', row_id')}) GROUP BY fold)) AS cv_f1,
+  (SELECT {_ALWAYS} FROM fx_split WHERE split = 'test') AS test_f1, 0.5 AS test_auc""",
+)
+def baseline_always(spark, sf):
+    stored = materialise(matrix(spark, sf).select("row_id", R.LABEL), "labels")
+    split = stored.join(stratified_holdout(stored, R.LABEL).select("row_id", "split"), "row_id")
+    return R.baseline_always(split.filter("split = 'train'"), split.filter("split = 'test'"))
+
+
+@query("results_table", "strategy:s train_f1:d cv_f1:d test_f1:d test_auc:d")
+def results_table(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    return R.results_table(
+        R.baseline_always(train, test),
+        R.strategy_metrics("logistic_regression", train, test, lambda df: R.fit_logreg(df, columns)),
+        R.strategy_metrics("random_forest", train, test, lambda df: R.fit_forest(df, columns, trees=20, depth=5)),
+    )
+
+
+@query("feature_importance", "feature:s readable:s importance:d")
+def feature_importance(spark, sf):
+    train, _, columns = prepared(spark, sf)
+    return R.feature_importance(R.fit_forest(train, columns), columns, train, top_k=15)
+
+
+def components(spark, sf):
+    vectors = inputs.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label")
+    )
+    part = stratified_holdout(vectors.select("row_id", "label"), "label").filter("split = 'train'").select("row_id")
+    return R.semantic_pca(vectors, vectors.join(part, "row_id", "left_semi"))[0]
+
+
+@query("semantic_pca", "row_id:i " + " ".join(f"feat_pc_{i:02d}:d" for i in range(1, 17)))
+def semantic_pca(spark, sf):
+    return components(spark, sf)
+
+
+@query("ablation_compare", "strategy:s n_features:i train_f1:d cv_f1:d test_f1:d test_auc:d")
+def ablation_compare(spark, sf):
+    wide = materialise(matrix(spark, sf, components(spark, sf)).drop("original_question", "first_token_top5_logprobs"), "matrix38")
+    split = wide.join(stratified_holdout(wide, R.LABEL).select("row_id", "split"), "row_id")
+    columns = X.feature_columns(wide)
+    train, test = R.impute_median(split.filter("split = 'train'"), columns, split.filter("split = 'test'"))
+    train, test = R.standardise(train, columns, test)
+    return R.ablation_compare(train, test, R.fit_logreg, folds=3)
+
+
+@query("platt_calibration", "row_id:i target_label:i calibrated_prob:d")
+def platt_calibration(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    fit = lambda df: R.fit_boosted_once(df, columns)
+    return R.platt_calibration(train, test, fit)
+
+
+@query("calibration_report", "series:s f1:d n:i ece:d")
+def calibration_report(spark, sf):
+    train, test, columns = prepared(spark, sf)
+    fit = lambda df: R.fit_boosted_once(df, columns)
+    scored = R.apply_router(fit(train), R.platt_calibration(train, test, fit))
+    return R.calibration_report(
+        scored.withColumn("vanilla_prob", vanilla_error_prob(F.col("chosen_token_prob"))),
+        ["vanilla_prob", "router_prob", "calibrated_prob"],
+    )
+
+
+# ---------------------------------------------------------------- three conditions
+
+VIEWS["fx_conditions"] = """
+SELECT *, vanilla_pred = gold_label AS vanilla_correct, rag_pred = gold_label AS rag_correct,
+  router_rag_pred = gold_label AS router_rag_correct FROM (
+SELECT d.row_id, d.source, d.gold_label, d.pred_by_probs AS vanilla_pred, r.pred_by_probs AS rag_pred, (d.margin < 0.2)::INT AS router_pred,
+  coalesce(x.lang = 'en', false) AS rag_context_raw_used, coalesce(x.lang = 'en' AND l.quality = 1, false) AS rag_context_filtered_used,
+  CASE WHEN d.margin < 0.2 AND x.lang = 'en' AND l.quality = 1 THEN r.pred_by_probs ELSE d.pred_by_probs END AS router_rag_pred
+FROM fx_direct d JOIN fx_retries r USING (model, row_id) LEFT JOIN documents x ON x.doc_id = d.row_id
+LEFT JOIN labels l ON l.doc_id = d.row_id WHERE d.model = 0)"""
+
+
+def conditions(spark, sf):
+    """Recorded plain and retrieved answers of model 0; a small margin stands in for the router's flag."""
+    direct = inputs.direct(spark, sf).filter("model = 0")
+    rag = inputs.retries(spark, sf).filter("model = 0")
+    docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source")
+    marks = inputs.table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), "quality")
+    shown = F.when(F.col("lang") == "en", F.col("source")).otherwise("")
+    kept = F.when((F.col("lang") == "en") & (F.col("quality") == 1), F.col("source")).otherwise("")
+    texts = docs.join(marks, "row_id", "left").select("row_id", shown.alias("raw_context"), kept.alias("filtered_context"))
+    return R.three_conditions(
+        direct.withColumn("pred", F.col("pred_by_probs")),
+        rag.select("row_id", F.col("pred_by_probs").alias("pred")),
+        direct.select("row_id", (F.col("margin") < 0.2).cast("int").alias("router_pred")),
+        texts,
+    )
+
+
+@query(
+    "three_conditions",
+    "row_id:i source:s gold_label:s vanilla_pred:s rag_pred:s router_rag_pred:s router_pred:i vanilla_correct:b rag_correct:b "
+    "router_rag_correct:b rag_context_raw_used:b rag_context_filtered_used:b",
+    "SELECT * FROM fx_conditions",
+)
+def three_conditions(spark, sf):
+    return conditions(spark, sf)
+
+
+_CONDITION_SQL = """count(*) AS n, avg(vanilla_correct::INT) AS vanilla_accuracy, avg(rag_correct::INT) AS rag_accuracy,
+  avg(router_rag_correct::INT) AS router_rag_accuracy, count(*) - sum(router_pred) AS calls_saved,
+  count(*) FILTER (router_pred = 1 AND rag_context_filtered_used) AS actual_rag_calls FROM fx_conditions"""
+_CONDITION_COLUMNS = "n:i vanilla_accuracy:d rag_accuracy:d router_rag_accuracy:d calls_saved:i actual_rag_calls:i"
+
+
+@query("condition_summary", _CONDITION_COLUMNS, f"SELECT {_CONDITION_SQL}")
+def condition_summary(spark, sf):
+    return R.condition_summary(conditions(spark, sf))
+
+
+@query("condition_by_source", "source:s " + _CONDITION_COLUMNS, f"SELECT source, {_CONDITION_SQL} GROUP BY ROLLUP (source)")
+def condition_by_source(spark, sf):
+    return R.condition_by_source(conditions(spark, sf))

@@ -73,9 +73,11 @@ def rows_per_source(df: DataFrame) -> DataFrame:
 def scan_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Checkpoint lines; malformed ones are ignored."""
     wide = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    raw = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
-    # The parsed columns are named so that the corrupt-record column is not read on its own.
-    return raw.filter(F.col("_corrupt_record").isNull()).select(*[f.name for f in schema.fields])
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).select(parsed.alias("r"))
+    return rows.filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select(
+        *[F.col("r")[f.name].alias(f.name) for f in schema.fields]
+    )
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
