@@ -12,6 +12,11 @@ WORD = r"[\p{L}\p{N}_]"
 WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
+# The white-space characters of Unicode, for functions that take characters.
+WHITE_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,8 +29,8 @@ def total(values: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of any kind from both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Remove white space of any kind from both ends (``trim`` alone only removes blanks)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def safe_text(value: Column) -> Column:

@@ -61,26 +61,28 @@ def label_distribution(scores: Column, labels: Column) -> Column:
     The first label wins ties; one label leaves the margin null; no usable score leaves all null.
     """
 
-    def ranked_struct(probs: Column) -> Column:
-        ranked = F.array_sort(F.transform(probs, lambda p, i: F.struct((-p).alias("neg"), i.alias("pos"))))
-
-        def fields(r: Column) -> Column:
-            first, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+    def fields(probs: Column) -> Column:
+        def ranked(top: Column) -> Column:
+            best, next_best = F.get(top, F.lit(0)), F.get(top, F.lit(1))
+            at = F.array_position(probs, best).cast("int")
+            rest = F.slice(probs, at + 1, F.size(probs))
+            tied = at + F.array_position(rest, best).cast("int")
+            second = F.when(next_best == best, tied).otherwise(F.array_position(probs, next_best).cast("int"))
             return F.struct(
                 probs.alias("probs"),
-                F.get(labels, first["pos"]).alias("pred"),
-                F.get(labels, first["pos"]).alias("top1_label"),
-                (-first["neg"]).alias("top1_prob"),
-                F.get(labels, second["pos"]).alias("top2_label"),
-                (-second["neg"]).alias("top2_prob"),
-                (second["neg"] - first["neg"]).alias("margin"),
+                F.get(labels, at - 1).alias("pred"),
+                F.get(labels, at - 1).alias("top1_label"),
+                best.alias("top1_prob"),
+                F.get(labels, second - 1).alias("top2_label"),
+                next_best.alias("top2_prob"),
+                (best - next_best).alias("margin"),
                 smoothed_entropy(probs).alias("entropy"),
             )
 
-        return let(ranked, fields)
+        return let(F.sort_array(probs, asc=False), ranked)
 
     usable = F.exists(scores, lambda s: s > F.lit(NEG_INF))
-    return F.when(usable, let(softmax(scores), ranked_struct))
+    return F.when(usable, let(softmax(scores), fields))
 
 
 def top5_features(logprobs: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hedgewise.functions.common import SPACE, WORD_END, WORD_START, let, safe_text, strip
+from hedgewise.functions.common import NOT_SPACE, SPACE, WHITE_SPACE, WORD_END, WORD_START, let, safe_text, strip
 
 # The keyword lists that define the three flag families.
 NEGATION_WORDS = ["not", "n't", "no", "never", "none", "neither", "except", "unless", "without"]
@@ -18,13 +18,15 @@ QUANTITY_WORDS = [
 def keyword_pattern(words: list[str]) -> str:
     """Any of the words, whole and in any case; a blank stands for any white space."""
     longest_first = sorted(words, key=len, reverse=True)
-    return f"(?iu){WORD_START}(?:{'|'.join(w.replace(' ', SPACE + '+') for w in longest_first)}){WORD_END}"
+    # Looking at the first letter first skips most positions without trying any word.
+    first = "".join(sorted({w[0] for w in words}))
+    return f"(?iu)(?=[{first}]){WORD_START}(?:{'|'.join(w.replace(' ', SPACE + '+') for w in longest_first)}){WORD_END}"
 
 
 def basic_text(text: Column) -> dict[str, Column]:
     t = strip(safe_text(text))
-    words = F.regexp_count(t, F.lit(f"(?:(?!{SPACE})[\\s\\S])+")).cast("double")
-    letters = F.char_length(F.regexp_replace(t, f"{SPACE}+", "")).cast("double")
+    words = F.regexp_count(t, F.lit(f"{NOT_SPACE}+")).cast("double")
+    letters = F.char_length(F.translate(t, WHITE_SPACE, "")).cast("double")
     return {
         "feat_char_count": F.char_length(t).cast("double"),
         "feat_word_count": words,

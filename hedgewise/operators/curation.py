@@ -252,8 +252,8 @@ def group_count_stats(df: DataFrame, group: str) -> DataFrame:
 def group_extremes(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """The k largest and k smallest groups."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.orderBy(F.desc("n"), group).limit(k).withColumn("end", F.lit("largest"))
-    smallest = sizes.orderBy("n", group).limit(k).withColumn("end", F.lit("smallest"))
+    largest = sizes.orderBy(F.desc("n"), group).limit(k).withColumn("extreme", F.lit("largest"))
+    smallest = sizes.orderBy("n", group).limit(k).withColumn("extreme", F.lit("smallest"))
     return largest.unionByName(smallest)
 
 

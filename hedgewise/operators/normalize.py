@@ -12,8 +12,6 @@ CANONICAL = [
     "row_id", "source", "task_type", "source_id", "question", "context", "choice_labels", "choice_texts",
     "gold_label", "gold_index", "gold_text", "explanation", "subject", "meta",
 ]
-NONE = F.lit(None).cast("string")
-NO_META = F.lit(None).cast("map<string,string>")
 
 
 def _positional_labels(texts: Column) -> Column:
@@ -30,7 +28,8 @@ def _index_of(labels: Column, label: Column) -> Column:
 
 
 def _canonical(df: DataFrame, **cols: Column) -> DataFrame:
-    defaults = {"source_id": NONE, "context": NONE, "explanation": NONE, "subject": NONE, "meta": NO_META}
+    defaults = {c: F.lit(None).cast("string") for c in ("source_id", "context", "explanation", "subject")}
+    defaults["meta"] = F.lit(None).cast("map<string,string>")
     picked = {**defaults, **cols}
     return df.select(*[picked[c].alias(c) if c in picked else F.col(c) for c in CANONICAL])
 

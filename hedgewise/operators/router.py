@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -22,6 +25,7 @@ from hedgewise.operators.ranks import percentile_rows
 LABEL = "target_label"
 WEIGHT = "class_weight"
 Fit = Callable[[DataFrame], Model]
+ROWS_PER_PARTITION = 20_000
 
 
 # ---------------------------------------------------------------- preparation
@@ -99,6 +103,21 @@ def with_scale_pos_weight(df: DataFrame, label: str = LABEL) -> DataFrame:
 # ---------------------------------------------------------------- estimators
 
 
+@contextmanager
+def _training_rows(df: DataFrame, columns: list[str], *others: str) -> Iterator[tuple[DataFrame, int]]:
+    """The columns a fit needs, kept for its many passes, and their number.
+
+    A small table is brought into few partitions, as every pass costs a task per partition;
+    a large one keeps its own.
+    """
+    kept = df.select(*columns, *others).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = kept.count()
+        yield kept.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))), n
+    finally:
+        kept.unpersist()
+
+
 def _assembler(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features")
 
@@ -106,11 +125,11 @@ def _assembler(columns: list[str]) -> VectorAssembler:
 def fit_logreg(train: DataFrame, columns: list[str], label: str = LABEL, max_iter: int = 2000) -> PipelineModel:
     """Balanced logistic regression with unit L2 strength (the penalty is shared over the rows)."""
     weighted = with_balanced_weights(train, label)
-    n = weighted.count()
-    lr = LogisticRegression(
-        labelCol=label, weightCol=WEIGHT, standardization=False, regParam=1.0 / max(n, 1), maxIter=max_iter
-    )
-    return Pipeline(stages=[_assembler(columns), lr]).fit(weighted)
+    with _training_rows(weighted, columns, label, WEIGHT) as (rows, n):
+        lr = LogisticRegression(
+            labelCol=label, weightCol=WEIGHT, standardization=False, regParam=1.0 / max(n, 1), maxIter=max_iter
+        )
+        return Pipeline(stages=[_assembler(columns), lr]).fit(rows)
 
 
 def fit_forest(
@@ -119,7 +138,8 @@ def fit_forest(
     forest = RandomForestClassifier(
         labelCol=label, weightCol=WEIGHT, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
     )
-    return Pipeline(stages=[_assembler(columns), forest]).fit(with_balanced_weights(train, label))
+    with _training_rows(with_balanced_weights(train, label), columns, label, WEIGHT) as (rows, _):
+        return Pipeline(stages=[_assembler(columns), forest]).fit(rows)
 
 
 class PositiveF1(Evaluator):
@@ -164,8 +184,8 @@ def fit_boosted(
         .build()
     )
     fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
-    rows = with_scale_pos_weight(train, label).join(fold_of, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    folded = with_scale_pos_weight(train, label).join(fold_of, "row_id")
+    with _training_rows(folded, columns, label, WEIGHT, "fold") as (rows, _):
         search = CrossValidator(
             estimator=Pipeline(stages=[_assembler(columns), booster]),
             estimatorParamMaps=grid,
@@ -175,8 +195,6 @@ def fit_boosted(
             parallelism=parallelism,
         )
         return search.fit(rows)
-    finally:
-        rows.unpersist()
 
 
 def fit_boosted_once(
@@ -184,7 +202,8 @@ def fit_boosted_once(
 ) -> PipelineModel:
     """Boosted trees with given settings, for refits of an already chosen combination."""
     booster = _booster(label, maxDepth=depth, stepSize=rate, maxIter=trees)
-    return Pipeline(stages=[_assembler(columns), booster]).fit(with_scale_pos_weight(train, label))
+    with _training_rows(with_scale_pos_weight(train, label), columns, label, WEIGHT) as (rows, _):
+        return Pipeline(stages=[_assembler(columns), booster]).fit(rows)
 
 
 def best_of(model: Model) -> PipelineModel:
@@ -205,11 +224,16 @@ def cv_f1(train: DataFrame, fit: Fit, label: str = LABEL, folds: int = 5, seed:
     """F1 of every fold; the mean over folds is the cross-validated score."""
     fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
     rows = train.join(fold_of, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for k in range(folds):
+
+    @inheritable_thread_target
+    def scored(k: int) -> DataFrame:
         model = fit(rows.filter(F.col("fold") != k).drop("fold"))
         held = apply_router(model, rows.filter(F.col("fold") == k))
-        parts.append(held.select("row_id", "fold", "router_pred", label))
+        return held.select("row_id", "fold", "router_pred", label)
+
+    # The folds are independent jobs, so they are submitted side by side.
+    with ThreadPool(folds) as pool:
+        parts = pool.map(scored, range(folds))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hedgewise.operators.ranks import percentile_rows
 
-ROWS = F.lit(1).cast("bigint")
+
+def _one() -> Column:
+    return F.lit(1).cast("bigint")
 
 
 def _flagged_at(df: DataFrame, score: str, target: str, percents: list[int], keys: list[str]) -> DataFrame:
     """Per percentile threshold: rows flagged (score >= threshold) and errors among them."""
-    sums = {"rows": ROWS, "wrong": F.col(target).cast("bigint")}
+    sums = {"rows": _one(), "wrong": F.col(target).cast("bigint")}
     at = percentile_rows(df, keys, score, [k / 100 for k in percents], sums)
     return at.select(
         *keys,
@@ -75,7 +77,7 @@ def decile_error(
 ) -> DataFrame:
     """Equal-frequency bins, closed on the right, repeated edges merged: mean score, error rate, count."""
     keys = keys or []
-    sums = {"rows": ROWS, "wrong": F.col(target).cast("double"), "score": F.col(score).cast("double")}
+    sums = {"rows": _one(), "wrong": F.col(target).cast("double"), "score": F.col(score).cast("double")}
     at = percentile_rows(df, keys, score, [i / bins for i in range(bins + 1)], sums)
     edges = at.groupBy(*keys, "edge").agg(*[F.max(f"upto_{s}").alias(s) for s in sums])
     order = Window.partitionBy(*keys).orderBy("edge")  # at most bins + 1 rows per key

@@ -21,7 +21,8 @@ def _shown(df):
     return df.withColumns({c: text_list(F.col(c)) for c in ("choice_labels", "choice_texts")})
 
 
-LETTER = F.char(F.col("answer") + 65)
+def _letter():
+    return F.char(F.col("answer") + 65)
 
 
 def by_index(spark, sf):
@@ -33,7 +34,7 @@ def prefixed(spark, sf):
     options = F.array(
         F.concat(F.lit(" A)"), c("brand")), F.concat(F.lit("B. "), c("kind")), F.concat(F.lit("C: "), c("question")), c("size"), c("kind")
     )
-    rows = inputs.parts(spark, sf).select("row_id", "question", options.alias("options"), LETTER.alias("correct"), c("brand").alias("rationale"))
+    rows = inputs.parts(spark, sf).select("row_id", "question", options.alias("options"), _letter().alias("correct"), c("brand").alias("rationale"))
     return N.normalize_prefixed_options(rows)
 
 
@@ -45,17 +46,17 @@ def passage(spark, sf):
 
 
 def mapped(spark, sf):
-    options = F.map_from_arrays(inputs.LABELS, F.col("choices"))
+    options = F.map_from_arrays(inputs.labels(), F.col("choices"))
     rows = inputs.parts(spark, sf).select(
-        "row_id", "question", F.col("kind").alias("meta_info"), options.alias("options"), LETTER.alias("answer_idx"),
+        "row_id", "question", F.col("kind").alias("meta_info"), options.alias("options"), _letter().alias("answer_idx"),
         F.get("choices", F.col("answer")).alias("answer"), F.array("brand").alias("metamap_phrases"),
     )
     return N.normalize_map_options(rows)
 
 
 def struct(spark, sf):
-    choices = F.struct(inputs.LABELS.alias("label"), F.col("choices").alias("text"))
-    rows = inputs.parts(spark, sf).select("row_id", F.col("brand").alias("id"), "question", choices.alias("choices"), LETTER.alias("answerKey"))
+    choices = F.struct(inputs.labels().alias("label"), F.col("choices").alias("text"))
+    rows = inputs.parts(spark, sf).select("row_id", F.col("brand").alias("id"), "question", choices.alias("choices"), _letter().alias("answerKey"))
     return N.normalize_struct_options(rows)
 
 
@@ -393,10 +394,10 @@ def group_count_stats(spark, sf):
 
 @query(
     "group_extremes",
-    "source:s n:i end:s",
+    "source:s n:i extreme:s",
     """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
-(SELECT source, n, 'largest' AS "end" FROM g ORDER BY n DESC, source LIMIT 5) UNION ALL
-(SELECT source, n, 'smallest' AS "end" FROM g ORDER BY n, source LIMIT 5)""",
+(SELECT source, n, 'largest' AS extreme FROM g ORDER BY n DESC, source LIMIT 5) UNION ALL
+(SELECT source, n, 'smallest' AS extreme FROM g ORDER BY n, source LIMIT 5)""",
 )
 def group_extremes(spark, sf):
     return C.group_extremes(inputs.table(spark, sf, "documents").select("source"), "source")

@@ -13,12 +13,16 @@ from hedgewise.functions.labels import parse_confidence
 from hedgewise.functions.prompts import REFLECTION_STYLES
 from hedgewise.operators.features import direct_pass, generation_signals
 from hedgewise.plans.catalog import VIEWS
+from hedgewise.session import spread
 
 MODELS = [0, 1, 2, 3]
-LABELS = F.array(*[F.lit(x) for x in "ABCD"])
 SIGNALS = ["entropy_over_labels", "entropy_over_vocab", "one_minus_margin", "one_minus_top1"]
 
 
+def labels() -> Column:
+    return F.array(*[F.lit(x) for x in "ABCD"])
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -64,8 +68,8 @@ FROM embeddings e, (SELECT unnest([0,1,2,3]) AS model) m"""
 
 
 def _direct(rows: DataFrame, scores: Column, vocab: Column) -> DataFrame:
-    gold = F.get(LABELS, _argmax(F.col("gold_score")))
-    return direct_pass(rows, scores, LABELS, gold, vocab)
+    gold = F.get(labels(), _argmax(F.col("gold_score")))
+    return direct_pass(rows, scores, labels(), gold, vocab)
 
 
 def direct(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,6 +289,11 @@ def all_questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def long_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows for text features, which cost much more than moving the text once."""
+    return spread(all_questions(spark, sf), "row_id")
+
+
 VIEWS["fx_all_questions"] = "SELECT doc_id AS row_id, source, lang, text AS question FROM documents"
 
 

@@ -18,7 +18,7 @@ from hedgewise.sources.readers import scan_matrix as read_matrix
 
 def inference(spark, sf):
     """Recorded answers of model 0 for the documents that were asked."""
-    docs = inputs.all_questions(spark, sf).select("row_id", F.col("source").alias("topic"), F.col("question").alias("original_question"))
+    docs = inputs.long_texts(spark, sf).select("row_id", F.col("source").alias("topic"), F.col("question").alias("original_question"))
     answers = inputs.direct(spark, sf).filter("model = 0").select(
         "row_id", "gold_label", F.col("pred_by_probs").alias("model_answer"), (F.col("correct_by_probs") == 1).alias("is_correct")
     )

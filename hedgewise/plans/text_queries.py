@@ -28,7 +28,7 @@ FROM fx_stripped"""
 )
 def feat_basic_text(spark, sf):
     cols = X.basic_text(F.col("question"))
-    return inputs.all_questions(spark, sf).select("row_id", *[c.alias(n) for n, c in cols.items()])
+    return inputs.long_texts(spark, sf).select("row_id", *[c.alias(n) for n, c in cols.items()])
 
 
 def _counted(words: list[str]) -> str:
@@ -60,7 +60,7 @@ _FLAGS = " ".join(f"feat_has_{n}:d feat_{n}_count:d" for n in ("negation", "comp
 @query("feat_keywords", "row_id:i " + _FLAGS, "SELECT * FROM fx_keywords")
 def feat_keywords(spark, sf):
     cols = X.keyword_flags(F.col("question"))
-    return inputs.all_questions(spark, sf).select("row_id", *[c.alias(n) for n, c in cols.items()])
+    return inputs.long_texts(spark, sf).select("row_id", *[c.alias(n) for n, c in cols.items()])
 
 
 @query(
@@ -72,7 +72,7 @@ def feat_keywords(spark, sf):
 )
 def feat_simple_flags(spark, sf):
     cols = X.simple_flags(F.col("question"))
-    return inputs.all_questions(spark, sf).select("row_id", *[c.alias(n) for n, c in cols.items()])
+    return inputs.long_texts(spark, sf).select("row_id", *[c.alias(n) for n, c in cols.items()])
 
 
 def lexicon(spark, sf):
@@ -107,7 +107,7 @@ FROM fx_all_questions q JOIN fx_phrases p USING (row_id) LEFT JOIN (
     "SELECT * FROM fx_class_shares",
 )
 def feat_token_class(spark, sf):
-    return token_class_shares(inputs.all_questions(spark, sf), lexicon(spark, sf))
+    return token_class_shares(inputs.long_texts(spark, sf), lexicon(spark, sf))
 
 
 @query(
@@ -144,14 +144,15 @@ def _prompts(spark, sf):
         "question",
         F.col("kind").alias("source"),
         F.col("brand").alias("passage"),
-        inputs.LABELS.alias("labels"),
+        inputs.labels().alias("labels"),
         F.array("brand", "kind", "question", "size").alias("texts"),
         F.char(F.pmod("answer", F.lit(4)) + 65).alias("previous"),
         F.pmod("answer", F.lit(4)).alias("style_index"),
     )
 
 
-Q, LB, TX = F.col("question"), F.col("labels"), F.col("texts")
+def _parts():
+    return F.col("question"), F.col("labels"), F.col("texts")
 
 
 def _flat(messages):
@@ -166,7 +167,7 @@ def _flat(messages):
     "|| 'Reply with only the letter of the correct answer (A, B, C, D).' AS message FROM fx_prompts",
 )
 def mcq_user_message(spark, sf):
-    return _prompts(spark, sf).select("row_id", P.mcq_user_message(Q, LB, TX).alias("message"))
+    return _prompts(spark, sf).select("row_id", P.mcq_user_message(*_parts()).alias("message"))
 
 
 @query(
@@ -176,7 +177,7 @@ def mcq_user_message(spark, sf):
 )
 def system_prompt(spark, sf):
     return _prompts(spark, sf).select(
-        "row_id", P.system_prompt(LB).alias("plain"), P.system_prompt(LB, True).alias("with_reference")
+        "row_id", P.system_prompt(F.col("labels")).alias("plain"), P.system_prompt(F.col("labels"), True).alias("with_reference")
     )
 
 
@@ -189,8 +190,8 @@ def system_prompt(spark, sf):
 def user_prompt(spark, sf):
     return _prompts(spark, sf).select(
         "row_id",
-        P.user_prompt(Q, LB, TX).alias("plain"),
-        P.user_prompt(Q, LB, TX, F.col("passage"), F.col("source")).alias("full_prompt"),
+        P.user_prompt(*_parts()).alias("plain"),
+        P.user_prompt(*_parts(), F.col("passage"), F.col("source")).alias("full_prompt"),
     )
 
 
@@ -209,7 +210,7 @@ _DIRECT = f"'system: ' || {_SYSTEM.format('')} || ' ### user: ' || {_USER}"
 
 @query("direct_messages", "row_id:i chat:s", f"SELECT row_id, {_DIRECT} AS chat FROM fx_prompts")
 def direct_messages(spark, sf):
-    return _prompts(spark, sf).select("row_id", _flat(P.direct_messages(Q, LB, TX)).alias("chat"))
+    return _prompts(spark, sf).select("row_id", _flat(P.direct_messages(*_parts())).alias("chat"))
 
 
 @query(
@@ -219,7 +220,7 @@ def direct_messages(spark, sf):
   || ''' is incorrect. Please reconsider and provide a different answer label.' AS chat FROM fx_prompts""",
 )
 def retry_messages(spark, sf):
-    return _prompts(spark, sf).select("row_id", _flat(P.retry_messages(Q, LB, TX, F.col("previous"))).alias("chat"))
+    return _prompts(spark, sf).select("row_id", _flat(P.retry_messages(*_parts(), F.col("previous"))).alias("chat"))
 
 
 @query(
@@ -231,7 +232,7 @@ FROM fx_prompts""",
 )
 def confidence_messages(spark, sf):
     return _prompts(spark, sf).select(
-        "row_id", _flat(P.confidence_messages(Q, LB, TX, F.col("previous"))).alias("chat")
+        "row_id", _flat(P.confidence_messages(*_parts(), F.col("previous"))).alias("chat")
     )
 
 
@@ -255,10 +256,10 @@ def reflection_messages(spark, sf):
         "row_id",
         "reflection_pass",
         P.reflection_style(style, turn).alias("style"),
-        _flat(P.reflection_messages(Q, LB, TX, style, turn)).alias("chat"),
+        _flat(P.reflection_messages(*_parts(), style, turn)).alias("chat"),
     )
 
 
 @query("strip_text", "row_id:i stripped:s", "SELECT row_id, t AS stripped FROM fx_stripped")
 def strip_text(spark, sf):
-    return inputs.all_questions(spark, sf).select("row_id", strip(F.col("question")).alias("stripped"))
+    return inputs.long_texts(spark, sf).select("row_id", strip(F.col("question")).alias("stripped"))

@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", app: str = "hedgewise", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -50,6 +51,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, factor: int = 4) -> DataFrame:
+    """Give heavy per-row work one piece per core when a table comes in far fewer pieces.
+
+    Large tables have many more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * factor > cores else df.repartition(cores, key)
+
+
 def _row_bytes(df: DataFrame) -> int:
     widths = {"string": 64, "binary": 64, "array": 256, "map": 256, "struct": 128}
     return 16 + sum(widths.get(f.dataType.typeName(), 8) for f in df.schema.fields)
