@@ -21,6 +21,8 @@ class Entry:
 CATALOG: dict[str, Entry] = {}
 # Named sub-queries the SQL checks may use; a name is pulled in wherever it is mentioned.
 VIEWS: dict[str, str] = {}
+# Engines round exact halves differently; a nudge in both keeps halves off the border.
+NUDGE = 1e-9
 KINDS = {"i": "bigint", "d": "double", "s": "string", "b": "boolean"}
 
 
@@ -45,7 +47,7 @@ def shape(df: DataFrame, columns: str) -> DataFrame:
     out = []
     for name, kind in _fields(columns):
         c = F.col(name).cast(KINDS[kind])
-        out.append((F.round(c, 6) + F.lit(0.0) if kind == "d" else c).alias(name))
+        out.append((F.round(c + F.lit(NUDGE), 6) + F.lit(0.0) if kind == "d" else c).alias(name))
     return df.select(*out)
 
 
@@ -64,7 +66,12 @@ def _views_for(text: str) -> list[str]:
 
 def render_sql(entry: Entry) -> str:
     """The check as one statement with the same casts and rounding."""
-    casts = {"i": "CAST({0} AS BIGINT)", "d": "round(CAST({0} AS DOUBLE), 6) + 0.0", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
+    casts = {
+        "i": "CAST({0} AS BIGINT)",
+        "d": "round(CAST({0} AS DOUBLE) + 1e-9, 6) + 0.0",
+        "s": "CAST({0} AS VARCHAR)",
+        "b": "CAST({0} AS BOOLEAN)",
+    }
     cols = ", ".join(f"{casts[k].format(n)} AS {n}" for n, k in _fields(entry.columns))
     views = _views_for(entry.sql)
     head = "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in views) + " " if views else ""
