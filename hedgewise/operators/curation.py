@@ -18,10 +18,11 @@ def dedup_against_pool(new: DataFrame, pool: DataFrame, head_chars: int | None =
     """Rows whose fingerprint the pool does not hold.
 
     The pool is reduced to distinct fingerprints before the join, so a question copied many
-    times in it is one row; repeats inside ``new`` stay (see ``drop_repeats``).
+    times in it is one row, and a pool of counted, small size is broadcast, so that the new rows
+    stay where they are. Repeats inside ``new`` stay (see ``drop_repeats``).
     """
     known = with_fingerprint(pool.select("question"), head_chars).select("fingerprint").distinct()
-    return with_fingerprint(new, head_chars).join(known, "fingerprint", "left_anti")
+    return join_small(with_fingerprint(new, head_chars), known, ["fingerprint"], "left_anti")
 
 
 def dedup_report(new: DataFrame, pool: DataFrame, head_chars: int | None = 200) -> DataFrame:
@@ -44,20 +45,30 @@ def dedup_report(new: DataFrame, pool: DataFrame, head_chars: int | None = 200)
 
 
 def drop_repeats(df: DataFrame, head_chars: int | None = 200) -> DataFrame:
-    """One row per fingerprint, the one with the smallest row_id; copies combine before the shuffle."""
-    kept = [c for c in df.columns]
+    """One row per fingerprint, the one with the smallest row_id.
+
+    Only (fingerprint, row_id) is aggregated; copies combine in each task before the shuffle.
+    """
     rows = with_fingerprint(df, head_chars)
-    return rows.groupBy("fingerprint").agg(F.min_by(F.struct(*kept), "row_id").alias("_r")).select("_r.*", "fingerprint")
+    first = rows.groupBy("fingerprint").agg(F.min("row_id").alias("row_id")).select("row_id")
+    return rows.join(first, "row_id", "left_semi")
+
+
+SAMPLE_SALTS = 256
 
 
 def sample_n_per_source(df: DataFrame, n: int, seed: int = 42, source: str = "source") -> DataFrame:
     """min(n, available) rows per source, the same for a seed however the data is partitioned.
 
-    Spark cuts each task's rows to n per source before the shuffle (window group limit).
+    Only (source, row_id, draw) is ranked: first within salted parts of each source, then among
+    the parts' best, so that a source with most of the rows never meets in one task.
     """
-    order = Window.partitionBy(source).orderBy("_draw", "row_id")
-    drawn = df.withColumn("_draw", draw_key(seed, "row_id"))
-    return drawn.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k", "_draw")
+    drawn = df.select(source, "row_id", draw_key(seed, "row_id").alias("_draw"))
+    drawn = drawn.withColumn("_salt", F.pmod("_draw", F.lit(SAMPLE_SALTS)))
+    for part in ([source, "_salt"], [source]):
+        order = Window.partitionBy(*part).orderBy("_draw", "row_id")
+        drawn = drawn.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
+    return join_small(df, drawn.select("row_id"), ["row_id"], "left_semi")
 
 
 def _quotas(sizes: DataFrame, stratum: str, share: Column, wanted: Column, name: str) -> DataFrame:

@@ -100,6 +100,49 @@ def collect_passes(reflections: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+GRID = ["policy", "style"]
+DIRECT = ["source", "gold_label", "pred_by_probs", "correct_by_probs", "regime"]
+
+
+def _with_passes(direct: DataFrame, reflections: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (row, style): the direct answer and what each pass would say, with regimes.
+
+    A pass that was not recorded says what the one before it said. Thresholds are attached once;
+    the regimes are then plain expressions.
+    """
+    passes = collect_passes(reflections, keys)
+    plain = ["gold_label", "pred_by_probs", "correct_by_probs", "source", "entropy_over_labels", "margin"]
+    met = direct.select(*keys, "row_id", *plain).join(passes, [*keys, "row_id"])
+    rows = join_small(met, thresholds, keys).withColumn("regime", regime(F.col("entropy_over_labels"), F.col("margin")))
+    for p, before in ((1, ("pred_by_probs", "regime")), (2, ("label_1", "regime_1"))):
+        recorded = F.col(f"pred_{p}").isNotNull()
+        own = regime(F.col(f"entropy_over_labels_{p}"), F.col(f"margin_{p}"))
+        rows = rows.withColumns(
+            {
+                f"label_{p}": F.coalesce(F.col(f"pred_{p}"), F.col(before[0])),
+                f"regime_{p}": F.when(recorded, own).otherwise(F.col(before[1])),
+            }
+        )
+    right = lambda p: F.coalesce(F.col(f"label_{p}") == F.col("gold_label"), F.lit(False)).cast("int")
+    return rows.withColumns({"right_1": right(1), "right_2": right(2)})
+
+
+def _run_policies(rows: DataFrame) -> DataFrame:
+    """Fan out over the policies: passes run, and the right/regime (and label) of the last one."""
+    gated = policy_gate(rows)
+    ran_1 = F.col("triggered") & (F.col("max_passes") >= 1)
+    ran_2 = ran_1 & (F.col("max_passes") >= 2) & (F.col("regime_1") != "high")
+    last = lambda d, r: F.when(ran_2, F.col(f"{r}_2")).when(ran_1, F.col(f"{r}_1")).otherwise(F.col(d))
+    out = {
+        "passes_run": ran_1.cast("int") + ran_2.cast("int"),
+        "final_regime": last("regime", "regime"),
+        "final_correct": last("correct_by_probs", "right"),
+    }
+    if "label_1" in rows.columns:
+        out["final_label"] = last("pred_by_probs", "label")
+    return gated.withColumns(out)
+
+
 def resolve_final(
     direct: DataFrame, reflections: DataFrame, thresholds: DataFrame, keys: list[str]
 ) -> DataFrame:
@@ -108,74 +151,61 @@ def resolve_final(
     Reflections are joined once per row and style, before the policies fan out, so the join
     moves neither side more than once. A second pass is skipped once the first one is high.
     """
-    passes = collect_passes(reflections, keys)
-    # Thresholds are attached once; the three regimes of a row are then plain expressions.
-    met = join_small(direct.join(passes, [*keys, "row_id"]), thresholds, keys)
-    joined = met.withColumns(
-        {
-            "regime": regime(F.col("entropy_over_labels"), F.col("margin")),
-            **{f"regime_{p}": regime(F.col(f"entropy_over_labels_{p}"), F.col(f"margin_{p}")) for p in (1, 2)},
-        }
-    ).drop(*[c for c in thresholds.columns if c not in keys])
-    kept = [*keys, "row_id", "source", "gold_label", "pred_by_probs", "correct_by_probs", "regime"]
-    gated = policy_gate(joined)
-    ran_1 = F.col("triggered") & (F.col("max_passes") >= 1)
-    ran_2 = ran_1 & (F.col("max_passes") >= 2) & (F.col("regime_1") != "high")
-
-    def last(direct_col: str, reflected: str) -> Column:
-        return (
-            F.when(ran_2, F.coalesce(F.col(f"{reflected}_2"), F.col(f"{reflected}_1"), F.col(direct_col)))
-            .when(ran_1, F.coalesce(F.col(f"{reflected}_1"), F.col(direct_col)))
-            .otherwise(F.col(direct_col))
-        )
-
-    final = gated.select(
-        *kept,
-        "style",
-        "policy",
+    final = _run_policies(_with_passes(direct, reflections, thresholds, keys))
+    return final.select(
+        *keys,
+        "row_id",
+        *DIRECT,
+        *GRID,
         "gate",
         "max_passes",
         "triggered",
-        (ran_1.cast("int") + ran_2.cast("int")).alias("passes_run"),
-        last("pred_by_probs", "pred").alias("final_label"),
-        last("regime", "regime").alias("final_regime"),
-    )
-    return final.withColumns(
-        {
-            "final_correct": F.coalesce(F.col("final_label") == F.col("gold_label"), F.lit(False)).cast("int"),
-            "output_label": abstain(F.col("final_label"), F.col("final_regime")),
-        }
+        "passes_run",
+        "final_label",
+        "final_regime",
+        "final_correct",
+        abstain(F.col("final_label"), F.col("final_regime")).alias("output_label"),
+        F.lit(1).cast("bigint").alias("rows"),
     )
 
 
+def resolve_cells(
+    direct: DataFrame, reflections: DataFrame, thresholds: DataFrame, keys: list[str]
+) -> DataFrame:
+    """The same outcomes counted: one row per combination of what the metrics look at.
+
+    Rows are counted by regimes and right/wrong before the policies fan out, so the fan-out runs
+    on a few thousand cells, however many rows there are. ``rows`` is the number in each cell.
+    """
+    rows = _with_passes(direct, reflections, thresholds, keys)
+    cell = [*keys, "source", "style", "correct_by_probs", "regime", "regime_1", "regime_2", "right_1", "right_2"]
+    return _run_policies(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows")))
+
+
 def abstain(label: Column, final_regime: Column) -> Column:
     return F.when(final_regime == "low", F.lit(ABSTAINED)).otherwise(label)
 
 
 def _metrics() -> list[Column]:
-    n = F.count(F.lit(1))
-    kept = F.col("output_label") != ABSTAINED
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("rows"))), F.lit(0)).cast("double")
+    n = F.sum("rows")
+    kept = F.col("final_regime") != "low"
     right, was_right = F.col("final_correct") == 1, F.col("correct_by_probs") == 1
-    rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return [
         n.alias("n"),
-        rate(F.count_if(right), n).alias("forced_accuracy"),
-        F.try_divide(F.count_if(right & kept).cast("double"), F.count_if(kept).cast("double")).alias(
-            "selective_accuracy"
-        ),
-        rate(F.count_if(kept), n).alias("coverage"),
-        rate(F.count_if(~kept), n).alias("abstention_rate"),
-        rate(F.count_if(F.col("triggered")), n).alias("trigger_rate"),
-        rate(F.count_if(right & ~was_right), F.count_if(~was_right)).alias("correction_rate"),
-        rate(F.count_if(~right & was_right), F.count_if(was_right)).alias("degradation_rate"),
+        rate(count(right), n).alias("forced_accuracy"),
+        F.try_divide(count(right & kept), count(kept)).alias("selective_accuracy"),
+        rate(count(kept), n).alias("coverage"),
+        rate(count(~kept), n).alias("abstention_rate"),
+        rate(count(F.col("triggered")), n).alias("trigger_rate"),
+        rate(count(right & ~was_right), count(~was_right)).alias("correction_rate"),
+        rate(count(~right & was_right), count(was_right)).alias("degradation_rate"),
     ]
 
 
-GRID = ["policy", "style"]
-
-
 def policy_metrics(final: DataFrame, keys: list[str]) -> DataFrame:
-    """Accuracy, coverage and change rates per key, policy and style."""
+    """Accuracy, coverage and change rates per key, policy and style, from final rows or cells."""
     return final.groupBy(*keys, *GRID).agg(*_metrics())
 
 
@@ -221,9 +251,10 @@ def one_vs_two_pass(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 def regime_breakdown(final: DataFrame, keys: list[str]) -> DataFrame:
     """Trigger rate and accuracy within each regime of the direct answer."""
+    share = lambda c: F.sum(F.col(c).cast("double") * F.col("rows")) / F.sum("rows")
     return final.groupBy(*keys, *GRID, "regime").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("triggered").cast("double")).alias("trigger_rate"),
-        F.avg(F.col("correct_by_probs").cast("double")).alias("direct_accuracy"),
-        F.avg(F.col("final_correct").cast("double")).alias("final_accuracy"),
+        F.sum("rows").alias("n"),
+        share("triggered").alias("trigger_rate"),
+        share("correct_by_probs").alias("direct_accuracy"),
+        share("final_correct").alias("final_accuracy"),
     )

@@ -4,9 +4,9 @@ A window ordered over a whole table puts it in one task, and one over a hot grou
 group in one task. Here the sorted order is cut into buckets by splitter values:
 
 1. rows that share a key and a value are collapsed by a partial and a final aggregate;
-2. the splitters are the values of the rows with the smallest hashes: a uniform sample that is
-   a pure function of the data, so it is the same wherever and however often it is evaluated.
-   It only balances buckets; no result depends on it;
+2. the splitters are the values of the rows with the smallest hash in each of many slots: a
+   uniform sample that is a pure function of the data, so it is the same wherever and however
+   often it is evaluated. It only balances buckets; no result depends on it;
 3. totals per (key, bucket) are few; their running sums come back as one *carry row* per bucket;
 4. a window per (key, bucket) adds up the carry row and the bucket's own rows.
 """
@@ -25,13 +25,14 @@ def splitter_count(df: DataFrame) -> int:
 
 
 def _splitters(df: DataFrame, value: str, count: int) -> Column:
-    """A scalar subquery holding at most ``count`` sorted, distinct values."""
+    """A scalar subquery holding at most ``count`` sorted, distinct values.
+
+    Rows fall into ``count`` slots by hash and each slot keeps its smallest. Tasks combine their
+    slots before the shuffle and slots merge in parallel, so no task sees more than its share.
+    """
     hashable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    sample = (
-        df.select(F.col(value).alias("_value"), F.xxhash64(*hashable).alias("_draw"))
-        .orderBy("_draw", "_value")
-        .limit(count)
-    )
+    drawn = df.select(F.col(value).alias("_value"), F.xxhash64(*hashable).alias("_draw"))
+    sample = drawn.groupBy(F.pmod("_draw", F.lit(count)).alias("_slot")).agg(F.min_by("_value", "_draw").alias("_value"))
     return sample.agg(F.array_sort(F.collect_set("_value")).alias("_values")).select("_values").scalar()
 
 
@@ -103,16 +104,20 @@ def running_totals(
 
 
 def row_ranks(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """``row_number`` per key over a unique order, with hot keys spread over many tasks."""
-    packed = df.withColumn("_order", F.struct(*order))
+    """``row_number`` per key over a unique order, with hot keys spread over many tasks.
+
+    Buckets are cut by the first order column, which should have many values.
+    """
     kept = [c for c in df.columns if c not in keys]
-    rows = packed.withColumn("_row", F.struct(*kept)).select(*keys, "_order", "_row")
     count = splitter_count(df)
-    splitters = _splitters(rows.select(*keys, "_order"), "_order", count)
-    rows = rows.withColumn("_splitters", splitters).withColumn(
-        "_bucket", bucket_of(F.col("_order"), F.col("_splitters"), count)
+    splitters = _splitters(df.select(*keys, *order), order[0], count)
+    rows = df.withColumn("_splitters", splitters).select(
+        *keys,
+        bucket_of(F.col(order[0]), F.col("_splitters"), count).alias("_bucket"),
+        F.struct(*order).alias("_order"),
+        F.struct(*kept).alias("_row"),
+        F.lit(1).cast("bigint").alias("_n"),
     )
-    rows = rows.select(*keys, "_bucket", "_order", "_row", F.lit(1).cast("bigint").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*keys, "_bucket")

@@ -225,7 +225,7 @@ def cv_f1(train: DataFrame, fit: Fit, label: str = LABEL, folds: int = 5, seed:
     fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
     rows = train.join(fold_of, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
 
-    @inheritable_thread_target
+    @inheritable_thread_target(train.sparkSession)
     def scored(k: int) -> DataFrame:
         model = fit(rows.filter(F.col("fold") != k).drop("fold"))
         held = apply_router(model, rows.filter(F.col("fold") == k))

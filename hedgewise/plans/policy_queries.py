@@ -56,6 +56,10 @@ def final(spark, sf):
     return P.resolve_final(inputs.direct(spark, sf), inputs.reflected(spark, sf), thresholds(spark, sf), M)
 
 
+def cells(spark, sf):
+    return P.resolve_cells(inputs.direct(spark, sf), inputs.reflected(spark, sf), thresholds(spark, sf), M)
+
+
 @query(
     "regime_thresholds",
     "model:i entropy_p25:d entropy_p50:d entropy_p75:d margin_p25:d margin_p50:d margin_p75:d",
@@ -113,7 +117,7 @@ VIEWS["fx_metrics"] = f"SELECT model, policy, style, gate, max_passes, {_METRIC_
 
 @query("policy_metrics", "model:i policy:s style:s " + _METRIC_COLUMNS, "SELECT * FROM fx_metrics")
 def policy_metrics(spark, sf):
-    return P.policy_metrics(final(spark, sf), M)
+    return P.policy_metrics(cells(spark, sf), M)
 
 
 @query(
@@ -123,7 +127,7 @@ def policy_metrics(spark, sf):
 GROUP BY GROUPING SETS ((model, policy, style, source), (model, policy, style))""",
 )
 def policy_metrics_by_source(spark, sf):
-    return P.policy_metrics_by_source(final(spark, sf), M)
+    return P.policy_metrics_by_source(cells(spark, sf), M)
 
 
 @query(
@@ -134,7 +138,7 @@ def policy_metrics_by_source(spark, sf):
 FROM fx_metrics b JOIN fx_metrics o USING (model, style, max_passes) WHERE b.gate = 'blind' AND o.gate = 'oracle'""",
 )
 def blind_oracle_gap(spark, sf):
-    return P.blind_oracle_gap(P.policy_metrics(final(spark, sf), M), M)
+    return P.blind_oracle_gap(P.policy_metrics(cells(spark, sf), M), M)
 
 
 _DELTAS = ["forced_accuracy", "coverage", "correction_rate", "degradation_rate"]
@@ -147,7 +151,7 @@ _DELTAS = ["forced_accuracy", "coverage", "correction_rate", "degradation_rate"]
 FROM fx_metrics t JOIN fx_metrics o USING (model, style, gate) WHERE t.max_passes = 2 AND o.max_passes = 1""",
 )
 def one_vs_two_pass(spark, sf):
-    return P.one_vs_two_pass(P.policy_metrics(final(spark, sf), M), M)
+    return P.one_vs_two_pass(P.policy_metrics(cells(spark, sf), M), M)
 
 
 @query(
@@ -157,7 +161,7 @@ def one_vs_two_pass(spark, sf):
   avg(correct_by_probs) AS direct_accuracy, avg(final_correct) AS final_accuracy FROM fx_final GROUP BY ALL""",
 )
 def regime_breakdown(spark, sf):
-    return P.regime_breakdown(final(spark, sf), M)
+    return P.regime_breakdown(cells(spark, sf), M)
 
 
 # ---------------------------------------------------------------- retries

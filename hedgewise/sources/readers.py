@@ -52,11 +52,18 @@ def keep_valid(df: DataFrame, strict: bool = True) -> DataFrame:
     return df.filter(checked).drop("reject_reason")
 
 
-def scan_mcq_csv(spark: SparkSession, path: str, split: str | None = None, strict: bool | None = True) -> DataFrame:
-    """A question CSV as typed rows. ``strict=None`` keeps every row with its ``reject_reason``."""
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+def scan_mcq_csv(
+    spark: SparkSession, path: str, split: str | None = None, strict: bool | None = True, multi_line: bool = True
+) -> DataFrame:
+    """A question CSV as typed rows. ``strict=None`` keeps every row with its ``reject_reason``.
+
+    ``multi_line`` allows line breaks inside cells, but then a file is read by one task; files
+    without them should be read with ``multi_line=False``, which lets Spark split them.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in header])
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+    raw = spark.read.schema(schema).options(**options).option("enforceSchema", False).csv(path)
     rows = validate_mcq(select_split(require_columns(raw, MCQ_REQUIRED), split))
     return rows if strict is None else keep_valid(rows, strict)
 

@@ -62,6 +62,14 @@ def test_a_missing_second_pass_falls_back(spark):
     assert twice["final_label"] == "B" and twice["final_correct"] == 1
 
 
+def test_cells_give_the_same_metrics_as_rows(spark, final):
+    thresholds = P.regime_thresholds(inputs.direct(spark, SMALL), ["model"])
+    cells = P.resolve_cells(inputs.direct(spark, SMALL), inputs.reflected(spark, SMALL), thresholds, ["model"])
+    order = ["model", "policy", "style", "source"]
+    by_cells = P.policy_metrics_by_source(cells, ["model"]).orderBy(*order).collect()
+    assert by_cells == P.policy_metrics_by_source(final, ["model"]).orderBy(*order).collect()
+
+
 def test_nothing_wrong(spark):
     schema = "row_id int, source string, gold_label string, pred_by_probs string, correct_by_probs int, entropy_over_labels double, margin double, top1_prob double"
     direct = spark.createDataFrame([(1, "s", "A", "A", 1, 0.1, 0.9, 0.9)], schema)
