@@ -36,15 +36,18 @@ def _splitters(df: DataFrame, value: str, count: int) -> Column:
     return sample.agg(F.array_sort(F.collect_set("_value")).alias("_values")).select("_values").scalar()
 
 
-def bucket_of(value: Column, splitters: Column, count: int) -> Column:
-    """How many splitters are at or below the value, by binary search."""
-    steps = [1 << k for k in reversed(range(count.bit_length()))]
+def with_bucket(df: DataFrame, value: str, splitters: Column, count: int) -> DataFrame:
+    """Add ``_bucket``: how many splitters are at or below the value, by binary search.
 
-    def advance(pos: Column, step: Column) -> Column:
-        reached = F.get(splitters, pos + step - 1) <= value
-        return F.when(reached, pos + step).otherwise(pos)
-
-    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance), F.lit(0))
+    Each halving is a projection of its own, so the whole search is generated code; as one nested
+    lambda it would be interpreted, about ten times slower.
+    """
+    rows = df.withColumn("_splitters", splitters).withColumn("_bucket", F.lit(0))
+    at = F.col("_bucket")
+    for step in (1 << k for k in reversed(range(count.bit_length()))):
+        reached = F.get("_splitters", at + (step - 1)) <= F.col(value)
+        rows = rows.withColumn("_bucket", F.when(reached, at + step).otherwise(at))
+    return rows.drop("_splitters")
 
 
 def running_totals(
@@ -69,10 +72,7 @@ def running_totals(
         rows = rows.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     else:
         rows = rows.select(*keys, value, *[c.alias(n) for n, c in sums.items()])
-    rows = rows.withColumn("_splitters", splitters).withColumn(
-        "_bucket", bucket_of(F.col(value), F.col("_splitters"), count)
-    )
-    rows = rows.select(*keys, "_bucket", value, *names)
+    rows = with_bucket(rows, value, splitters, count).select(*keys, "_bucket", value, *names)
 
     before = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")).rowsBetween(
         Window.unboundedPreceding, -1
@@ -111,9 +111,9 @@ def row_ranks(df: DataFrame, keys: list[str], order: list[str], name: str = "ran
     kept = [c for c in df.columns if c not in keys]
     count = splitter_count(df)
     splitters = _splitters(df.select(*keys, *order), order[0], count)
-    rows = df.withColumn("_splitters", splitters).select(
+    rows = with_bucket(df, order[0], splitters, count).select(
         *keys,
-        bucket_of(F.col(order[0]), F.col("_splitters"), count).alias("_bucket"),
+        "_bucket",
         F.struct(*order).alias("_order"),
         F.struct(*kept).alias("_row"),
         F.lit(1).cast("bigint").alias("_n"),

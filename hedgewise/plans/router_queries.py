@@ -100,6 +100,7 @@ def prepared(spark, sf):
     """Stored matrix, split 80/20 by label, imputed and standardised with the training part's numbers."""
     stored = materialise(matrix(spark, sf).drop("original_question", "first_token_top5_logprobs"), "matrix")
     split = stored.join(stratified_holdout(stored, R.LABEL).select("row_id", "split"), "row_id")
+    split = materialise(split, "matrix-split")
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     columns = X.feature_columns(stored)
     train, test = R.impute_median(train, columns, test)
@@ -199,7 +200,7 @@ def semantic_pca(spark, sf):
 @query("ablation_compare", "strategy:s n_features:i train_f1:d cv_f1:d test_f1:d test_auc:d")
 def ablation_compare(spark, sf):
     wide = materialise(matrix(spark, sf, components(spark, sf)).drop("original_question", "first_token_top5_logprobs"), "matrix38")
-    split = wide.join(stratified_holdout(wide, R.LABEL).select("row_id", "split"), "row_id")
+    split = materialise(wide.join(stratified_holdout(wide, R.LABEL).select("row_id", "split"), "row_id"), "split38")
     columns = X.feature_columns(wide)
     train, test = R.impute_median(split.filter("split = 'train'"), columns, split.filter("split = 'test'"))
     train, test = R.standardise(train, columns, test)
