@@ -9,6 +9,8 @@ from hedgewise.functions.logits import (
     entropy_from_logits,
     label_distribution,
     log_sum_exp,
+    smoothed_entropy,
+    softmax,
     top5_features,
     topk_logprobs,
 )
@@ -37,16 +39,20 @@ def step_signals(steps: DataFrame, k: int = 5) -> DataFrame:
 def generation_signals(steps: DataFrame, rows: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """Five signals per generation; generations without steps are all missing.
 
-    Each step shrinks to a few numbers before the shuffle on the row key.
+    Each step shrinks to a few numbers before the shuffle on the row key. The top-k travel as
+    single numbers, which keeps the aggregate a hash aggregate.
     """
     first = lambda c: F.min_by(c, "step")
-    per_row = step_signals(steps, k).groupBy(*keys).agg(
+    top = [f"_top{i}" for i in range(k)]
+    numbers = step_signals(steps, k).withColumns({t: F.get("step_topk", F.lit(i)) for i, t in enumerate(top)})
+    per_row = numbers.groupBy(*keys).agg(
         first("step_entropy").alias("first_token_entropy"),
         F.avg("step_entropy").alias("avg_entropy"),
         F.exp(F.avg("step_nll")).alias("perplexity"),
         F.exp(-first("step_nll")).alias("chosen_token_prob"),
-        first("step_topk").alias("first_token_top5_logprobs"),
+        *[first(t).alias(t) for t in top],
     )
+    per_row = per_row.withColumn("first_token_top5_logprobs", F.array(*top)).drop(*top)
     return rows.join(per_row, keys, "left")
 
 
@@ -67,6 +73,22 @@ def label_scores(token_logprobs: DataFrame, label_tokens: DataFrame, keys: list[
     return scored
 
 
+def label_score_arrays(scores: DataFrame, keys: list[str], labels: list[str], missing: str = "neg_inf") -> DataFrame:
+    """One row per key with ``scores`` in the order of ``labels``.
+
+    A label none of whose tokens was recorded scores -inf, or fails with ``missing="error"``.
+    """
+    if missing not in ("neg_inf", "error"):
+        raise ValueError(f"unknown rule {missing!r}")
+    absent = F.lit(float("-inf"))
+    columns = []
+    for label in labels:
+        found = F.max(F.when(F.col("label") == label, F.col("score")))
+        gap = absent if missing == "neg_inf" else F.raise_error(F.lit(f"no token for label {label}")).cast("double")
+        columns.append(F.when(found.isNotNull(), found).otherwise(gap))
+    return scores.groupBy(*keys).agg(F.array(*columns).alias("scores"))
+
+
 def label_scores_wide(logprobs: Column, token_sets: list[tuple[str, list[int]]]) -> Column:
     """The same from a whole log-probability vector, without leaving the row."""
     scores = []
@@ -88,7 +110,7 @@ def direct_pass(rows: DataFrame, scores: Column, labels: Column, gold: Column, v
         F.col("_d.top2_prob").alias("top2_prob"),
         F.col("_d.margin").alias("margin"),
         F.col("_d.entropy").alias("entropy_over_labels"),
-        entropy_from_logits(vocab).alias("entropy_over_vocab"),
+        smoothed_entropy(softmax(vocab)).alias("entropy_over_vocab"),
     )
 
 
@@ -170,8 +192,10 @@ def feature_columns(df: DataFrame, drop_prefixes: tuple[str, ...] = ()) -> list[
 
 
 def feature_name_list(df: DataFrame) -> DataFrame:
-    """The names as a table, read off the schema."""
+    """The feature names in matrix order with how many rows have a value, in one aggregate."""
     names = feature_columns(df)
-    return df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, feature string")
+    counts = df.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "feature", "n_present")
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")).cast("int") - 1
+    return counts.withColumn("position", order)
 
 

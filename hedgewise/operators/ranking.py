@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hedgewise.operators.ranks import running_totals
+from hedgewise.operators.ranks import percentile_table, running_totals
+from hedgewise.session import join_small
 
 
 def unpivot_signals(df: DataFrame, ids: list[str], signals: list[str]) -> DataFrame:
@@ -140,7 +141,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
     rank_x = running_totals(both, [], "x", one).select("x", average.alias("rank_x"))
     rank_y = running_totals(both, [], "y", one).select("y", average.alias("rank_y"))
-    return weighted_correlation(pairs.join(rank_x, "x").join(rank_y, "y"), "rank_x", "rank_y", "w")
+    # Few distinct values can each hold many rows; their ranks are then few and broadcast.
+    ranked = join_small(join_small(pairs, rank_x, ["x"], "inner"), rank_y, ["y"], "inner")
+    return weighted_correlation(ranked, "rank_x", "rank_y", "w")
 
 
 def weighted_correlation(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
@@ -235,7 +238,5 @@ def signal_histogram(df: DataFrame, signal: str, by: str, bins: int = 40) -> Dat
 
 def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """Five-number summary per group, exact and without holding a group in one task."""
-    from hedgewise.operators.ranks import percentile_table
-
     names = {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
     return percentile_table(df, [by], value, names)

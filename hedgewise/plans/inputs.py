@@ -97,7 +97,7 @@ _DIRECT_COLUMNS = """model, row_id, source,
 VIEWS["fx_direct"] = f"""
 SELECT *, (pred_by_probs = gold_label)::INT AS correct_by_probs, (pred_generated = gold_label)::INT AS correct_generated
 FROM (SELECT {_DIRECT_COLUMNS},
-  -list_sum(list_transform(p8, lambda x: x * ln(x))) AS entropy_over_vocab,
+  -list_sum(list_transform(p8, lambda x: x * ln(x + 1e-12))) AS entropy_over_vocab,
   substr('ABCD', 1 + ((list_position(vocab, list_max(vocab)) - 1) % 4)::INT, 1) AS pred_generated FROM fx_probs)"""
 
 

@@ -59,7 +59,13 @@ def scan_matrix(spark, sf):
     return df.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "n_present")
 
 
-@query("feature_name_list", "position:i feature:s", " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(FEATURES)))
+@query(
+    "feature_name_list",
+    "position:i feature:s n_present:i",
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS feature, count({c}) AS n_present FROM fx_matrix" for i, c in enumerate(FEATURES)
+    ),
+)
 def feature_name_list(spark, sf):
     return X.feature_name_list(matrix(spark, sf))
 

@@ -172,12 +172,15 @@ def mcq_user_message(spark, sf):
 
 @query(
     "system_prompt",
-    "row_id:i plain:s with_reference:s",
-    f"SELECT row_id, {_SYSTEM.format('')} AS plain, {_SYSTEM.format(_REFERENCE)} AS with_reference FROM fx_prompts",
+    "row_id:i plain:s with_reference:s brief:s",
+    f"""SELECT row_id, {_SYSTEM.format('')} AS plain, {_SYSTEM.format(_REFERENCE)} AS with_reference,
+  'You are a multiple-choice question answering system. Read the question and options carefully. ' ||
+  'Return only the final answer label, one of A, B, C, D. Do not explain your reasoning.' AS brief FROM fx_prompts""",
 )
 def system_prompt(spark, sf):
     return _prompts(spark, sf).select(
-        "row_id", P.system_prompt(F.col("labels")).alias("plain"), P.system_prompt(F.col("labels"), True).alias("with_reference")
+        "row_id", P.system_prompt(F.col("labels")).alias("plain"), P.system_prompt(F.col("labels"), True).alias("with_reference"),
+        P.system_prompt(F.col("labels"), brief=True).alias("brief"),
     )
 
 
@@ -205,7 +208,11 @@ def passage_gate(spark, sf):
     return _prompts(spark, sf).select("row_id", gated.alias("passage"))
 
 
-_DIRECT = f"'system: ' || {_SYSTEM.format('')} || ' ### user: ' || {_USER}"
+_BRIEF = (
+    "'You are a multiple-choice question answering system. Read the question and options carefully. "
+    "Return only the final answer label, one of A, B, C, D. Do not explain your reasoning.'"
+)
+_DIRECT = f"'system: ' || {_BRIEF} || ' ### user: ' || {_USER}"
 
 
 @query("direct_messages", "row_id:i chat:s", f"SELECT row_id, {_DIRECT} AS chat FROM fx_prompts")
@@ -213,6 +220,19 @@ def direct_messages(spark, sf):
     return _prompts(spark, sf).select("row_id", _flat(P.direct_messages(*_parts())).alias("chat"))
 
 
+@query(
+    "retrieval_messages",
+    "row_id:i chat:s",
+    f"""SELECT row_id, 'system: ' || CASE WHEN source = 'PROMO' THEN {_SYSTEM.format('')} ELSE {_SYSTEM.format(_REFERENCE)} END
+  || ' ### user: ' || CASE WHEN source = 'PROMO' THEN '' ELSE 'Reference Information:' || chr(10) || passage || chr(10) || chr(10) END
+  || {_USER} AS chat FROM fx_prompts""",
+)
+def retrieval_messages(spark, sf):
+    reference = F.when(F.col("source") != "PROMO", F.col("passage")).otherwise("")
+    chat = P.retrieval_messages(*_parts(), reference=reference)
+    return _prompts(spark, sf).select("row_id", _flat(chat).alias("chat"))
+
+
 @query(
     "retry_messages",
     "row_id:i chat:s",
@@ -245,7 +265,7 @@ _TEXT_CASES = " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_STYLES
     "reflection_messages",
     "row_id:i reflection_pass:i style:s chat:s",
     f"""SELECT row_id, reflection_pass, CASE k {_NAME_CASES} END AS style,
-  'system: ' || {_SYSTEM.format('')} || ' ' || CASE k {_TEXT_CASES} END || ' ### user: ' || {_USER} AS chat
+  'system: ' || {_BRIEF} || ' ' || CASE k {_TEXT_CASES} END || ' ### user: ' || {_USER} AS chat
 FROM (SELECT *, (unicode(previous) - 65 + reflection_pass - 1) % 4 AS k
       FROM fx_prompts, (SELECT unnest([1, 2]) AS reflection_pass) r)""",
 )

@@ -101,6 +101,19 @@ def label_scores(spark, sf):
     return features.label_scores(tokens, spelling, ["model", "row_id"])
 
 
+@query(
+    "label_scores_prediction",
+    ID + " pred:s top1_prob:d margin:d",
+    """SELECT model, row_id, arg_max(label, score) AS pred, max(w) AS top1_prob, max(w) - list_reverse_sort(list(w))[2] AS margin
+FROM (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY model, row_id) AS w FROM fx_label_scores) GROUP BY ALL""",
+)
+def label_scores_prediction(spark, sf):
+    wide = features.label_score_arrays(label_scores(spark, sf), ["model", "row_id"], ["A", "B", "C", "D", "E"])
+    labels = F.array(*[F.lit(x) for x in "ABCDE"])
+    d = wide.withColumn("d", L.label_distribution(F.col("scores"), labels))
+    return d.select("model", "row_id", "d.pred", "d.top1_prob", "d.margin")
+
+
 @query(
     "label_scores_wide",
     ID + " label:s score:d",
