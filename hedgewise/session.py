@@ -51,13 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str, factor: int = 4) -> DataFrame:
-    """Give heavy per-row work one piece per core when a table comes in far fewer pieces.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work one piece per core when a table comes in fewer pieces than cores.
 
     Large tables have many more splits than cores and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * factor > cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def _row_bytes(df: DataFrame) -> int:
