@@ -33,8 +33,13 @@ def draw(seed: int, *columns: str) -> Column:
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
-    """The text column with nulls as empty texts."""
-    return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    """The text column with nulls as empty texts.
+
+    A slice is copied: Arrow's string kernels misread arrays that start inside their buffers.
+    """
+    column = batch.column(name)
+    column = column.take(pa.array(np.arange(len(column)))) if column.offset else column
+    return pc.fill_null(column.cast(pa.large_string()), "")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -92,8 +97,26 @@ def shingle_hashes(word_hashes: np.ndarray, counts: np.ndarray, size: int) -> tu
     return out, shingles
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, which bounds the memory that vectorised steps need."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int, nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``nbytes`` bytes (or one row), which bounds memory."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = int(np.searchsorted(upto, before + nbytes, side="right"))
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of the texts one after another, and the length of each."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+    return raw, np.diff(ends)
