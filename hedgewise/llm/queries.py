@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import fingerprints, sharding, token_counts, token_files
-from hedgewise.llm.common import table
+from hedgewise.llm import fingerprints, language_id, sharding, token_counts, token_files
+from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
 SHARDS = 24
@@ -23,6 +23,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(4, 2)
+    found = language_id.predict(docs, language_id.fit(docs, ~apart))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -34,6 +41,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op5_language_id": op5_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_files": op7_token_files,
 }
