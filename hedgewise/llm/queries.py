@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import fingerprints, language_id, sharding, token_counts, token_files
+from hedgewise.llm import fingerprints, language_id, sharding, token_counts, token_files, toxicity
 from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
@@ -38,11 +38,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(5, 0)
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~apart)
+    return toxicity.score(docs, machine).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op5_language_id": op5_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_files": op7_token_files,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
