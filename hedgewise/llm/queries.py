@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import fingerprints, language_id, sharding, token_counts, token_files, toxicity
+from hedgewise.llm import fingerprints, language_id, near_dedup, sharding, token_counts, token_files, toxicity
 from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
@@ -38,6 +38,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = held_out(5, 0)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_files": op7_token_files,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
