@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import fingerprints, language_id, near_dedup, sharding, token_counts, token_files, toxicity
+from hedgewise.llm import decontamination, fingerprints, language_id, near_dedup, sharding, token_counts, token_files, toxicity
 from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
@@ -23,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = held_out(4, 2)
@@ -52,10 +57,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontamination.ORACLE_SQL}
