@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import decontamination, fingerprints, language_id, near_dedup, sharding, token_counts, token_files, toxicity
+from hedgewise.llm import decontamination, fingerprints, language_id, mixing, near_dedup, sharding, token_counts, token_files, toxicity
 from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
@@ -54,6 +54,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
+def fitted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixing.Mix:
+    """Equal shares of the languages and a tenth of low quality; the classifier learns from the labelled documents."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    classifier = mixing.fit_classifier(documents, mixing.quality_domains(documents, labels))
+    return mixing.fit(docs, classifier, mixing.balanced_weights(classifier.domains))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.apply(docs, fitted_mix(spark, docs, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -63,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontamination.ORACLE_SQL}
