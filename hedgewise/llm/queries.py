@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import decontamination, fingerprints, language_id, mixing, near_dedup, sharding, token_counts, token_files, toxicity
+from hedgewise.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, sharding, token_counts, token_files, toxicity
 from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
@@ -28,6 +28,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(found)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(7, 2)
+    counts = lm_scoring.word_counts(docs, ~apart)
+    scored = lm_scoring.score(docs, lm_scoring.fit(docs, ~apart, counts), counts)
+    return scored.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = held_out(4, 2)
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_files": op7_token_files,
