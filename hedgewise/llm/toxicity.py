@@ -262,8 +262,8 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_i
     return train([(r["toxic"] == 1, sorted(r["windows"])) for r in found])
 
 
-def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, predicted (score >= 0.5) per row. A null or empty text, or one without windows, has no evidence: score 0."""
+def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, score, predicted (score >= 0.5) and the columns in ``carry`` per row. A null or empty text, or one without windows, has no evidence: score 0."""
     shared = df.sparkSession.sparkContext.broadcast(machine)  # SYMBOLS ** 3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,12 @@ def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "
                 np.maximum.at(largest, owners, known.value(names)[at])
             value = np.where(np.isfinite(largest), known.score(np.where(np.isfinite(largest), largest, 0.0)), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
+                [batch.column("doc_id"), batch.column("row"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))],
+                ["doc_id", "row", "score", "predicted"],
             )
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    carry = list(carry or [])
+    packed = F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("row")
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), packed)
+    out = rows.mapInArrow(run, f"doc_id bigint, row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+    return out.select("doc_id", *[F.col("row")[c].alias(c) for c in carry if c != "doc_id"], "score", "predicted")
