@@ -30,7 +30,7 @@ WINDOW, STRIDE = 16, 8
 FIRST, LAST = "\x02", "\x03"  # a window's ends count as characters of it, so that a beginning differs from a middle
 PADDED = WINDOW + 2
 SYMBOLS = 48  # characters with a symbol of their own; symbol 0 matches no landmark
-LANDMARKS = 160
+LANDMARKS = 128
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000  # expected labelled documents of each kind the machine is trained on
 ROUNDS, EPOCHS, HARD = 4, 250, 4000
 RARE, CAUTION = 0.02, 2.0  # share of clean documents a telling window may occur in; weight of clean windows
@@ -247,7 +247,8 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_i
     sizes = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("_toxic") == 1, SAMPLE_TOXIC / max(1, sizes.get(1, 0))).otherwise(SAMPLE_CLEAN / max(1, sizes.get(0, 0)))
     picked = marks.filter(draw(9, "_id") < share)
-    rows = df.join(picked, F.col(doc_id) == F.col("_id")).filter(F.col(text).isNotNull()).select("_id", "_toxic", F.col(text).alias("text"))
+    # The sample's ids, at most a few thousand by its parameters, go to the texts instead of the texts to them.
+    rows = df.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).filter(F.col(text).isNotNull()).select("_id", "_toxic", F.col(text).alias("text"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
