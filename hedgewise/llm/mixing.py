@@ -92,7 +92,8 @@ def fit_classifier(df: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", t
     for name, n in sizes.items():
         share = F.when(F.col("domain") == name, SAMPLE_PER_DOMAIN / n).otherwise(share)
     picked = marks.filter(draw(21, doc_id) < share).select(F.col(doc_id).alias("_id"), "domain")
-    rows = df.join(picked, F.col(doc_id) == F.col("_id")).filter(F.col(text).isNotNull()).select("_id", "domain", F.col(text).alias("text"))
+    # The sample's ids, bounded by its parameter and the number of domains, go to the texts.
+    rows = df.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).filter(F.col(text).isNotNull()).select("_id", "domain", F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
