@@ -30,16 +30,17 @@ from hedgewise.session import materialise, scratch_path
 SEQUENCE_LENGTH = 2048
 SEQUENCES_PER_BATCH = 32
 CACHED_WORDS = 400_000
-WORDS_PER_CALL = 4096
+WORDS_PER_CALL, WORDS_PER_TEXT = 4096, 64
 
 
 class WordEncoder:
     """Ids of texts under a tokenizer that never joins text across white space.
 
     Such a tokenizer gives a text the ids of its white-space separated words in turn, so each distinct word
-    is encoded once by the library and texts are put together from the results. Case is folded first only
-    for ASCII letters and only where no special string can occur, which the tokenizer's own lower-casing
-    would do anyway.
+    is encoded once by the library and texts are put together from the results. A word that ends in ASCII
+    marks after an ASCII letter is put together from its stem and its marks, for those marks at which the
+    tokenizer proves to cut. Where no special string can occur, ASCII letters are folded first as the
+    tokenizer would, and words are handed over many at a time with a special token between them.
     """
 
     def __init__(self, path: str):
@@ -48,31 +49,50 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.lowers = self.library.encode("A", add_special_tokens=False).ids == self.library.encode("a", add_special_tokens=False).ids
-        self.special = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHED_WORDS:
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.lowers = ids("A") == ids("a")
+        added = sorted((t.content, k) for k, t in self.library.get_added_tokens_decoder().items() if t.special)
+        self.special = sorted({content[:2] for content, _ in added})
+        self.between = added[0] if added and ids(f"a{added[0][0]}b") == [*ids("a"), added[0][1], *ids("b")] else None
+        marks = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'"]
+        self.marks = "".join(c for c in marks if ids(f"ab{c}") == ids("ab") + ids(c) and ids(f"ab{c}.") == ids("ab") + ids(f"{c}."))
+
+    def _encoded(self, words: list[str], plain: bool) -> list[bytes]:
+        if not (plain and self.between):
+            return [np.asarray(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        text, number = self.between
+        chunks = [words[k : k + WORDS_PER_TEXT] for k in range(0, len(words), WORDS_PER_TEXT)]
+        out: list[bytes] = []
+        for e in self.library.encode_batch_fast([text.join(c) for c in chunks], add_special_tokens=False):
+            ids = np.asarray(e.ids, np.int64)
+            cuts = [-1, *np.flatnonzero(ids == number).tolist(), len(ids)]
+            raw, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            out += [raw[(a + 1) * width : b * width] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _parts(self, word: str, plain: bool) -> tuple[str, str]:
+        """The word's stem and its closing marks, which may be empty."""
+        stem = word.rstrip(self.marks) if plain else word
+        return (stem, word[len(stem) :]) if stem and stem[-1].isascii() and stem[-1].isalpha() else (word, "")
+
+    def _pieces(self, words: list[str], plain: bool) -> list[bytes]:
+        parts = [self._parts(w, plain) for w in words]
+        missing = [p for p in dict.fromkeys(x for pair in parts for x in pair if x) if p not in self.cache]
+        if missing and len(self.cache) + len(missing) > CACHED_WORDS:
             self.cache.clear()
-        for at in range(0, len(words), WORDS_PER_CALL):
-            part = words[at : at + WORDS_PER_CALL]
-            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            for word, e in zip(part, encoded, strict=True):
-                self.cache[word] = np.asarray(e.ids, self.dtype).tobytes()
+            missing = list(dict.fromkeys(x for pair in parts for x in pair if x))
+        for k in range(0, len(missing), WORDS_PER_CALL):
+            part = missing[k : k + WORDS_PER_CALL]
+            self.cache.update(zip(part, self._encoded(part, plain), strict=True))
+        get = self.cache.__getitem__
+        return [get(a) + get(b) if b else get(a) if a else b"" for a, b in parts]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, each text closed by ``end_id``, and the length of each."""
-        fold = self.lowers and not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special)
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if fold else texts)
+        plain = not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain and self.lowers else texts)
         words, owners = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy()
-        distinct = words.dictionary.to_pylist()
-        missing = [w for w in distinct if w not in self.cache]
-        if missing:
-            self._learn(missing)
-        missing = [w for w in distinct if w not in self.cache]  # the cache was emptied
-        if missing:
-            self._learn(missing)
-        pieces = [self.cache[w] for w in distinct]
+        pieces = self._pieces(words.dictionary.to_pylist(), plain)
         flat = np.frombuffer(b"".join(pieces), self.dtype)
         length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // flat.itemsize
         begin = np.cumsum(length) - length
@@ -195,7 +215,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return manifest.repartition("path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps Spark from joining the tasks
+    return manifest.repartition(files, "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def _used(batch: pa.RecordBatch) -> np.ndarray:
