@@ -7,9 +7,10 @@
 3. In the buckets of the first ``STAR_BANDS`` bands every member is compared with the bucket's smallest id.
    Confirmed links are joined into components, which swallows large groups of near copies at linear cost.
 4. In all buckets that still hold several components, members of different components are compared by bit
-   counts of their packed signatures, block against block. Pairs whose collision-corrected estimate is below
-   ``LOWEST`` (seven standard errors under the threshold) are dropped, the others confirmed on their full
-   sets. Two members of one component need no further test: the components are already what they would be.
+   counts of their packed signatures, block against block; a bucket's largest component is not compared with
+   itself, so its members are dealt out once. A pair is looked at in the first band it shares. Pairs whose
+   collision-corrected estimate is below ``LOWEST`` (over four standard errors under the threshold) are
+   dropped, the others confirmed on their full sets. Two members of one component need no further test: the components are already what they would be.
 
 So a link is lost only if the bands or the estimate miss it (less than one in a million), whatever the size
 of the bucket, and no bucket is cut short.
@@ -32,8 +33,8 @@ BANDS, ROWS, BITS = 40, 4, 4
 HASHES = BANDS * ROWS
 STAR_BANDS = 8
 SHARE, OF = 75, 100  # a link: OF * intersection >= SHARE * union
-LOWEST = 0.5
-BLOCK = 256
+LOWEST = 0.58
+BLOCK = 512
 BROADCAST_IDS = 1 << 21  # candidate ids that may be broadcast (16 MB); beyond, the texts are shuffled to them
 _LOW = np.uint64(0x1111111111111111)
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -139,9 +140,10 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _pairs(rows: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     column = lambda c: rows.column(c).to_numpy()
-    rep, comp, own, n, lo, hi = (column(c) for c in ("rep", "comp", "own", "n", "lo", "hi"))
+    rep, comp, own, n, lo, hi, band = (column(c) for c in ("rep", "comp", "own", "n", "lo", "hi", "band"))
     words = HASHES * BITS // 64
     bits = rows.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+    keys = rows.column("bands").flatten().to_numpy().reshape(-1, BANDS)
     found: list[np.ndarray] = []
     for start, end in zip(cuts[:-1], cuts[1:], strict=True):
         left = start + np.flatnonzero(own[start:end] == lo[start])
@@ -159,10 +161,11 @@ def _pairs(rows: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             equal = 1 - np.bitwise_count(x & _LOW).sum(axis=1) / HASHES
-            likely = (equal - 0.5**BITS) / (1 - 0.5**BITS) >= LOWEST
-            if likely.any():
-                ends = np.stack([rep[part[i[likely]]], rep[right[j[likely]]]])
-                found.append(np.sort(ends, axis=0))
+            likely = np.flatnonzero((equal - 0.5**BITS) / (1 - 0.5**BITS) >= LOWEST)
+            a, b = part[i[likely]], right[j[likely]]
+            first = ~(keys[a, : band[start]] == keys[b, : band[start]]).any(axis=1)
+            if first.any():
+                found.append(np.sort(np.stack([rep[a[first]], rep[b[first]]]), axis=0))
     if found:
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -195,14 +198,24 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     links = _confirmed(stars, nodes, sets)
     joined = connected(links).withColumnRenamed("node", "rep")
 
-    placed = inside.select("key", "rep").join(joined, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = inside.select("key", "band", "rep").join(joined, "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = materialise(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count("*").alias("_size"))
-    mixed = mixed.filter("_least <> _most").select("key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("blocks"))
-    spread = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.join(nodes.select("rep", "n", "bits"), "rep").select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "n", "bits"
+    by_component = placed.groupBy("key", "comp").agg(F.count("*").alias("_n"))
+    mixed = by_component.groupBy("key").agg(
+        F.count("*").alias("_comps"), F.max(F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("_all")
+    )
+    blocks = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("int")
+    mixed = mixed.filter("_comps > 1").select(
+        "key", F.col("_most.comp").alias("largest"), blocks(F.col("_most._n")).alias("nl"), blocks(F.col("_all") - F.col("_most._n")).alias("nr")
+    )
+    # The largest component's blocks are numbered first; they meet the blocks of the rest, which also meet each other.
+    inner = F.col("comp") == F.col("largest")
+    spread = placed.join(mixed, "key")
+    drawn = F.when(inner, F.pmod(F.xxhash64("rep"), F.col("nl"))).otherwise(F.col("nl") + F.pmod(F.xxhash64("rep"), F.col("nr")))
+    meets = F.sequence(F.when(inner, F.col("nl")).otherwise(F.lit(0)), F.col("nl") + F.col("nr") - 1)
+    spread = spread.withColumn("own", drawn.cast("int")).withColumn("other", F.explode(meets))
+    spread = spread.join(nodes.select("rep", "n", "bits", "bands"), "rep").select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "rep", "comp", "n", "bits", "bands"
     )
     dealt = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     across = dealt.mapInArrow(_compare_blocks, "a bigint, b bigint").distinct()
