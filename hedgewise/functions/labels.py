@@ -14,8 +14,14 @@ def _none_if_empty(text: Column) -> Column:
 
 
 def parse_list_literal(text: Column) -> Column:
-    """``['A', 'B']`` as an array of strings; anything that is not a list gives null."""
-    body = F.regexp_replace(strip(text), rf"(?<=[\[,])(\s*)None(?=\s*[,\]])", "$1null")
+    """``['A', 'B']`` as an array of strings; anything that is not a list gives null.
+
+    ``None`` between commas is a missing entry; inside a quoted text it is text.
+    """
+    # Quoted texts are matched first and put back as they are.
+    single, double = r"'(?:[^'\\]|\\.)*'", r'"(?:[^"\\]|\\.)*"'
+    marked = F.regexp_replace(strip(text), rf"({single}|{double})|(?<=[\[,\s])None(?=\s*[,\]])", "$1\ue000")
+    body = F.regexp_replace(F.regexp_replace(marked, "(?<=['\"])\ue000", ""), "\ue000", "null")
     parsed = F.from_json(
         body, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
     )

@@ -66,10 +66,10 @@ def simple_flags(text: Column) -> dict[str, Column]:
     }
 
 
-def question_fingerprint(text: Column, head_chars: int | None = 200) -> Column:
+def question_fingerprint(text: Column, head_chars: int | None = None) -> Column:
     """md5 of the question after cutting, stripping and lower-casing, in that order.
 
-    The cut at 200 characters is part of the fingerprint's definition; ``None`` takes the whole text.
+    The whole text by default; ``head_chars=200`` gives the published form, which looks at the beginning only.
     """
     t = safe_text(text)
     if head_chars is not None:

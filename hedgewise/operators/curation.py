@@ -10,12 +10,12 @@ from hedgewise.operators.ranks import row_ranks
 from hedgewise.session import join_small
 
 
-def with_fingerprint(df: DataFrame, head_chars: int | None = 200) -> DataFrame:
+def with_fingerprint(df: DataFrame, head_chars: int | None = None) -> DataFrame:
     return df.withColumn("fingerprint", question_fingerprint(F.col("question"), head_chars))
 
 
-def dedup_against_pool(new: DataFrame, pool: DataFrame, head_chars: int | None = 200) -> DataFrame:
-    """Rows whose fingerprint the pool does not hold.
+def dedup_against_pool(new: DataFrame, pool: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """Rows whose fingerprint the pool does not hold. ``head_chars=200`` compares beginnings only.
 
     The pool is reduced to distinct fingerprints before the join, so a question copied many
     times in it is one row, and a pool of counted, small size is broadcast, so that the new rows
@@ -25,16 +25,16 @@ def dedup_against_pool(new: DataFrame, pool: DataFrame, head_chars: int | None =
     return join_small(with_fingerprint(new, head_chars), known, ["fingerprint"], "left_anti")
 
 
-def dedup_report(new: DataFrame, pool: DataFrame, head_chars: int | None = 200) -> DataFrame:
+def dedup_report(new: DataFrame, pool: DataFrame) -> DataFrame:
     """How many new rows are available and excluded.
 
     Both sides are counted per fingerprint first, so a question copied a billion times is one
     row by the time fingerprints meet.
     """
-    mine = with_fingerprint(new.select("question"), head_chars).groupBy("fingerprint").agg(
+    mine = with_fingerprint(new.select("question")).groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("copies")
     )
-    known = with_fingerprint(pool.select("question"), head_chars).select("fingerprint", F.lit(True).alias("known"))
+    known = with_fingerprint(pool.select("question")).select("fingerprint", F.lit(True).alias("known"))
     met = mine.join(known.distinct(), "fingerprint", "left")
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("copies"))), F.lit(0))
     return met.agg(
@@ -44,12 +44,12 @@ def dedup_report(new: DataFrame, pool: DataFrame, head_chars: int | None = 200)
     )
 
 
-def drop_repeats(df: DataFrame, head_chars: int | None = 200) -> DataFrame:
+def drop_repeats(df: DataFrame) -> DataFrame:
     """One row per fingerprint, the one with the smallest row_id.
 
     Only (fingerprint, row_id) is aggregated; copies combine in each task before the shuffle.
     """
-    rows = with_fingerprint(df, head_chars)
+    rows = with_fingerprint(df)
     first = rows.groupBy("fingerprint").agg(F.min("row_id").alias("row_id")).select("row_id")
     return rows.join(first, "row_id", "left_semi")
 
@@ -280,12 +280,14 @@ def select_split(df: DataFrame, split: str | None = None) -> DataFrame:
             raise ValueError("the table has no 'split' column but a split was requested")
         return df
     normal = F.lower(strip(F.col("split").cast("string")))
-    present = sorted(r[0] for r in df.select(normal.alias("s")).filter("s is not null").distinct().limit(1000).collect())
+    rows = df.withColumn("split", normal)
     if split is None:
-        if len(present) > 1:
-            raise ValueError(f"several splits present, choose one of {present}")
-        return df.withColumn("split", normal)
-    wanted = split.strip().lower()
-    if wanted not in present:
-        raise ValueError(f"no rows with split {split!r}; present: {present}")
-    return df.withColumn("split", normal).filter(F.col("split") == wanted)
+        ends = rows.agg(F.min("split").alias("low"), F.max("split").alias("high")).first()
+        if ends["low"] != ends["high"]:
+            raise ValueError(f"several splits present, from {ends['low']!r} to {ends['high']!r}; choose one")
+        return rows
+    chosen = rows.filter(F.col("split") == split.strip().lower())
+    if chosen.isEmpty():
+        some = sorted(r[0] for r in rows.select("split").filter("split is not null").distinct().limit(20).collect())
+        raise ValueError(f"no rows with split {split!r}; present are, among others: {some}")
+    return chosen

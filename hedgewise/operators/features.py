@@ -117,17 +117,19 @@ def direct_pass(rows: DataFrame, scores: Column, labels: Column, gold: Column, v
 def token_class_shares(questions: DataFrame, lexicon: DataFrame, text: str = "question") -> DataFrame:
     """Share of noun-like and verb-like tokens per row, and the number of capitalised phrases.
 
-    The lexicon (token, token_class) is user data. Tokens of a row meet in one task, so the
+    The lexicon (token, token_class) is user data; a token listed under several classes counts once for
+    each share and once in the total. Tokens of a row meet in one task, so the
     aggregate sends one row per question. No tokens give 0.
     """
     tokens = questions.select(
         "row_id", F.explode(F.regexp_extract_all(F.lower(safe_text(F.col(text))), F.lit(f"({WORD}+)"), F.lit(1))).alias("token")
     )
-    known = join_small(tokens, lexicon.select("token", "token_class").distinct(), ["token"], "left")
-    is_class = lambda *names: F.count_if(F.col("token_class").isin(*names)).cast("double")
+    listed = lambda *names: F.max(F.col("token_class").isin(*names))
+    classes = lexicon.groupBy("token").agg(listed("NOUN", "PROPN").alias("noun"), listed("VERB", "AUX").alias("verb"))
+    known = join_small(tokens, classes, ["token"], "left")
     shares = known.groupBy("row_id").agg(
-        (is_class("NOUN", "PROPN") / F.count(F.lit(1))).alias("_noun"),
-        (is_class("VERB", "AUX") / F.count(F.lit(1))).alias("_verb"),
+        (F.count_if("noun").cast("double") / F.count(F.lit(1))).alias("_noun"),
+        (F.count_if("verb").cast("double") / F.count(F.lit(1))).alias("_verb"),
     )
     phrases = F.size(capitalised_phrases(safe_text(F.col(text)))).cast("double")
     zero = F.lit(0.0)
@@ -148,6 +150,15 @@ def target_label(is_correct: Column) -> Column:
     return (~is_correct).cast("int")
 
 
+# The columns of a router matrix without components.
+FEATURE_NAMES = """
+feat_char_count feat_word_count feat_avg_word_len feat_punct_count feat_has_negation feat_negation_count feat_has_comparison
+feat_comparison_count feat_has_quant feat_quant_count feat_entity_count feat_noun_ratio feat_verb_ratio feat_first_token_entropy
+feat_avg_entropy feat_perplexity feat_chosen_token_prob feat_prob_margin feat_top2_margin feat_top5_entropy feat_dist_kurtosis
+feat_dist_std
+""".split()
+
+
 def model_features() -> dict[str, Column]:
     signals = ["first_token_entropy", "avg_entropy", "perplexity", "chosen_token_prob"]
     shape = F.col("_shape")

@@ -87,11 +87,10 @@ def policy_gate(rows: DataFrame, regime_col: str = "regime", correct: str = "cor
 def collect_passes(reflections: DataFrame, keys: list[str]) -> DataFrame:
     """Recorded passes 1 and 2 side by side, one row per key and style.
 
-    Partitioned by the join key up front: the aggregate and the later join share that one shuffle.
+    The aggregate and the later join share one shuffle by the join key.
     """
     at = lambda p, c: F.max(F.when(F.col("reflection_pass") == p, F.col(c)))
-    together = reflections.repartition(*keys, "row_id")
-    return together.groupBy(*keys, "row_id", "style").agg(
+    return reflections.groupBy(*keys, "row_id", "style").agg(
         *[
             at(p, c).alias(f"{c}_{p}")
             for p in (1, 2)
@@ -107,12 +106,15 @@ DIRECT = ["source", "gold_label", "pred_by_probs", "correct_by_probs", "regime"]
 def _with_passes(direct: DataFrame, reflections: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (row, style): the direct answer and what each pass would say, with regimes.
 
-    A pass that was not recorded says what the one before it said. Thresholds are attached once;
+    Every direct row stays, in every style that was recorded at all: re-asking is normally recorded for gated
+    rows only. Without any recorded style there is one, named null. A pass that was not recorded says what the one before it said. Thresholds are attached once;
     the regimes are then plain expressions.
     """
     passes = collect_passes(reflections, keys)
     plain = ["gold_label", "pred_by_probs", "correct_by_probs", "source", "entropy_over_labels", "margin"]
-    met = direct.select(*keys, "row_id", *plain).join(passes, [*keys, "row_id"])
+    styles = [r[0] for r in reflections.select("style").distinct().collect()] or [None]  # a handful
+    grid = F.explode(F.array(*[F.lit(s).cast("string") for s in styles]))
+    met = direct.select(*keys, "row_id", *plain, grid.alias("style")).join(passes, [*keys, "row_id", "style"], "left")
     rows = join_small(met, thresholds, keys).withColumn("regime", regime(F.col("entropy_over_labels"), F.col("margin")))
     for p, before in ((1, ("pred_by_probs", "regime")), (2, ("label_1", "regime_1"))):
         recorded = F.col(f"pred_{p}").isNotNull()

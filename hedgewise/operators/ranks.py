@@ -61,10 +61,12 @@ def running_totals(
     """One row per (keys, value) with each sum, its inclusive running total ``cum_<sum>`` and its
     total over the key ``all_<sum>``.
 
-    Rows whose value is null are left out. ``collapse=False`` is for values that are already
+    Rows whose value is null or NaN are left out. ``collapse=False`` is for values that are already
     unique within their key (``sums`` then are plain per-row expressions).
     """
     rows = df.filter(F.col(value).isNotNull())
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        rows = rows.filter(~F.isnan(value))
     names = list(sums)
     count = splitter_count(df)
     splitters = _splitters(rows, value, count)

@@ -11,7 +11,10 @@ def oracle_retry_candidates(direct: DataFrame) -> DataFrame:
 
 
 def retry_outcomes(direct: DataFrame, retries: DataFrame, keys: list[str]) -> DataFrame:
-    """Wrong answers with their recorded second answer; old and new signals side by side."""
+    """Wrong answers with their recorded second answer; old and new signals side by side.
+
+    A wrong answer whose retry was not recorded stays: ``retried`` is false, nothing changed or recovered.
+    """
     wrong = oracle_retry_candidates(direct).select(
         *keys,
         "row_id",
@@ -28,12 +31,13 @@ def retry_outcomes(direct: DataFrame, retries: DataFrame, keys: list[str]) -> Da
         F.col("entropy_over_labels").alias("retry_entropy"),
         F.col("margin").alias("retry_margin"),
         F.col("top1_prob").alias("retry_top1_prob"),
+        F.lit(True).alias("retried"),
     )
-    both = wrong.join(second, [*keys, "row_id"])
+    both = wrong.join(second, [*keys, "row_id"], "left").withColumn("retried", F.coalesce("retried", F.lit(False)))
     return both.withColumns(
         {
             "retry_correct": F.coalesce(F.col("retry_pred") == F.col("gold_label"), F.lit(False)).cast("int"),
-            "changed_answer": (~F.col("retry_pred").eqNullSafe(F.col("orig_pred"))).cast("int"),
+            "changed_answer": (F.col("retried") & ~F.col("retry_pred").eqNullSafe(F.col("orig_pred"))).cast("int"),
         }
     )
 
@@ -52,6 +56,7 @@ def _with_baseline(direct: DataFrame, outcomes: DataFrame, keys: list[str]) -> D
         one.alias("n_total"),
         big("correct_by_probs").alias("n_correct"),
         zero.alias("n_wrong"),
+        zero.alias("n_retried"),
         zero.alias("n_changed"),
         zero.alias("n_recovered"),
         zero.alias("recovered_changed"),
@@ -61,23 +66,28 @@ def _with_baseline(direct: DataFrame, outcomes: DataFrame, keys: list[str]) -> D
         zero.alias("n_total"),
         zero.alias("n_correct"),
         one.alias("n_wrong"),
+        big("retried").alias("n_retried"),
         big("changed_answer").alias("n_changed"),
         big("retry_correct").alias("n_recovered"),
         (big("retry_correct") * big("changed_answer")).alias("recovered_changed"),
     )
-    names = ["n_total", "n_correct", "n_wrong", "n_changed", "n_recovered", "recovered_changed"]
+    names = ["n_total", "n_correct", "n_wrong", "n_retried", "n_changed", "n_recovered", "recovered_changed"]
     return first.unionByName(second).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def retry_summary(direct: DataFrame, outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Recovery and change rates and the accuracy after the retry; nothing wrong gives zeros."""
+    """Recovery and change rates and the accuracy after the retry; nothing wrong gives zeros.
+
+    Both rates are shares of all wrong answers, retried (``n_retried``) or not.
+    """
     keys = keys or []
     t = _with_baseline(direct, outcomes, keys)
-    unchanged = F.col("n_wrong") - F.col("n_changed")
+    unchanged = F.col("n_retried") - F.col("n_changed")
     return t.select(
         *keys,
         "n_total",
         "n_wrong",
+        "n_retried",
         "n_changed",
         "n_recovered",
         _rate(F.col("n_recovered"), F.col("n_wrong")).alias("recovery_rate"),
@@ -96,6 +106,7 @@ def retry_summary(direct: DataFrame, outcomes: DataFrame, keys: list[str] | None
 def retry_by_source(outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return outcomes.groupBy(*(keys or []), "source").agg(
         F.count(F.lit(1)).alias("n_wrong"),
+        F.count_if("retried").alias("n_retried"),
         F.sum("retry_correct").alias("recovered"),
         F.sum("changed_answer").alias("changed"),
         F.avg(F.col("retry_correct").cast("double")).alias("recovery_rate"),
@@ -104,8 +115,8 @@ def retry_by_source(outcomes: DataFrame, keys: list[str] | None = None) -> DataF
 
 
 def uncertainty_shift(outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Mean change of entropy and margin between the two answers, for recovered and not."""
-    return outcomes.groupBy(*(keys or []), "retry_correct").agg(
+    """Mean change of entropy and margin between the two answers, for recovered and not, over retried rows."""
+    return outcomes.filter("retried").groupBy(*(keys or []), "retry_correct").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("retry_entropy") - F.col("orig_entropy")).alias("mean_entropy_change"),
         F.avg(F.col("retry_margin") - F.col("orig_margin")).alias("mean_margin_change"),
@@ -135,6 +146,7 @@ def model_comparison(direct: DataFrame, outcomes: DataFrame, keys: list[str]) ->
         "post_retry_accuracy",
         (F.col("post_retry_accuracy") - F.col("baseline_accuracy")).alias("delta"),
         "n_wrong",
+        "n_retried",
         "n_changed",
         "recovery_rate",
     )
@@ -148,7 +160,7 @@ def source_model_matrix(
         direct.groupBy("source", model)
         .agg(F.avg(F.col("correct_by_probs").cast("double")).alias("baseline"))
         .join(
-            outcomes.groupBy("source", model).agg(F.avg(F.col("retry_correct").cast("double")).alias("retry")),
+            outcomes.filter("retried").groupBy("source", model).agg(F.avg(F.col("retry_correct").cast("double")).alias("retry")),
             ["source", model],
             "left",
         )

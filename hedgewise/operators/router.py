@@ -289,37 +289,15 @@ def results_table(*rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- importances, ablation, PCA
 
-# Readable names of the features.
-READABLE = {
-    "feat_avg_entropy": "Average token entropy",
-    "feat_avg_word_len": "Average word length",
-    "feat_char_count": "Characters",
-    "feat_chosen_token_prob": "Chosen token probability",
-    "feat_comparison_count": "Comparison words",
-    "feat_dist_kurtosis": "Top-5 kurtosis",
-    "feat_dist_std": "Top-5 spread",
-    "feat_entity_count": "Named entities",
-    "feat_first_token_entropy": "First token entropy",
-    "feat_has_comparison": "Has comparison",
-    "feat_has_negation": "Has negation",
-    "feat_has_quant": "Has quantity",
-    "feat_negation_count": "Negation words",
-    "feat_noun_ratio": "Noun share",
-    "feat_perplexity": "Perplexity",
-    "feat_prob_margin": "Probability margin",
-    "feat_punct_count": "Punctuation marks",
-    "feat_quant_count": "Quantity words",
-    "feat_top2_margin": "Top-2 margin",
-    "feat_top5_entropy": "Top-5 entropy",
-    "feat_verb_ratio": "Verb share",
-    "feat_word_count": "Words",
-}
+def readable(feature: str) -> str:
+    """``feat_avg_word_len`` as ``Avg word len``."""
+    return feature.removeprefix("feat_").replace("_", " ").capitalize()
 
 
 def feature_importance(model: Model, columns: list[str], like: DataFrame, top_k: int | None = None) -> DataFrame:
     """Importances, largest first, with readable names; one row per feature."""
     values = best_of(model).stages[-1].featureImportances.toArray()
-    rows = [(c, READABLE.get(c, c), float(v)) for c, v in zip(columns, values, strict=True)]
+    rows = [(c, readable(c), float(v)) for c, v in zip(columns, values, strict=True)]
     table = like.sparkSession.createDataFrame(rows, "feature string, readable string, importance double")
     table = table.orderBy(F.desc("importance"), "feature")
     return table if top_k is None else table.limit(top_k)
@@ -413,25 +391,28 @@ def calibration_report(df: DataFrame, probs: list[str], label: str = LABEL) -> D
 
 
 def three_conditions(
-    vanilla: DataFrame, always_rag: DataFrame, flags: DataFrame, contexts: DataFrame
+    vanilla: DataFrame, always_rag: DataFrame, flags: DataFrame, contexts: DataFrame, keys: list[str] | None = None
 ) -> DataFrame:
     """Per row: plain answer, always-retrieve answer, and the routed one.
 
     The routed answer is the retrieved one only where the router flags the row and a passage
-    survived the filter. All four tables meet on row_id, which they share as partitioning.
+    survived the filter. Answers and flags meet on ``keys`` (default row_id), contexts on row_id. Every plain
+    answer stays: without a flag it is not flagged, without a retrieved answer it keeps its own.
     """
+    keys = keys or ["row_id"]
     rows = (
-        vanilla.select("row_id", "source", "gold_label", F.col("pred").alias("vanilla_pred"))
-        .join(always_rag.select("row_id", F.col("pred").alias("rag_pred")), "row_id")
-        .join(flags.select("row_id", "router_pred"), "row_id")
+        vanilla.select(*keys, "source", "gold_label", F.col("pred").alias("vanilla_pred"))
+        .join(always_rag.select(*keys, F.col("pred").alias("rag_pred")), keys, "left")
+        .join(flags.select(*keys, "router_pred"), keys, "left")
+        .withColumn("router_pred", F.coalesce("router_pred", F.lit(0)))
         .join(contexts.select("row_id", "raw_context", "filtered_context"), "row_id", "left")
     )
     used = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     routed = (F.col("router_pred") == 1) & used("filtered_context")
     right = lambda c: F.coalesce(c == F.col("gold_label"), F.lit(False))
-    answer = F.when(routed, F.col("rag_pred")).otherwise(F.col("vanilla_pred"))
+    answer = F.when(routed & F.col("rag_pred").isNotNull(), F.col("rag_pred")).otherwise(F.col("vanilla_pred"))
     return rows.select(
-        "row_id",
+        *keys,
         "source",
         "gold_label",
         "vanilla_pred",
@@ -459,10 +440,11 @@ def _condition_aggs() -> list[Column]:
     ]
 
 
-def condition_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(*_condition_aggs())
+def condition_summary(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return rows.groupBy(*(keys or [])).agg(*_condition_aggs())
 
 
-def condition_by_source(rows: DataFrame) -> DataFrame:
-    """Per source and overall (source null) in one job."""
-    return rows.rollup("source").agg(*_condition_aggs())
+def condition_by_source(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per source and overall (source null) in one job, for each of the keys."""
+    each = [F.col(k) for k in keys or []]
+    return rows.groupingSets([[*each, F.col("source")], each], *each, F.col("source")).agg(*_condition_aggs())

@@ -174,7 +174,7 @@ def fingerprint_sql(question: str, chars: int | None = 200) -> str:
     f"SELECT row_id, {fingerprint_sql('question')} AS fingerprint, {fingerprint_sql('question', None)} AS whole_text FROM fx_all_questions",
 )
 def question_fingerprint(spark, sf):
-    rows = C.with_fingerprint(inputs.all_questions(spark, sf))
+    rows = C.with_fingerprint(inputs.all_questions(spark, sf), 200)  # both forms side by side
     return rows.withColumn("whole_text", C.question_fingerprint(F.col("question"), None))
 
 
@@ -183,7 +183,7 @@ def _dedup_sql(chars: int | None) -> str:
     return f"SELECT row_id, source, {fp} AS fingerprint FROM fx_newcomers WHERE {fp} NOT IN (SELECT {fp} FROM fx_pool)"
 
 
-@query("dedup_against_pool", "row_id:i source:s fingerprint:s", _dedup_sql(200))
+@query("dedup_against_pool", "row_id:i source:s fingerprint:s", _dedup_sql(None))
 def dedup_against_pool(spark, sf):
     return C.dedup_against_pool(inputs.newcomers(spark, sf), inputs.pool(spark, sf))
 
@@ -198,8 +198,8 @@ def dedup_against_pool_whole_text(spark, sf):
     "available:i excluded:i available_distinct:i",
     f"""SELECT count(*) FILTER (NOT known) AS available, count(*) FILTER (known) AS excluded,
   count(DISTINCT fp) FILTER (NOT known) AS available_distinct
-FROM (SELECT fp, fp IN (SELECT {fingerprint_sql('question')} FROM fx_pool) AS known
-      FROM (SELECT {fingerprint_sql('question')} AS fp FROM fx_newcomers))""",
+FROM (SELECT fp, fp IN (SELECT {fingerprint_sql('question', None)} FROM fx_pool) AS known
+      FROM (SELECT {fingerprint_sql('question', None)} AS fp FROM fx_newcomers))""",
 )
 def dedup_report(spark, sf):
     return C.dedup_report(inputs.newcomers(spark, sf), inputs.pool(spark, sf))
@@ -208,7 +208,7 @@ def dedup_report(spark, sf):
 @query(
     "drop_repeats",
     "row_id:i fingerprint:s",
-    f"SELECT min(row_id) AS row_id, fp AS fingerprint FROM (SELECT row_id, {fingerprint_sql('question')} AS fp FROM fx_all_questions) GROUP BY fp",
+    f"SELECT min(row_id) AS row_id, fp AS fingerprint FROM (SELECT row_id, {fingerprint_sql('question', None)} AS fp FROM fx_all_questions) GROUP BY fp",
 )
 def drop_repeats(spark, sf):
     return C.drop_repeats(inputs.all_questions(spark, sf).select("row_id", "question"))

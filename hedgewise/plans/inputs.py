@@ -102,7 +102,7 @@ FROM (SELECT {_DIRECT_COLUMNS},
 
 
 def reflected(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded answers of reflection passes 1 and 2 in every style."""
+    """Recorded answers of reflection passes 1 and 2; a quarter of the first and half of the second passes are missing."""
     m = F.col("model")
     grid = F.array(
         *[
@@ -112,6 +112,8 @@ def reflected(spark: SparkSession, sf: str) -> DataFrame:
         ]
     )
     rows = recorded(spark, sf).withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
+    turn = F.pmod(F.col("row_id") + m + F.col("style_index"), F.lit(4))
+    rows = rows.filter((turn != 0) & ((F.col("reflection_pass") == 1) | (turn != 1)))
     other = F.pmod(m + 3 + F.col("style_index") + F.col("reflection_pass"), F.lit(8))
     mixed = F.zip_with(
         F.zip_with(_block(m), _block(m, 4, 5), lambda a, b: a + b * 0.6), _block(other), lambda ab, c: (ab + c * 0.8) * 8.0
@@ -138,7 +140,8 @@ SELECT m.model, e.vec_id AS row_id, 'S' || e.label AS source, s.style, r.reflect
 FROM embeddings e, (SELECT unnest([0,1,2,3]) AS model) m,
   (SELECT unnest([0,1,2,3]) AS style_index,
           unnest(['plain_retry','error_scan','option_elimination','evidence_reconstruction']) AS style) s,
-  (SELECT unnest([1,2]) AS reflection_pass) r)"""
+  (SELECT unnest([1,2]) AS reflection_pass) r
+WHERE (e.vec_id + m.model + s.style_index) % 4 <> 0 AND (r.reflection_pass = 1 OR (e.vec_id + m.model + s.style_index) % 4 <> 1))"""
 VIEWS["fx_reflected"] = f"""
 SELECT *, (pred_by_probs = gold_label)::INT AS correct_by_probs FROM (
 SELECT {_DIRECT_COLUMNS}, style, reflection_pass

@@ -33,13 +33,14 @@ SELECT unnest(['direct_baseline','always_reflect_once','always_reflect_twice','b
                'oracle_gate_once','oracle_gate_twice']) AS policy,
   unnest(['never','always','always','blind','blind','oracle','oracle']) AS gate, unnest([0,1,2,1,2,1,2]) AS max_passes"""
 VIEWS["fx_runs"] = """
-SELECT d.model, d.row_id, d.source, d.gold_label, d.pred_by_probs, d.correct_by_probs, d.regime, a.style, p.policy, p.gate,
-  p.max_passes, a.pred AS pred_1, a.regime AS regime_1, b.pred AS pred_2, b.regime AS regime_2,
+SELECT d.model, d.row_id, d.source, d.gold_label, d.pred_by_probs, d.correct_by_probs, d.regime, t.style, p.policy, p.gate,
+  p.max_passes, coalesce(a.pred, d.pred_by_probs) AS pred_1, coalesce(a.regime, d.regime) AS regime_1,
+  coalesce(b.pred, a.pred, d.pred_by_probs) AS pred_2, coalesce(b.regime, a.regime, d.regime) AS regime_2,
   CASE p.gate WHEN 'always' THEN true WHEN 'never' THEN false WHEN 'blind' THEN d.regime <> 'high'
     ELSE d.correct_by_probs = 0 END AS triggered
-FROM fx_regimes d JOIN fx_reflected_regimes a ON a.model = d.model AND a.row_id = d.row_id AND a.reflection_pass = 1
-JOIN fx_reflected_regimes b ON b.model = d.model AND b.row_id = d.row_id AND b.style = a.style AND b.reflection_pass = 2,
-fx_policies p"""
+FROM fx_regimes d CROSS JOIN (SELECT DISTINCT style FROM fx_reflected) t CROSS JOIN fx_policies p
+LEFT JOIN fx_reflected_regimes a ON a.model = d.model AND a.row_id = d.row_id AND a.style = t.style AND a.reflection_pass = 1
+LEFT JOIN fx_reflected_regimes b ON b.model = d.model AND b.row_id = d.row_id AND b.style = t.style AND b.reflection_pass = 2"""
 VIEWS["fx_final"] = """
 SELECT *, (final_label = gold_label)::INT AS final_correct,
   CASE WHEN final_regime = 'low' THEN 'NOT_SURE' ELSE final_label END AS output_label FROM (
@@ -167,18 +168,19 @@ def regime_breakdown(spark, sf):
 # ---------------------------------------------------------------- retries
 
 VIEWS["fx_outcomes"] = """
-SELECT *, (retry_pred = gold_label)::INT AS retry_correct, (retry_pred <> orig_pred)::INT AS changed_answer FROM (
+SELECT *, coalesce(retry_pred = gold_label, false)::INT AS retry_correct,
+  coalesce(retry_pred <> orig_pred, false)::INT AS changed_answer, retry_pred IS NOT NULL AS retried FROM (
 SELECT d.model, d.row_id, d.source, d.gold_label, d.pred_by_probs AS orig_pred, r.pred_by_probs AS retry_pred,
   d.entropy_over_labels AS orig_entropy, d.margin AS orig_margin, r.entropy_over_labels AS retry_entropy,
   r.margin AS retry_margin, r.top1_prob AS retry_top1_prob
-FROM fx_direct d JOIN fx_retries r USING (model, row_id) WHERE d.correct_by_probs = 0)"""
+FROM fx_direct d LEFT JOIN fx_retries r USING (model, row_id) WHERE d.correct_by_probs = 0)"""
 VIEWS["fx_retry_summary"] = """
 SELECT *, n_recovered / n_wrong AS recovery_rate, n_changed / n_wrong AS change_rate,
   baseline_accuracy + n_recovered / n_total AS post_retry_accuracy FROM (
 SELECT model, count(*) AS n_total, avg(correct_by_probs) AS baseline_accuracy FROM fx_direct GROUP BY model)
-JOIN (SELECT model, count(*) AS n_wrong, sum(changed_answer) AS n_changed, sum(retry_correct) AS n_recovered,
-  avg(retry_correct) FILTER (changed_answer = 1) AS changed_accuracy,
-  avg(retry_correct) FILTER (changed_answer = 0) AS unchanged_accuracy FROM fx_outcomes GROUP BY model) USING (model)"""
+JOIN (SELECT model, count(*) AS n_wrong, count(*) FILTER (retried) AS n_retried, sum(changed_answer) AS n_changed,
+  sum(retry_correct) AS n_recovered, avg(retry_correct) FILTER (changed_answer = 1) AS changed_accuracy,
+  avg(retry_correct) FILTER (retried AND changed_answer = 0) AS unchanged_accuracy FROM fx_outcomes GROUP BY model) USING (model)"""
 
 
 def outcomes(spark, sf):
@@ -196,7 +198,7 @@ def oracle_retry_candidates(spark, sf):
 
 @query(
     "retry_outcomes",
-    "model:i row_id:i source:s gold_label:s orig_pred:s retry_pred:s retry_correct:i changed_answer:i orig_entropy:d "
+    "model:i row_id:i source:s gold_label:s orig_pred:s retry_pred:s retried:b retry_correct:i changed_answer:i orig_entropy:d "
     "orig_margin:d retry_entropy:d retry_margin:d retry_top1_prob:d",
     "SELECT * FROM fx_outcomes",
 )
@@ -206,7 +208,7 @@ def retry_outcomes(spark, sf):
 
 @query(
     "retry_summary",
-    "model:i n_total:i n_wrong:i n_changed:i n_recovered:i recovery_rate:d change_rate:d changed_accuracy:d "
+    "model:i n_total:i n_wrong:i n_retried:i n_changed:i n_recovered:i recovery_rate:d change_rate:d changed_accuracy:d "
     "unchanged_accuracy:d baseline_accuracy:d post_retry_accuracy:d",
     "SELECT * FROM fx_retry_summary",
 )
@@ -216,8 +218,8 @@ def retry_summary(spark, sf):
 
 @query(
     "retry_by_source",
-    "model:i source:s n_wrong:i recovered:i changed:i recovery_rate:d change_rate:d",
-    """SELECT model, source, count(*) AS n_wrong, sum(retry_correct) AS recovered, sum(changed_answer) AS changed,
+    "model:i source:s n_wrong:i n_retried:i recovered:i changed:i recovery_rate:d change_rate:d",
+    """SELECT model, source, count(*) AS n_wrong, count(*) FILTER (retried) AS n_retried, sum(retry_correct) AS recovered, sum(changed_answer) AS changed,
   avg(retry_correct) AS recovery_rate, avg(changed_answer) AS change_rate FROM fx_outcomes GROUP BY ALL""",
 )
 def retry_by_source(spark, sf):
@@ -228,7 +230,7 @@ def retry_by_source(spark, sf):
     "uncertainty_shift",
     "model:i retry_correct:i n:i mean_entropy_change:d mean_margin_change:d",
     """SELECT model, retry_correct, count(*) AS n, avg(retry_entropy - orig_entropy) AS mean_entropy_change,
-  avg(retry_margin - orig_margin) AS mean_margin_change FROM fx_outcomes GROUP BY ALL""",
+  avg(retry_margin - orig_margin) AS mean_margin_change FROM fx_outcomes WHERE retried GROUP BY ALL""",
 )
 def uncertainty_shift(spark, sf):
     return Y.uncertainty_shift(outcomes(spark, sf), M)
@@ -247,7 +249,7 @@ def self_confidence_summary(spark, sf):
 
 @query(
     "model_comparison",
-    "model:i baseline_accuracy:d post_retry_accuracy:d delta:d n_wrong:i n_changed:i recovery_rate:d",
+    "model:i baseline_accuracy:d post_retry_accuracy:d delta:d n_wrong:i n_retried:i n_changed:i recovery_rate:d",
     "SELECT *, post_retry_accuracy - baseline_accuracy AS delta FROM fx_retry_summary",
 )
 def model_comparison(spark, sf):
@@ -264,7 +266,7 @@ _PAIRS = ", ".join(
     "source_model_matrix",
     "source:s " + " ".join(f"baseline_{m}:d gain_{m}:d" for m in inputs.MODELS),
     f"""SELECT source, {_PAIRS} FROM (SELECT model, source, avg(correct_by_probs) AS b FROM fx_direct GROUP BY ALL)
-LEFT JOIN (SELECT model, source, avg(retry_correct) AS r FROM fx_outcomes GROUP BY ALL) USING (model, source) GROUP BY source""",
+LEFT JOIN (SELECT model, source, avg(retry_correct) AS r FROM fx_outcomes WHERE retried GROUP BY ALL) USING (model, source) GROUP BY source""",
 )
 def source_model_matrix(spark, sf):
     return Y.source_model_matrix(inputs.direct(spark, sf), outcomes(spark, sf), inputs.MODELS)

@@ -38,7 +38,7 @@ SELECT d.row_id, 1 - d.correct_by_probs AS target_label, b.* EXCLUDE (row_id), k
 FROM fx_direct d JOIN fx_basic b USING (row_id) JOIN fx_keywords k USING (row_id) JOIN fx_class_shares c USING (row_id)
 JOIN fx_generations g ON g.row_id = d.row_id AND g.model = 0 LEFT JOIN fx_shape s ON s.row_id = d.row_id AND s.model = 0
 WHERE d.model = 0"""
-FEATURES = sorted(R.READABLE)
+FEATURES = sorted(X.FEATURE_NAMES)
 
 
 @query("build_router_matrix", "row_id:i target_label:i " + " ".join(f"{c}:d" for c in FEATURES), "SELECT * FROM fx_matrix")
@@ -234,19 +234,20 @@ def calibration_report(spark, sf):
 # ---------------------------------------------------------------- three conditions
 
 VIEWS["fx_conditions"] = """
-SELECT *, vanilla_pred = gold_label AS vanilla_correct, rag_pred = gold_label AS rag_correct,
+SELECT *, vanilla_pred = gold_label AS vanilla_correct, coalesce(rag_pred = gold_label, false) AS rag_correct,
   router_rag_pred = gold_label AS router_rag_correct FROM (
-SELECT d.row_id, d.source, d.gold_label, d.pred_by_probs AS vanilla_pred, r.pred_by_probs AS rag_pred, (d.margin < 0.2)::INT AS router_pred,
+SELECT d.model, d.row_id, d.source, d.gold_label, d.pred_by_probs AS vanilla_pred, r.pred_by_probs AS rag_pred, (d.margin < 0.2)::INT AS router_pred,
   coalesce(x.lang = 'en', false) AS rag_context_raw_used, coalesce(x.lang = 'en' AND l.quality = 1, false) AS rag_context_filtered_used,
-  CASE WHEN d.margin < 0.2 AND x.lang = 'en' AND l.quality = 1 THEN r.pred_by_probs ELSE d.pred_by_probs END AS router_rag_pred
-FROM fx_direct d JOIN fx_retries r USING (model, row_id) LEFT JOIN documents x ON x.doc_id = d.row_id
-LEFT JOIN labels l ON l.doc_id = d.row_id WHERE d.model = 0)"""
+  CASE WHEN d.margin < 0.2 AND x.lang = 'en' AND l.quality = 1 THEN coalesce(r.pred_by_probs, d.pred_by_probs)
+    ELSE d.pred_by_probs END AS router_rag_pred
+FROM fx_direct d LEFT JOIN fx_retries r USING (model, row_id) LEFT JOIN documents x ON x.doc_id = d.row_id
+LEFT JOIN labels l ON l.doc_id = d.row_id)"""
 
 
 def conditions(spark, sf):
-    """Recorded plain and retrieved answers of model 0; a small margin stands in for the router's flag."""
-    direct = inputs.direct(spark, sf).filter("model = 0")
-    rag = inputs.retries(spark, sf).filter("model = 0")
+    """Recorded plain and retrieved answers of every model; a small margin stands in for the router's flag."""
+    direct = inputs.direct(spark, sf)
+    rag = inputs.retries(spark, sf)
     docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source")
     marks = inputs.table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), "quality")
     shown = F.when(F.col("lang") == "en", F.col("source")).otherwise("")
@@ -254,15 +255,16 @@ def conditions(spark, sf):
     texts = docs.join(marks, "row_id", "left").select("row_id", shown.alias("raw_context"), kept.alias("filtered_context"))
     return R.three_conditions(
         direct.withColumn("pred", F.col("pred_by_probs")),
-        rag.select("row_id", F.col("pred_by_probs").alias("pred")),
-        direct.select("row_id", (F.col("margin") < 0.2).cast("int").alias("router_pred")),
+        rag.select("model", "row_id", F.col("pred_by_probs").alias("pred")),
+        direct.select("model", "row_id", (F.col("margin") < 0.2).cast("int").alias("router_pred")),
         texts,
+        ["model", "row_id"],
     )
 
 
 @query(
     "three_conditions",
-    "row_id:i source:s gold_label:s vanilla_pred:s rag_pred:s router_rag_pred:s router_pred:i vanilla_correct:b rag_correct:b "
+    "model:i row_id:i source:s gold_label:s vanilla_pred:s rag_pred:s router_rag_pred:s router_pred:i vanilla_correct:b rag_correct:b "
     "router_rag_correct:b rag_context_raw_used:b rag_context_filtered_used:b",
     "SELECT * FROM fx_conditions",
 )
@@ -276,11 +278,15 @@ _CONDITION_SQL = """count(*) AS n, avg(vanilla_correct::INT) AS vanilla_accuracy
 _CONDITION_COLUMNS = "n:i vanilla_accuracy:d rag_accuracy:d router_rag_accuracy:d calls_saved:i actual_rag_calls:i"
 
 
-@query("condition_summary", _CONDITION_COLUMNS, f"SELECT {_CONDITION_SQL}")
+@query("condition_summary", "model:i " + _CONDITION_COLUMNS, f"SELECT model, {_CONDITION_SQL} GROUP BY model")
 def condition_summary(spark, sf):
-    return R.condition_summary(conditions(spark, sf))
+    return R.condition_summary(conditions(spark, sf), ["model"])
 
 
-@query("condition_by_source", "source:s " + _CONDITION_COLUMNS, f"SELECT source, {_CONDITION_SQL} GROUP BY ROLLUP (source)")
+@query(
+    "condition_by_source",
+    "model:i source:s " + _CONDITION_COLUMNS,
+    f"SELECT model, source, {_CONDITION_SQL} GROUP BY GROUPING SETS ((model, source), (model))",
+)
 def condition_by_source(spark, sf):
-    return R.condition_by_source(conditions(spark, sf))
+    return R.condition_by_source(conditions(spark, sf), ["model"])

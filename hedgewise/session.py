@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -30,11 +31,15 @@ def local_session(cpus: int | str = "*", app: str = "hedgewise", shuffle_partiti
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a folder of this machine is made and set.
+    Only when the setting is absent in a local session (tests) a folder of this machine is made and set;
+    it is deleted when the driver ends. On a cluster an absent setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="hedgewise-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -60,17 +65,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def _row_bytes(df: DataFrame) -> int:
-    widths = {"string": 64, "binary": 64, "array": 256, "map": 256, "struct": 128}
-    return 16 + sum(widths.get(f.dataType.typeName(), 8) for f in df.schema.fields)
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row, with the real lengths of its texts."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            total = total + 8
+    return total
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a side that is expected to be small, broadcasting it only after counting it.
+    """Join a side that is expected to be small, broadcasting it only after measuring it.
 
-    ``small`` is evaluated once and kept on disk; above the byte limit the join is left to
-    Spark, which shuffles both sides and splits skewed partitions.
+    Its bytes are added up in one aggregate; above the limit the join is left to Spark, which shuffles both
+    sides and splits skewed partitions. Nothing stays cached.
     """
-    kept = small.persist(StorageLevel.MEMORY_AND_DISK)
-    fits = kept.count() * _row_bytes(small) <= BROADCAST_LIMIT_BYTES
-    return big.join(F.broadcast(kept) if fits else kept, on, how)
+    size = small.agg(F.sum(_row_bytes(small)).alias("bytes")).first()["bytes"] or 0
+    return big.join(F.broadcast(small) if size <= BROADCAST_LIMIT_BYTES else small, on, how)

@@ -27,8 +27,10 @@ def test_extract_queries(one, question, want):
 
 def test_cut_is_a_parameter(one):
     text = "x " * 300 + "Final Answer"
-    assert "Final Answer" not in one(R.extract_queries(F.col("q")), q=text)
-    assert "Final Answer" in one(R.extract_queries(F.col("q"), None, None), q=text)
+    assert "Final Answer" not in one(R.extract_queries(F.col("q"), 500, 200, 80), q=text)
+    assert "Final Answer" in one(R.extract_queries(F.col("q")), q=text)
+    long = "y" * 9_990 + " end"
+    assert long in one(R.extract_queries(F.col("q")), q=long)
 
 
 def terms(text):
@@ -41,22 +43,26 @@ def test_search_equals_brute_force_with_a_hot_word(spark):
     words = ["the"] + [f"w{i}" for i in range(30)]
     title = lambda: " ".join([*(["the"] if rng.random() < 0.6 else []), *rng.sample(words[1:], rng.randint(1, 4))])
     titles = [title() for _ in range(150)]
-    passages = spark.createDataFrame([(t, f"text {i} of {t}") for i, t in enumerate(titles)], "title string, text string")
+    texts = [f"text u{i} of {t}" for i, t in enumerate(titles)]
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(titles, texts))]
+    passages = spark.createDataFrame(rows, "page_id int, title string, text string")
     asked = [(i, 0, title() if rng.random() < 0.7 else "the") for i in range(120)] + [(500, 0, "nothing here"), (501, 0, titles[3])]
+    asked += [(1000 + i, 0, f"u{i}") for i in range(150)]
     got = {}
     for r in R.search_passages(spark.createDataFrame(asked, "row_id int, query_rank int, query string"), passages).collect():
-        got.setdefault(r["row_id"], {})[r["hit_rank"]] = r["title"]
-    distinct = sorted(set(titles))
+        got.setdefault(r["row_id"], {})[r["hit_rank"]] = r["page_id"]
+    held = [terms(t) | set(re.findall(r"\w+", x.lower())) for t, x in zip(titles, texts)]
     df = {}
-    for t in distinct:
-        for w in terms(t):
+    for ws in held:
+        for w in ws:
             df[w] = df.get(w, 0) + 1
     for row_id, _, q in asked:
-        scored = sorted((min(df[w] for w in terms(q) & terms(t)), len(terms(t)), t) for t in distinct if terms(q) & terms(t))
-        want = {k + 1: t for k, (_, _, t) in enumerate(scored[:3])}
-        assert got.get(row_id, {}) == want
-    # An exact title comes first unless it shares a term that is just as rare with a shorter title.
-    assert titles[3] in got[501].values()
+        scored = sorted(
+            (min(df[w] for w in terms(q) & held[i]), len(terms(t)), t, i) for i, t in enumerate(titles) if terms(q) & held[i]
+        )
+        assert got.get(row_id, {}) == {k + 1: s[-1] for k, s in enumerate(scored[:3])}
+    # Every passage can be found, whether or not others share its title.
+    assert all(i in got[1000 + i].values() for i in range(150))
 
 
 def test_topk_skips_titles_seen_in_other_case(spark):

@@ -133,7 +133,7 @@ def test_pca_is_centred_and_orthogonal(spark):
 
 def test_matrix_has_22_or_38_features(spark):
     m = Q.matrix(spark, SMALL)
-    assert len(X.feature_columns(m)) == 22 and X.feature_columns(m) == sorted(R.READABLE)
+    assert len(X.feature_columns(m)) == 22 and X.feature_columns(m) == sorted(X.FEATURE_NAMES)
     parts = spark.createDataFrame([(0, 1.0)], "row_id long, feat_pc_01 double")
     with pytest.raises(ValueError, match="23 feature columns"):
         Q.matrix(spark, SMALL, parts)
