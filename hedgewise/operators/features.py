@@ -170,11 +170,13 @@ def model_features() -> dict[str, Column]:
 
 
 def build_router_matrix(
-    inference: DataFrame, lexicon: DataFrame, components: DataFrame | None = None, question: str = "original_question"
-) -> DataFrame:
+    inference: DataFrame, lexicon: DataFrame, components: DataFrame | None = None, question: str = "original_question",
+    questions: DataFrame | None = None,
+) -> DataFrame:
     """All inference columns, ``target_label`` and 22 ``feat_*`` columns (38 with components).
 
-    Everything but the token classes is a projection of the row itself.
+    Everything but the token classes is a projection of the row itself. ``questions`` (row_id and question) saves
+    working out the inference twice for them.
     """
     text = F.col(question)
     rows = inference.withColumn("_shape", top5_features(F.col("first_token_top5_logprobs")))
@@ -183,10 +185,11 @@ def build_router_matrix(
         target_label(F.col("is_correct")).alias("target_label"),
         *[c.alias(n) for n, c in {**basic_text(text), **keyword_flags(text), **model_features()}.items()],
     )
-    matrix = wide.join(token_class_shares(inference, lexicon, question), "row_id")
+    asked = inference.select("row_id", question) if questions is None else questions
+    matrix = wide.join(token_class_shares(asked, lexicon, question), "row_id")
     expected = BASE_FEATURES
     if components is not None:
-        matrix = matrix.join(components, "row_id")
+        matrix = matrix.join(components, "row_id", "left")  # a row without a vector stays, its components missing
         expected += PCA_FEATURES
     found = len(feature_columns(matrix))
     if found != expected:

@@ -8,12 +8,11 @@ from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hedgewise.operators.calibration import ece_weighted, f1_at_threshold
@@ -21,6 +20,7 @@ from hedgewise.operators.curation import stratified_folds
 from hedgewise.operators.features import feature_columns
 from hedgewise.operators.ranking import binary_scores, roc_auc
 from hedgewise.operators.ranks import percentile_rows
+from hedgewise.session import materialise
 
 LABEL = "target_label"
 WEIGHT = "class_weight"
@@ -66,6 +66,45 @@ def standardise(train: DataFrame, columns: list[str], *others: DataFrame) -> lis
     return [df.withColumns(scaled) for df in (train, *others)]
 
 
+PREPARED = "prepared_"
+
+
+class Preparation(Estimator):
+    """Median imputation and population scaling as a stage, so every fold is prepared by its own training rows.
+
+    Fitting gives a SQLTransformer that holds the numbers; it is saved and loaded with the pipeline and takes a
+    raw matrix.
+    """
+
+    def __init__(self, columns: list[str]):
+        super().__init__()
+        self._columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        medians = column_medians(dataset, self._columns)
+        number = lambda x: f"CAST('{float(x)!r}' AS DOUBLE)"
+        filled = {c: f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {number(medians.get(c, 0.0))})" for c in self._columns}
+        row = dataset.agg(
+            *[F.avg(F.expr(x)).alias(f"m_{c}") for c, x in filled.items()], *[F.stddev_pop(F.expr(x)).alias(f"s_{c}") for c, x in filled.items()]
+        ).first()
+        scaled = [f"({x} - {number(row[f'm_{c}'] or 0.0)}) / {number(row[f's_{c}'] or 1.0)} AS `{PREPARED}{c}`" for c, x in filled.items()]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
+
+
+def router_columns(model: Model) -> list[str]:
+    """The raw feature columns a fitted router expects, in its own order."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    return [c.removeprefix(PREPARED) for c in assembler.getInputCols()]
+
+
+def save_router(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_router(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Balanced weight n/(classes*n_c) per class, and negatives/positives for boosting."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -119,17 +158,21 @@ def _training_rows(df: DataFrame, columns: list[str], *others: str) -> Iterator[
 
 
 def _assembler(columns: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=columns, outputCol="features")
+    return VectorAssembler(inputCols=[f"{PREPARED}{c}" for c in columns], outputCol="features")
+
+
+def _pipeline(columns: list[str], classifier: Estimator) -> Pipeline:
+    return Pipeline(stages=[Preparation(columns), _assembler(columns), classifier])
 
 
 def fit_logreg(train: DataFrame, columns: list[str], label: str = LABEL, max_iter: int = 5000) -> PipelineModel:
-    """Balanced logistic regression with unit L2 strength (the penalty is shared over the rows)."""
+    """Balanced logistic regression with unit L2 strength (the penalty is shared over the rows) on raw columns."""
     weighted = with_balanced_weights(train, label)
     with _training_rows(weighted, columns, label, WEIGHT) as (rows, n):
         lr = LogisticRegression(
             labelCol=label, weightCol=WEIGHT, standardization=False, regParam=1.0 / max(n, 1), maxIter=max_iter
         )
-        return Pipeline(stages=[_assembler(columns), lr]).fit(rows)
+        return _pipeline(columns, lr).fit(rows)
 
 
 def fit_forest(
@@ -139,7 +182,7 @@ def fit_forest(
         labelCol=label, weightCol=WEIGHT, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
     )
     with _training_rows(with_balanced_weights(train, label), columns, label, WEIGHT) as (rows, _):
-        return Pipeline(stages=[_assembler(columns), forest]).fit(rows)
+        return _pipeline(columns, forest).fit(rows)
 
 
 class PositiveF1(Evaluator):
@@ -160,7 +203,7 @@ def _booster(label: str, seed: int = 42, **params) -> GBTClassifier:
     return GBTClassifier(labelCol=label, weightCol=WEIGHT, subsamplingRate=0.8, seed=seed, **params)
 
 
-def fit_boosted(
+def search_boosted(
     train: DataFrame,
     columns: list[str],
     label: str = LABEL,
@@ -170,31 +213,37 @@ def fit_boosted(
     folds: int = 5,
     seed: int = 42,
     parallelism: int = 4,
-) -> CrossValidatorModel:
-    """Boosted trees chosen by cross-validated F1 and refitted on all training rows.
+) -> list[tuple[dict, float]]:
+    """Mean F1 over the folds of every combination, best first.
 
-    The folds are exact per label and come as a column, so no fold is drawn inside the search.
+    The folds are exact per label. Each is prepared once, by its own training rows, for all combinations.
     """
-    booster = _booster(label, seed)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(booster.maxDepth, list(depths))
-        .addGrid(booster.stepSize, list(rates))
-        .addGrid(booster.maxIter, list(trees))
-        .build()
-    )
+    grid = [{"maxDepth": d, "stepSize": r, "maxIter": t} for d in depths for r in rates for t in trees]
     fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
-    folded = with_scale_pos_weight(train, label).join(fold_of, "row_id")
-    with _training_rows(folded, columns, label, WEIGHT, "fold") as (rows, _):
-        search = CrossValidator(
-            estimator=Pipeline(stages=[_assembler(columns), booster]),
-            estimatorParamMaps=grid,
-            evaluator=PositiveF1(label),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        return search.fit(rows)
+    folded = materialise(with_scale_pos_weight(train, label).select("row_id", label, WEIGHT, *columns).join(fold_of, "row_id"), "search-folds")
+    sums = [0.0] * len(grid)
+    for k in range(folds):
+        rest, held = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
+        stages = [Preparation(columns).fit(rest), _assembler(columns)]
+        ready = lambda df: PipelineModel(stages).transform(df).select("features", label, WEIGHT)  # noqa: E731, B023
+        with _training_rows(ready(rest), ["features"], label, WEIGHT) as (rows, _), _training_rows(ready(held), ["features"], label) as (seen, _):
+
+            @inheritable_thread_target(train.sparkSession)
+            def scored(params: dict) -> float:
+                model = _booster(label, seed, **params).fit(rows)  # noqa: B023
+                return PositiveF1(label).evaluate(model.transform(seen))  # noqa: B023
+
+            with ThreadPool(parallelism) as pool:
+                for at, f1 in enumerate(pool.map(scored, grid)):
+                    sums[at] += f1
+    order = sorted(range(len(grid)), key=lambda at: -sums[at])
+    return [(grid[at], sums[at] / folds) for at in order]
+
+
+def fit_boosted(train: DataFrame, columns: list[str], label: str = LABEL, seed: int = 42, **search) -> PipelineModel:
+    """Boosted trees with the settings that ``search_boosted`` likes best, refitted on all training rows."""
+    best = search_boosted(train, columns, label, seed=seed, **search)[0][0]
+    return fit_boosted_once(train, columns, label, best["maxDepth"], best["stepSize"], best["maxIter"])
 
 
 def fit_boosted_once(
@@ -203,16 +252,18 @@ def fit_boosted_once(
     """Boosted trees with given settings, for refits of an already chosen combination."""
     booster = _booster(label, maxDepth=depth, stepSize=rate, maxIter=trees)
     with _training_rows(with_scale_pos_weight(train, label), columns, label, WEIGHT) as (rows, _):
-        return Pipeline(stages=[_assembler(columns), booster]).fit(rows)
-
-
-def best_of(model: Model) -> PipelineModel:
-    return model.bestModel if isinstance(model, CrossValidatorModel) else model
+        return _pipeline(columns, booster).fit(rows)
 
 
 def apply_router(model: Model, rows: DataFrame) -> DataFrame:
-    """``router_prob`` and 0/1 ``router_pred`` per row, keyed by row_id; rows are never paired by position."""
-    scored = best_of(model).transform(rows)
+    """``router_prob`` and 0/1 ``router_pred`` per row of a raw matrix; rows are never paired by position.
+
+    A matrix without a column the router was trained on is refused; further columns and their order do not matter.
+    """
+    missing = [c for c in router_columns(model) if c not in rows.columns]
+    if missing:
+        raise ValueError(f"the matrix lacks the feature columns {missing}")
+    scored = model.transform(rows)
     return scored.select(
         *[c for c in rows.columns],
         F.get(vector_to_array("probability"), F.lit(1)).alias("router_prob"),
@@ -223,7 +274,7 @@ def apply_router(model: Model, rows: DataFrame) -> DataFrame:
 def cv_f1(train: DataFrame, fit: Fit, label: str = LABEL, folds: int = 5, seed: int = 42) -> DataFrame:
     """F1 of every fold; the mean over folds is the cross-validated score."""
     fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
-    rows = train.join(fold_of, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(train.join(fold_of, "row_id"), "folds")
 
     @inheritable_thread_target(train.sparkSession)
     def scored(k: int) -> DataFrame:
@@ -296,7 +347,7 @@ def readable(feature: str) -> str:
 
 def feature_importance(model: Model, columns: list[str], like: DataFrame, top_k: int | None = None) -> DataFrame:
     """Importances, largest first, with readable names; one row per feature."""
-    values = best_of(model).stages[-1].featureImportances.toArray()
+    values = model.stages[-1].featureImportances.toArray()
     rows = [(c, readable(c), float(v)) for c, v in zip(columns, values, strict=True)]
     table = like.sparkSession.createDataFrame(rows, "feature string, readable string, importance double")
     table = table.orderBy(F.desc("importance"), "feature")
@@ -318,13 +369,19 @@ def ablation_compare(
 def semantic_pca(
     vectors: DataFrame, fit_on: DataFrame | None = None, k: int = 16, vector: str = "vector"
 ) -> tuple[DataFrame, PipelineModel]:
-    """``feat_pc_01``.. per row_id, fitted on the given rows (or all). Vectors are centred first."""
+    """``feat_pc_01``.. per row_id, fitted on the given rows (or all). Vectors are centred first.
+
+    There are never more components than rows fitted on or dimensions.
+    """
     to_vec = lambda df: df.select("row_id", array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    taught = to_vec(vectors if fit_on is None else fit_on)
+    first = taught.limit(1).collect()
+    k = min(k, len(first[0]["_v"]) if first else k, max(1, taught.limit(k).count()))
     stages = [
         StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False),
         PCA(k=k, inputCol="_c", outputCol="_pc"),
     ]
-    model = Pipeline(stages=stages).fit(to_vec(vectors if fit_on is None else fit_on))
+    model = Pipeline(stages=stages).fit(taught)
     parts = vector_to_array("_pc")
     named = [F.get(parts, F.lit(i)).alias(f"feat_pc_{i + 1:02d}") for i in range(k)]
     return model.transform(to_vec(vectors)).select("row_id", *named), model
@@ -346,10 +403,9 @@ def _platt_rows(scored: DataFrame, label: str) -> DataFrame:
     return scored.select("margin", F.explode(pair).alias("p")).select("margin", "p.y", "p.w")
 
 
-def _raw_margin(model: Model, rows: DataFrame) -> DataFrame:
-    """The boosted score before the link function."""
-    raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
-    return best_of(model).transform(rows).withColumn("margin", raw)
+def _held_score(model: Model, rows: DataFrame) -> DataFrame:
+    """The router's probability, which is all that a wrapped classifier offers to calibrate."""
+    return model.transform(rows).withColumn("margin", F.get(vector_to_array("probability"), F.lit(1)))
 
 
 def platt_calibration(
@@ -357,12 +413,12 @@ def platt_calibration(
 ) -> DataFrame:
     """Mean of ``folds`` calibrated probabilities: fit on the rest, sigmoid on the held-out scores."""
     fold_of = stratified_folds(train, label, folds, seed=None).select("row_id", "fold")
-    rows = train.join(fold_of, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(train.join(fold_of, "row_id"), "calibration-folds")
     calibrated = test
     names = []
     for k in range(folds):
         model = fit(rows.filter(F.col("fold") != k).drop("fold"))
-        held = _raw_margin(model, rows.filter(F.col("fold") == k)).select("margin", label)
+        held = _held_score(model, rows.filter(F.col("fold") == k)).select("margin", label)
         sigmoid = Pipeline(
             stages=[
                 VectorAssembler(inputCols=["margin"], outputCol="mf"),
@@ -371,11 +427,10 @@ def platt_calibration(
         ).fit(_platt_rows(held, label))
         slope, shift = float(sigmoid.stages[-1].coefficients[0]), float(sigmoid.stages[-1].intercept)
         name = f"_p{k}"
-        calibrated = _raw_margin(model, calibrated).select(
+        calibrated = _held_score(model, calibrated).select(
             *calibrated.columns, (1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("margin") + F.lit(shift))))).alias(name)
         )
         names.append(name)
-    rows.unpersist()
     mean: Column = sum((F.col(n) for n in names[1:]), F.col(names[0])) / float(folds)
     return calibrated.withColumn("calibrated_prob", mean).drop(*names)
 

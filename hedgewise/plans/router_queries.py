@@ -12,7 +12,7 @@ from hedgewise.plans import inputs
 from hedgewise.plans.catalog import VIEWS, query
 from hedgewise.plans.curation_queries import draw_sql, folds_sql, holdout_sql
 from hedgewise.plans.text_queries import lexicon
-from hedgewise.session import materialise
+from hedgewise.session import materialise, scratch_path
 from hedgewise.sources.readers import scan_matrix as read_matrix
 
 
@@ -27,7 +27,8 @@ def inference(spark, sf):
 
 
 def matrix(spark, sf, components=None):
-    return X.build_router_matrix(inference(spark, sf), lexicon(spark, sf), components)
+    docs = inputs.long_texts(spark, sf).select("row_id", F.col("question").alias("original_question"))
+    return X.build_router_matrix(inference(spark, sf), lexicon(spark, sf), components, questions=docs)
 
 
 VIEWS["fx_matrix"] = """
@@ -54,8 +55,9 @@ def build_router_matrix(spark, sf):
     ),
 )
 def scan_matrix(spark, sf):
-    stored = materialise(matrix(spark, sf), "matrix")
-    df, names = read_matrix(spark, stored.inputFiles()[0].rsplit("/", 1)[0], ("feat_top", "feat_dist_"))
+    path = scratch_path(spark, "matrix")
+    matrix(spark, sf).write.parquet(path)
+    df, names = read_matrix(spark, path, ("feat_top", "feat_dist_"))
     return df.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "n_present")
 
 
@@ -70,7 +72,7 @@ def feature_name_list(spark, sf):
     return X.feature_name_list(matrix(spark, sf))
 
 
-NUMERIC = ["feat_first_token_entropy", "feat_perplexity", "feat_dist_kurtosis", "feat_word_count"]
+NUMERIC = FEATURES
 VIEWS["fx_imputed"] = "SELECT row_id, " + ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in NUMERIC) + " FROM fx_matrix"
 
 
@@ -82,7 +84,7 @@ def impute_median(spark, sf):
 @query(
     "standardise",
     "row_id:i " + " ".join(f"{c}:d" for c in NUMERIC),
-    "SELECT row_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER ()) AS {c}" for c in NUMERIC) + " FROM fx_imputed",
+    "SELECT row_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END) AS {c}" for c in NUMERIC) + " FROM fx_imputed",
 )
 def standardise(spark, sf):
     return R.standardise(R.impute_median(matrix(spark, sf), NUMERIC)[0], NUMERIC)[0]
@@ -103,15 +105,12 @@ def class_weights(spark, sf):
 
 
 def prepared(spark, sf):
-    """Stored matrix, split 80/20 by label, imputed and standardised with the training part's numbers."""
+    """Stored raw matrix, split 80/20 by label; preparing is part of every fit."""
     stored = materialise(matrix(spark, sf).drop("original_question", "first_token_top5_logprobs"), "matrix")
     split = stored.join(stratified_holdout(stored, R.LABEL).select("row_id", "split"), "row_id")
     split = materialise(split, "matrix-split")
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    columns = X.feature_columns(stored)
-    train, test = R.impute_median(train, columns, test)
-    train, test = R.standardise(train, columns, test)
-    return train, test, columns
+    return train, test, X.feature_columns(stored)
 
 
 def _scored(model, test):
@@ -133,21 +132,29 @@ def router_forest(spark, sf):
     return _scored(R.fit_forest(train, columns), test)
 
 
-def small_boosted(df, columns):
-    """A short search, so that the whole family can run in one check."""
-    return R.fit_boosted(df, columns, depths=(3,), rates=(0.1,), trees=(5, 10), folds=2)
+# The full grid has 12 combinations in 5 folds, 60 fits of 100 to 200 trees; a registered query searches a part of it.
+SEARCH = {"depths": (3,), "rates": (0.1,), "trees": (5, 10), "folds": 2}
 
 
 @query("router_boosted", SCORED)
 def router_boosted(spark, sf):
     train, test, columns = prepared(spark, sf)
-    return _scored(small_boosted(train, columns), test)
+    return _scored(R.fit_boosted(train, columns, **SEARCH), test)
+
+
+def tuned(train, columns):
+    """A fit with the settings the search likes best, for folds and calibration."""
+    best = R.search_boosted(train, columns, **SEARCH)[0][0]
+    return lambda df: R.fit_boosted_once(df, columns, depth=best["maxDepth"], rate=best["stepSize"], trees=best["maxIter"])
 
 
 @query("apply_router", SCORED)
 def apply_router(spark, sf):
+    """Train, keep, load and score the raw matrix."""
     train, test, columns = prepared(spark, sf)
-    return _scored(R.fit_logreg(train, columns), train.unionByName(test))
+    path = scratch_path(spark, "router")
+    R.save_router(R.fit_logreg(train, columns), path)
+    return _scored(R.load_router(path), train.unionByName(test))
 
 
 @query("cv_f1", "fold:i n:i precision:d recall:d f1:d")
@@ -180,7 +187,8 @@ def results_table(spark, sf):
     return R.results_table(
         R.baseline_always(train, test),
         R.strategy_metrics("logistic_regression", train, test, lambda df: R.fit_logreg(df, columns)),
-        R.strategy_metrics("random_forest", train, test, lambda df: R.fit_forest(df, columns, trees=20, depth=5)),
+        R.strategy_metrics("random_forest", train, test, lambda df: R.fit_forest(df, columns)),
+        R.strategy_metrics("boosted_trees", train, test, tuned(train, columns)),
     )
 
 
@@ -191,10 +199,10 @@ def feature_importance(spark, sf):
 
 
 def components(spark, sf):
-    vectors = inputs.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label")
-    )
-    part = stratified_holdout(vectors.select("row_id", "label"), "label").filter("split = 'train'").select("row_id")
+    """Components of all vectors, fitted on the router's own training rows."""
+    vectors = inputs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    marks = matrix(spark, sf).select("row_id", R.LABEL)
+    part = stratified_holdout(marks, R.LABEL).filter("split = 'train'").select("row_id")
     return R.semantic_pca(vectors, vectors.join(part, "row_id", "left_semi"))[0]
 
 
@@ -207,23 +215,19 @@ def semantic_pca(spark, sf):
 def ablation_compare(spark, sf):
     wide = materialise(matrix(spark, sf, components(spark, sf)).drop("original_question", "first_token_top5_logprobs"), "matrix38")
     split = materialise(wide.join(stratified_holdout(wide, R.LABEL).select("row_id", "split"), "row_id"), "split38")
-    columns = X.feature_columns(wide)
-    train, test = R.impute_median(split.filter("split = 'train'"), columns, split.filter("split = 'test'"))
-    train, test = R.standardise(train, columns, test)
-    return R.ablation_compare(train, test, R.fit_logreg, folds=3)
+    return R.ablation_compare(split.filter("split = 'train'"), split.filter("split = 'test'"), R.fit_logreg)
 
 
 @query("platt_calibration", "row_id:i target_label:i calibrated_prob:d")
 def platt_calibration(spark, sf):
     train, test, columns = prepared(spark, sf)
-    fit = lambda df: R.fit_boosted_once(df, columns)
-    return R.platt_calibration(train, test, fit)
+    return R.platt_calibration(train, test, tuned(train, columns))
 
 
 @query("calibration_report", "series:s f1:d n:i ece:d")
 def calibration_report(spark, sf):
     train, test, columns = prepared(spark, sf)
-    fit = lambda df: R.fit_boosted_once(df, columns)
+    fit = tuned(train, columns)
     scored = R.apply_router(fit(train), R.platt_calibration(train, test, fit))
     return R.calibration_report(
         scored.withColumn("vanilla_prob", vanilla_error_prob(F.col("chosen_token_prob"))),

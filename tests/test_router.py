@@ -60,7 +60,8 @@ def test_logreg_equals_newton(toy):
     pdf = toy.toPandas()
     n, pos = len(pdf), pdf.target_label.sum()
     w = np.where(pdf.target_label == 1, n / (2 * pos), n / (2 * (n - pos)))
-    beta = newton(pdf[COLS].to_numpy(), pdf.target_label.to_numpy(), w, 1.0)
+    x = pdf[COLS].to_numpy()
+    beta = newton((x - x.mean(axis=0)) / x.std(axis=0), pdf.target_label.to_numpy(), w, 1.0)
     lr = R.fit_logreg(toy, COLS).stages[-1]
     assert np.allclose([*lr.coefficients, lr.intercept], beta, atol=1e-4)
 
@@ -72,8 +73,9 @@ def test_trees_learn_the_rule(toy, fit):
 
 
 def test_search_picks_from_the_grid(toy):
+    found = R.search_boosted(toy, COLS, depths=(1, 3), rates=(0.1,), trees=(5,), folds=2)
+    assert len(found) == 2 and found[0][1] >= found[1][1]
     model = R.fit_boosted(toy, COLS, depths=(1, 3), rates=(0.1,), trees=(5,), folds=2)
-    assert len(model.avgMetrics) == 2
     top = R.feature_importance(model, COLS, toy).first()
     assert top["feature"] == "feat_a"
 
@@ -165,3 +167,22 @@ def test_three_conditions_needs_flag_and_passage(spark):
     assert got == {0: "B", 1: "B", 2: "A", 3: "B"}
     s = R.condition_summary(R.three_conditions(vanilla, rag, flags, contexts)).first()
     assert (s["calls_saved"], s["actual_rag_calls"]) == (1, 1)
+
+
+def test_a_kept_router_takes_a_raw_matrix(toy, tmp_path):
+    holes = toy.withColumn("feat_a", F.when(F.col("row_id") % 7 != 0, F.col("feat_a")))
+    model = R.fit_logreg(holes, COLS)
+    R.save_router(model, str(tmp_path / "router"))
+    again = R.load_router(str(tmp_path / "router"))
+    assert R.router_columns(again) == COLS
+    shown = lambda m, df: [(r["row_id"], r["router_prob"]) for r in R.apply_router(m, df).orderBy("row_id").collect()]
+    assert shown(model, holes) == shown(again, holes.select("feat_b", "row_id", "feat_a", "target_label"))
+    with pytest.raises(ValueError, match="feat_b"):
+        R.apply_router(again, holes.drop("feat_b"))
+
+
+def test_held_out_outliers_do_not_move_a_fold(toy, spark):
+    odd = toy.withColumn("feat_a", F.when(F.col("row_id") == 0, F.lit(1e9)).otherwise(F.col("feat_a")))
+    rest = lambda df: df.filter("row_id <> 0")
+    assert R.Preparation(COLS).fit(rest(odd)).getStatement() == R.Preparation(COLS).fit(rest(toy)).getStatement()
+    assert R.Preparation(COLS).fit(odd).getStatement() != R.Preparation(COLS).fit(toy).getStatement()
