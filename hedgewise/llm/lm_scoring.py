@@ -39,6 +39,7 @@ SIZE = 24
 EPOCHS, BATCH, NOISE, WEIGHT, RATE = 2, 8192, 48, 12.0, 0.05
 DICTIONARY = 1 << 18  # words whose counts are handed to every task
 ADD = 1.0
+SLICE_BYTES = 3 << 20  # text that a task holds as symbols at a time
 
 
 @dataclass
@@ -198,7 +199,7 @@ def fit(df: DataFrame, training: Column, counts: DataFrame, text: str = "text")
             known = shared.value
 
             def stream() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-                for batch in slices(batches, 1 << 14):
+                for batch in slices(batches, 1 << 14, SLICE_BYTES):
                     _, _, full, begins = _sequence(known.vocabulary, texts_of(batch))
                     yield *_contexts(full, begins), full
 
@@ -280,7 +281,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id"
         (s, log_z), part, row = shared.value, TaskContext.get().partitionId(), 0
         tail_log = np.log10(s.vocabulary.tail_total)
         ends_log = np.log10(s.vocabulary.ends + ADD)
-        for batch in slices(batches, 1 << 14):
+        for batch in slices(batches, 1 << 14, SLICE_BYTES):
             coded, n, full, begins = _sequence(s.vocabulary, texts_of(batch))
             back2, back1 = _contexts(full, begins)
             value = (s.far[back2, full] + s.near[back1, full] - log_z[back2, back1]).astype(np.float64) / np.log(10)
