@@ -475,14 +475,14 @@ def test_rates_stay_nonnegative_when_a_domain_must_vanish():
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.2, 0.2, 0.2], 400)
     t = rng.integers(10, 500, 400).astype(float)
-    target = np.array([0.69, 0.3, 0.01]) * t.sum()
+    target = p.T @ (t * np.where(p[:, 2] < 0.3, 1.4, 0.0))  # what rates of zero and above can reach
     scale, steps = np.linalg.pinv((p * t[:, None]).T @ p), np.zeros((0, 3))
     errors = []
     for _ in range(mixing.STEPS):
         r = mixing.rates_after(p, steps)
         errors.append(np.abs(p.T @ (t * r) - target).max())
         steps = np.concatenate([steps, (scale @ (p.T @ (t * r) - target))[None]])
-    assert (r >= 0).all() and (r == 0).any() and errors[-1] < 0.05 * errors[0]
+    assert (r >= 0).all() and (r == 0).any() and errors[-1] < 0.02 * errors[0]
 
 
 def test_mixing_edge_rows(spark, edge, nothing, clashing):
