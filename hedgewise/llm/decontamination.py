@@ -113,7 +113,9 @@ def decontaminate(
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items and the columns in ``carry``.
 
     ``spans`` are the merged removal spans [first word, end); ``items`` the sorted ids of the items found. A
-    null text has no words; an item without words has no window; an empty benchmark hits nothing.
+    null text has no words; an item without words has no window; an empty benchmark hits nothing. Repeated
+    rows are judged each, copies of an item all count as found, and an empty table gives an empty result.
+    Carried columns keep their names, so they must not be called like a result column.
     """
     carry = list(carry or [])
     windows = windows_of(benchmark, item_id, item_text).withColumn("part", F.xxhash64("window"))

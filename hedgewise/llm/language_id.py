@@ -181,7 +181,11 @@ _LOOKUPS: dict[int, tuple[Trees, list[np.ndarray]]] = {}
 
 
 def predict(df: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score per row; ``und`` with score 0 for a text without a letter (or no language learned)."""
+    """doc_id, lang_pred, score per row; ``und`` with score 0 for a text without a letter (or no language learned).
+
+    A null or empty text has no letter. Of languages with equal code lengths the first by name is taken.
+    Repeated rows are predicted each; an empty table gives an empty result.
+    """
     shared = df.sparkSession.sparkContext.broadcast(trees)  # bounded: languages x contexts of the sample x SYMBOLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -269,7 +269,9 @@ def score(df: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id"
     """doc_id, n_tokens, n_known, train_tokens, base_score, score per row.
 
     ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's. A null or empty text is
-    its end token alone. Repeated rows are scored each.
+    its end token alone. Repeated rows are scored each; an empty table gives an empty result. Without any
+    training text all words are unknown and every score is finite. Words equally frequent are taken in
+    alphabetical order where the vocabulary ends between them.
     """
     spark = df.sparkSession
     known, log = scorer(spark, model, counts)

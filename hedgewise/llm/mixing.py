@@ -181,6 +181,8 @@ def apply(df: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", c
 
     ``copies`` is the rate rounded up or down by a draw on the id, so that it is right on average. A null or
     empty text has no tokens; it gets the rate of its posterior like any other. Without domains all rates are 1.
+    Repeated rows get the same rate each; an empty table gives an empty result. Carried columns must not be
+    called like a result column.
     """
     carry = list(carry or [])
     shared = df.sparkSession.sparkContext.broadcast(mix)

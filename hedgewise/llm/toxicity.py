@@ -156,7 +156,7 @@ def _features(windows: list[str], symbols: str) -> np.ndarray:
 
 
 def train(documents: list[tuple[bool, list[str]]]) -> Machine:
-    """Fit on (toxic, windows) of labelled documents; deterministic. Without both kinds every score is 0 or 1/2."""
+    """Fit on (toxic, windows) of labelled documents; deterministic. Without both kinds every score is (nearly) 0."""
     positive = [w for toxic, w in documents if toxic and w]
     negative = [w for toxic, w in documents if not toxic and w]
     if not positive or not negative:
@@ -264,7 +264,11 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_i
 
 
 def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, score, predicted (score >= 0.5) and the columns in ``carry`` per row. A null or empty text, or one without windows, has no evidence: score 0."""
+    """doc_id, score, predicted (score >= 0.5) and the columns in ``carry`` per row. A null or empty text, or one without windows, has no evidence: score 0.
+
+    Repeated rows are scored each; an empty table gives an empty result; a machine trained on one kind of
+    document only scores 0 everywhere. Carried columns must not be called like a result column.
+    """
     shared = df.sparkSession.sparkContext.broadcast(machine)  # SYMBOLS ** 3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
