@@ -13,6 +13,14 @@ from hedgewise.llm.common import held_out, table
 from hedgewise.session import materialise
 
 
+RESULT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as ``_document``, so that no further column can clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_document"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the string-kernel machine does not call toxic.
 
@@ -20,34 +28,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts stay.
     """
     machine = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(5, 0))
-    scored = toxicity.score(docs, machine, carry=docs.columns)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(packed(docs), machine, carry=["_document"])
+    return scored.filter("predicted = 0").select("_document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates. Texts without words stay."""
     found = near_dedup.near_duplicates(docs).filter("kept AND n_shingles > 0").select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.join(found, F.col("doc_id") == F.col("_kept"), "left")
+    whole = packed(docs).join(found, F.col("doc_id") == F.col("_kept"), "left")
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
-    return whole.filter(F.col("_kept").isNotNull() | blank | F.col("doc_id").isNull()).select(*docs.columns)
+    return whole.filter(F.col("_kept").isNotNull() | blank | F.col("doc_id").isNull()).select("_document.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which benchmark passages do not reach the share that counts as contamination."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    found = decontamination.decontaminate(packed(docs), table(spark, sf_dir, "benchmark"), carry=["_document"])
+    return found.filter(~F.col("contaminated")).select("_document.*")
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents by their rates, so that languages and quality meet the target shares."""
-    mixed = mixing.apply(docs, queries.fitted_mix(spark, docs, sf_dir), carry=docs.columns)
+    mixed = mixing.apply(packed(docs), queries.fitted_mix(spark, docs, sf_dir), carry=["_document"])
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.filter("copies > 0").withColumn("_copy", copies).select(*docs.columns)
+    return mixed.filter("copies > 0").select("_document", copies.alias("_copy")).select("_document.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near equal bytes per shard; every row of the predecessor gets a shard and a slot."""
-    return sharding.shard_by_bytes(docs, queries.SHARDS, carry=docs.columns)
+    """Near equal bytes per shard; every row of the predecessor gets a shard and a slot.
+
+    A column of the predecessor that is called like a result column gives way to it.
+    """
+    return sharding.shard_by_bytes(docs, queries.SHARDS, carry=[c for c in docs.columns if c not in RESULT])
 
 
 STAGES = [

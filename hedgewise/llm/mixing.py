@@ -93,7 +93,8 @@ def fit_classifier(df: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", t
         share = F.when(F.col("domain") == name, SAMPLE_PER_DOMAIN / n).otherwise(share)
     picked = marks.filter(draw(21, doc_id) < share).select(F.col(doc_id).alias("_id"), "domain")
     # The sample's ids, bounded by its parameter and the number of domains, go to the texts.
-    rows = df.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).filter(F.col(text).isNotNull()).select("_id", "domain", F.col(text).alias("text"))
+    texts = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    rows = texts.join(F.broadcast(picked), "_id").select("_id", "domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -215,7 +216,8 @@ def quality_domains(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled table: language and quality label of each labelled document."""
     marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
     named = F.concat_ws(":", F.col("lang"), F.when(F.col("_q") == 1, "high").otherwise("low"))
-    return documents.join(marks, F.col("doc_id") == F.col("_id")).filter(F.col("lang").isNotNull()).select("doc_id", named.alias("domain"))
+    spoken = documents.filter(F.col("lang").isNotNull()).select(F.col("doc_id").alias("_id"), "lang")
+    return spoken.join(marks, "_id").select(F.col("_id").alias("doc_id"), named.alias("domain"))
 
 
 def balanced_weights(domains: list[str], low: float = 0.1) -> dict[str, float]:

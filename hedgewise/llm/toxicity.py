@@ -248,7 +248,8 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_i
     share = F.when(F.col("_toxic") == 1, SAMPLE_TOXIC / max(1, sizes.get(1, 0))).otherwise(SAMPLE_CLEAN / max(1, sizes.get(0, 0)))
     picked = marks.filter(draw(9, "_id") < share)
     # The sample's ids, at most a few thousand by its parameters, go to the texts instead of the texts to them.
-    rows = df.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).filter(F.col(text).isNotNull()).select("_id", "_toxic", F.col(text).alias("text"))
+    texts = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    rows = texts.join(F.broadcast(picked), "_id").select("_id", "_toxic", "text")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):

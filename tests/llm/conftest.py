@@ -36,5 +36,5 @@ def clashing(edge):
     """The same rows with further columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    extra = ["row", "size", "shard", "_key", "_bucket", "score", "predicted", "spans", "items", "rate", "n", "word", "component_id", "rep"]
+    extra = ["row", "size", "shard", "_key", "_bucket", "score", "predicted", "spans", "items", "rate", "n", "word", "component_id", "rep", "_id", "_toxic", "_kept", "_row", "contaminated", "copies", "domain", "learn"]
     return edge.withColumns({c: F.lit("mine") for c in extra})

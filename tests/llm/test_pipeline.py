@@ -61,9 +61,11 @@ def test_every_row_is_sharded(steps):
     check_shards(after.collect(), queries.SHARDS)
 
 
-def test_stages_take_awkward_rows(spark, edge, nothing):
+def test_stages_take_awkward_rows(spark, clashing, edge, nothing):
     for name, stage in pipeline.STAGES:
-        assert stage(spark, edge, SMALL).count() >= 0, name
+        after = stage(spark, clashing, SMALL)
+        assert (after.columns == clashing.columns or name == "sharding") and len(set(after.columns)) == len(after.columns), name
+        assert after.count() > 0 and after.filter("n <> 'mine'").count() == 0, name
         assert stage(spark, nothing, SMALL).count() == 0, name
     blank = pipeline.drop_near_duplicates(spark, edge, SMALL)
     assert {1, 2, 3} <= set(ids(blank.filter("doc_id IS NOT NULL"))) and blank.filter("doc_id IS NULL").count() == 1
