@@ -31,8 +31,8 @@ FIRST, LAST = "\x02", "\x03"  # a window's ends count as characters of it, so th
 PADDED = WINDOW + 2
 SYMBOLS = 48  # characters with a symbol of their own; symbol 0 matches no landmark
 LANDMARKS = 128
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000  # expected labelled documents of each kind the machine is trained on
-ROUNDS, EPOCHS, HARD = 4, 250, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400  # expected labelled documents of each kind the machine is trained on
+ROUNDS, EPOCHS, HARD = 4, 250, 3000
 RARE, CAUTION = 0.02, 2.0  # share of clean documents a telling window may occur in; weight of clean windows
 EDGES = " .,;:!?*&%$#|()[]{}<>\"'`~_-+=/\\@^"
 
@@ -131,11 +131,11 @@ def kernel_sums(windows: list[str], symbols: str, tables: np.ndarray) -> np.ndar
     for n in range(5, PADDED + 1):
         at, weight = _triples(n)
         chosen = np.flatnonzero(lengths == n)
-        step = max(1, (1 << 21) // (len(at) * tables.shape[1]))
+        step = max(1, (1 << 19) // (len(at) * tables.shape[1]))
         for k in range(0, len(chosen), step):
             part = codes[chosen[k : k + step], :n].astype(np.int64)
             index = (part[:, at[:, 0]] * base + part[:, at[:, 1]]) * base + part[:, at[:, 2]]
-            sums = np.einsum("bcm,c->bm", tables[index], weight) if tables.shape[1] > 1 else (tables[index, 0] @ weight)[:, None]
+            sums = np.einsum("bcm,c->bm", tables[index], weight.astype(tables.dtype)) if tables.shape[1] > 1 else (tables[index, 0] @ weight)[:, None]
             out[chosen[k : k + step]] = sums / np.sqrt(_self_kernel(part))[:, None]
     return out
 
@@ -157,60 +157,74 @@ def _features(windows: list[str], symbols: str) -> np.ndarray:
 
 def train(documents: list[tuple[bool, list[str]]]) -> Machine:
     """Fit on (toxic, windows) of labelled documents; deterministic. Without both kinds every score is (nearly) 0."""
-    positive = [w for toxic, w in documents if toxic and w]
-    negative = [w for toxic, w in documents if not toxic and w]
-    if not positive or not negative:
+    windows = pa.array([w for _, ws in documents for w in ws], pa.string())
+    sizes = [len(ws) for _, ws in documents]
+    return train_arrays(np.array([bool(t) for t, _ in documents], bool), windows, np.repeat(np.arange(len(documents)), sizes).astype(np.int64))
+
+
+def train_arrays(toxic: np.ndarray, windows: pa.Array, owners: np.ndarray) -> Machine:
+    """The same from arrays: the label of each document, all windows (once per document) and their documents."""
+    coded = windows.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    names = coded.dictionary.take(pa.array(order)).to_pylist()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = place[coded.indices.to_numpy()] if len(owners) else np.zeros(0, np.int64)
+    in_toxic = toxic[owners]
+    n_toxic, n_clean = len(np.unique(owners[in_toxic])), len(np.unique(owners[~in_toxic]))
+    if not n_toxic or not n_clean:
         return Machine("", np.zeros((SYMBOLS + 1) ** 3, np.float32), 0.0, 0.0, -20.0)
-    in_toxic, in_clean, chars = {}, {}, {}
-    for counts, docs in ((in_toxic, positive), (in_clean, negative)):
-        for ws in docs:
-            for w in ws:
-                counts[w] = counts.get(w, 0) + 1
-    for counts in (in_toxic, in_clean):
-        for w, n in counts.items():
-            for c in w:
-                chars[c] = chars.get(c, 0) + n
+    p = np.bincount(at[in_toxic], minlength=len(names)).astype(float)
+    n = np.bincount(at[~in_toxic], minlength=len(names)).astype(float)
+    chars: dict[str, float] = {}
+    for w, times in zip(names, (p + n).tolist(), strict=True):
+        for c in w:
+            chars[c] = chars.get(c, 0) + times
     symbols = FIRST + LAST + "".join(sorted(sorted(chars, key=lambda c: (-chars[c], c))[: SYMBOLS - 2]))
-    names = sorted({*in_toxic, *in_clean})
-    number = {w: i for i, w in enumerate(names)}
-    p = np.array([in_toxic.get(w, 0) for w in names], float)
-    n = np.array([in_clean.get(w, 0) for w in names], float)
-    odds = np.log((p + 0.1) / (len(positive) + 0.2)) - np.log((n + 0.1) / (len(negative) + 0.2))
+    odds = np.log((p + 0.1) / (n_toxic + 0.2)) - np.log((n + 0.1) / (n_clean + 0.2))
     gain = p * np.maximum(odds, 0)
     telling = np.argsort(-gain, kind="stable")[: LANDMARKS // 2]
     usual = [i for i in np.argsort(-n, kind="stable") if len(names[i]) >= 4][: LANDMARKS // 4]
     landmarks = list(dict.fromkeys([*telling, *usual]))
 
     # Only windows that are rare in clean documents can stand for a toxic one; a document without any is left aside.
-    rare = n <= max(1.0, RARE * len(negative))
-    bags = [b[rare[b]] for b in (np.array([number[w] for w in ws]) for ws in positive)]
-    bags = [b for b in bags if len(b) and odds[b].max() > 1.0]
+    rare = (n <= max(1.0, RARE * n_clean))[at] & in_toxic
+    told = np.zeros(len(toxic), bool)
+    told[owners[rare & (odds[at] > 1.0)]] = True
+    told = rare & told[owners]  # the windows that can stand for their documents
     clean = np.flatnonzero(n > 0)
     rank = odds  # round one: the window most typical of toxic documents stands for its document
     chosen = np.union1d(clean[np.argsort(-n[clean], kind="stable")[:HARD]], clean[:: max(1, len(clean) // HARD)])
     machine = Machine("", np.zeros((SYMBOLS + 1) ** 3, np.float32), 0.0, 0.0, -20.0)
-    for _ in range(ROUNDS if bags else 0):
+    for _ in range(ROUNDS if told.any() else 0):
         feats = _features([names[i] for i in landmarks], symbols)
         gram = kernel_sums([names[i] for i in landmarks], symbols, feats)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         ok = values > 1e-5 * values.max()
         whiten = vectors[:, ok] / np.sqrt(values[ok])  # K(landmarks, x) -> Nystroem features
-        witness, weight = np.unique([b[np.argmax(rank[b])] for b in bags], return_counts=True)
+        witness, weight = np.unique(_best(owners[told], at[told], rank)[1], return_counts=True)
         x = kernel_sums([names[i] for i in np.concatenate([witness, chosen])], symbols, feats) @ whiten
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(chosen))])
         often = np.sqrt(n[chosen])
         share = np.concatenate([weight / weight.sum(), CAUTION * often / often.sum()])
         w, b = _svm(x, y, share)
-        machine = Machine(symbols, (feats @ (whiten @ w)).astype(np.float32), float(b), 1.0, 0.0)
+        machine = Machine(symbols, feats @ (whiten @ w).astype(np.float32), float(b), 1.0, 0.0)
         rank = machine.value(names)
         hardest = clean[np.argsort(-(rank[clean] + 1) * np.sqrt(n[clean]), kind="stable")]
         chosen = np.union1d(chosen, hardest[:HARD])
         landmarks = list(dict.fromkeys([*landmarks, *hardest[: LANDMARKS // 8], *witness[np.argsort(rank[witness])[: LANDMARKS // 8]]]))
-    best = lambda docs: np.array([max(rank[number[w]] for w in ws) for ws in docs])
-    machine.slope, machine.shift = _platt(best(positive), best(negative))
+    value = lambda kind: _best(owners[kind], at[kind], rank)[0]
+    machine.slope, machine.shift = _platt(value(in_toxic), value(~in_toxic))
     return machine
 
 
+def _best(owners: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest rank of each document's windows, and the window that has it (the first by name of several)."""
+    order = np.lexsort((at, -rank[at], owners))
+    first = order[np.concatenate([[True], np.diff(owners[order]) > 0])]
+    return rank[at[first]], at[first]
+
+
 def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, strength: float = 1e-4) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by accelerated gradient steps."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -260,8 +274,10 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_i
                 lists[k // len(names)].append(names[k % len(names)])
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_toxic"), pa.array(lists, pa.list_(pa.string()))], ["_id", "toxic", "windows"])
 
-    found = rows.mapInArrow(windows, "_id bigint, toxic int, windows array<string>").toArrow().sort_by("_id").to_pylist()
-    return train([(r["toxic"] == 1, sorted(r["windows"])) for r in found])
+    found = rows.mapInArrow(windows, "_id bigint, toxic int, windows array<string>").toArrow().sort_by("_id").combine_chunks()
+    lists = found.column("windows").combine_chunks()
+    toxic = found.column("toxic").to_numpy() == 1
+    return train_arrays(toxic, lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64))
 
 
 def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
