@@ -35,7 +35,7 @@ GROUP BY t.model, t.signal, t.percent, t.threshold"""
 
 def _recovery(spark, sf):
     out = retry.retry_outcomes(inputs.direct(spark, sf), inputs.retries(spark, sf), ["model"])
-    return out.agg(F.avg(F.col("retry_correct").cast("double")).alias("r")).scalar()
+    return out.filter("retried").agg(F.avg(F.col("retry_correct").cast("double")).alias("r")).scalar()
 
 
 @query(
