@@ -5,7 +5,9 @@
 2. ``HASHES`` minima per set give ``BANDS`` band keys of ``ROWS`` minima each; of the minima only the low
    ``BITS`` bits are kept, packed. Two sets with similarity 0.75 miss every band with probability 3e-7.
 3. In the buckets of the first ``STAR_BANDS`` bands every member is compared with the bucket's smallest id.
-   Confirmed links are joined into components, which swallows large groups of near copies at linear cost.
+   Confirmed links are joined into components. ``STAR_ROUNDS`` more rounds compare a member drawn by hash in
+   every bucket of every band with the members of other components. Both cost as much as there are members, and
+   they swallow large groups of near copies, also those whose members mostly link through others.
 4. In all buckets that still hold several components, members of different components are compared by bit
    counts of their packed signatures, block against block; a bucket's largest component is not compared with
    itself, so its members are dealt out once. A pair is looked at in the first band it shares. Pairs whose
@@ -32,6 +34,7 @@ SHINGLE = 5
 BANDS, ROWS, BITS = 40, 4, 4
 HASHES = BANDS * ROWS
 STAR_BANDS = 8
+STAR_ROUNDS = 2
 SHARE, OF = 75, 100  # a link: OF * intersection >= SHARE * union
 LOWEST = 0.58
 BLOCK = 512
@@ -171,6 +174,13 @@ def _pairs(rows: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
+def _placed(inside: DataFrame, links: DataFrame) -> DataFrame:
+    """Every member of a bucket with the component it is in so far."""
+    joined = connected(links).withColumnRenamed("node", "rep")
+    members = inside.select("key", "band", "rep").join(joined, "rep", "left")
+    return materialise(members.select("key", "band", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id), one row per row.
 
@@ -196,10 +206,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     stars = inside.filter((F.col("band") < STAR_BANDS) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(stars, nodes, sets)
-    joined = connected(links).withColumnRenamed("node", "rep")
-
-    placed = inside.select("key", "band", "rep").join(joined, "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = materialise(placed, "placed")
+    for turn in range(STAR_ROUNDS):
+        placed = _placed(inside, links)
+        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64(F.lit(turn), "rep")).alias("p")
+        pivots = placed.groupBy("key").agg(drawn, F.min("comp").alias("_least"), F.max("comp").alias("_most"))
+        pivots = pivots.filter("_least <> _most").select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("_own"))
+        met = placed.join(pivots, "key").filter("comp <> _own")
+        links = links.unionByName(_confirmed(met.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), nodes, sets))
+    placed = _placed(inside, links)
     by_component = placed.groupBy("key", "comp").agg(F.count("*").alias("_n"))
     mixed = by_component.groupBy("key").agg(
         F.count("*").alias("_comps"), F.max(F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("_all")
