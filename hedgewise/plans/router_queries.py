@@ -132,19 +132,15 @@ def router_forest(spark, sf):
     return _scored(R.fit_forest(train, columns), test)
 
 
-# The full grid has 12 combinations in 5 folds, 60 fits of 100 to 200 trees; a registered query searches a part of it.
-SEARCH = {"depths": (3,), "rates": (0.1,), "trees": (5, 10), "folds": 2}
-
-
 @query("router_boosted", SCORED)
 def router_boosted(spark, sf):
     train, test, columns = prepared(spark, sf)
-    return _scored(R.fit_boosted(train, columns, **SEARCH), test)
+    return _scored(R.fit_boosted(train, columns), test)
 
 
 def tuned(train, columns):
     """A fit with the settings the search likes best, for folds and calibration."""
-    best = R.search_boosted(train, columns, **SEARCH)[0][0]
+    best = R.search_boosted(train, columns)[0][0]
     return lambda df: R.fit_boosted_once(df, columns, depth=best["maxDepth"], rate=best["stepSize"], trees=best["maxIter"])
 
 

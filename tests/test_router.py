@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from hedgewise.operators import curation as C
 from hedgewise.operators import features as X
 from hedgewise.operators import router as R
-from hedgewise.plans import router_queries as Q
+from hedgewise.plans import catalog, router_queries as Q
 
 
 @pytest.fixture(scope="module")
@@ -186,3 +187,23 @@ def test_held_out_outliers_do_not_move_a_fold(toy, spark):
     rest = lambda df: df.filter("row_id <> 0")
     assert R.Preparation(COLS).fit(rest(odd)).getStatement() == R.Preparation(COLS).fit(rest(toy)).getStatement()
     assert R.Preparation(COLS).fit(odd).getStatement() != R.Preparation(COLS).fit(toy).getStatement()
+
+
+@pytest.mark.parametrize("name", ["router_boosted", "results_table", "platt_calibration", "calibration_report"])
+def test_queries_search_the_published_grid(toy, spark, monkeypatch, name):
+    class Searched(Exception):
+        pass
+
+    real, seen = inspect.signature(R.search_boosted), []
+
+    def search(*args, **given):
+        call = real.bind(*args, **given)
+        call.apply_defaults()
+        seen.append([call.arguments[k] for k in ("depths", "rates", "trees", "folds")])
+        raise Searched
+
+    monkeypatch.setattr(Q, "prepared", lambda *_: (toy, toy, COLS))
+    monkeypatch.setattr(R, "search_boosted", search)
+    with pytest.raises(Searched):
+        catalog.CATALOG[name].plan(spark, SMALL)
+    assert seen == [[(3, 4, 5), (0.01, 0.1), (100, 200), 5]]
