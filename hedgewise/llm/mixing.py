@@ -2,15 +2,18 @@
 
 A classifier trained on a labelled table gives every document a probability for each domain. Document rates
 r >= 0 are fitted so that the expected domain tokens ``sum_i tokens_i * p_ik * r_i`` meet the targets: least
-squares by projected gradient, starting from r = 1. A step moves a document's rate by the inner product of its
-posterior with one vector per step, so the rates after any number of steps follow from the posteriors and the
-few vectors so far. Every step is one distributed sum of as many numbers as there are domains; neither rates
-nor posteriors leave the workers.
+squares by implicit projected-gradient (proximal) steps, starting from r = 1. A step moves a document's rate by
+the inner product of its posterior with one vector per step, and that vector is the gradient at the step's end;
+it has as many numbers as there are domains and is found by Newton's method. So the rates after any number of
+steps follow from the posteriors and the few vectors so far. Every evaluation is one distributed sum of a small
+matrix; neither rates nor posteriors leave the workers. Steps end when the targets are met or the rates no
+longer move, which is the least-squares optimum of targets that cannot be met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,12 @@ SAMPLE_PER_DOMAIN = 400  # expected labelled documents of each domain the classi
 PAIRS = 512  # hashed pairs of neighbouring bytes
 WIDTH = 256 + PAIRS + 3
 EPOCHS, RIDGE = 200, 1e-4
-STEPS, TOLERANCE = 40, 1e-3
+STEPS, TOLERANCE = 40, 1e-3  # safety limit on steps; largest miss of a target, in parts of the mean target
+EVALUATIONS = 200  # safety limit on evaluations within a step
+PULL, SHRINK = 1e-4, 0.1  # weight of staying near the rates of the step before, and its factor from step to step
+REST = 1e-8  # bound on what more steps could gain at which targets count as out of reach
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -44,6 +52,7 @@ class Mix:
     steps: np.ndarray  # one row per step
     targets: dict[str, float]
     totals: dict[str, float]
+    settled: bool = True  # False when a safety limit came before the targets were met or the rates came to rest
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         return rates_after(posteriors, self.steps)
@@ -135,46 +144,116 @@ def _posterior_table(df: DataFrame, classifier: Classifier, text: str) -> DataFr
     return df.select(F.col(text).alias("text")).mapInArrow(run, "tokens bigint, p array<double>")
 
 
-def _sums(table: DataFrame, steps: np.ndarray, k: int, moments: bool = False) -> np.ndarray:
-    """Expected domain tokens under the rates so far, or the moments sum t p p'. One small row per task is added up."""
+@dataclass
+class Sums:
+    """Token-weighted sums under the rates after all steps: expected domain tokens, moments of the documents with a
+    rate above zero, squared rates, squared moves of the last step, and tokens."""
+
+    reached: np.ndarray
+    moments: np.ndarray
+    square: float
+    moved: float
+    tokens: float
+
+    @staticmethod
+    def of(p: np.ndarray, t: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        before = rates_after(p, steps[:-1])
+        rate = rates_after(p, steps) if not len(steps) else np.maximum(0.0, before - p @ steps[-1])
+        moments = (p * (t * (rate > 0))[:, None]).T @ p
+        return np.concatenate([p.T @ (t * rate), moments.reshape(-1), [t @ rate**2, t @ (rate - before) ** 2, t.sum()]])
+
+    @classmethod
+    def read(cls, v: np.ndarray, k: int) -> Sums:
+        return cls(v[:k], v[k : k + k * k].reshape(k, k), *map(float, v[k + k * k :]))
+
+
+def _sums(table: DataFrame, steps: np.ndarray, k: int) -> Sums:
+    """One small row per task is added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k if moments else k)
+        total = np.zeros(k + k * k + 3)
         for batch in batches:
             p, t = batch.column("p").flatten().to_numpy().reshape(-1, k), batch.column("tokens").to_numpy().astype(float)
-            total += ((p * t[:, None]).T @ p).reshape(-1) if moments else p.T @ (t * rates_after(p, steps))
+            total += Sums.of(p, t, steps)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
 
     rows = table.mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k * k if moments else k)
+    out = np.zeros(k + k * k + 3)
     for r in rows:
         out[r["at"]] = r["v"]
-    return out
+    return Sums.read(out, k)
+
+
+def solve(sums: Callable[[np.ndarray], Sums], wanted: np.ndarray, total: float | None = None) -> tuple[np.ndarray, np.ndarray, Sums, bool]:
+    """Steps, targets, the sums after the steps, and whether the iteration ended by itself.
+
+    Minimises the miss in the metric of all documents' moments. A step minimises miss / 2 + pull / 2 * (move of the
+    rates)^2: its vector maximises a concave dual function of as many numbers as there are domains. The gradient at
+    its end is pull * move, so pull * move * (size of the rates) bounds what is left to gain, to a factor.
+    """
+    k = len(wanted)
+    steps = np.zeros((0, k))
+    now = sums(steps)
+    targets = wanted / wanted.sum() * (now.reached.sum() if total is None else total)
+    size, whole = max(now.tokens, 1.0), now.moments
+    values, vectors = np.linalg.eigh(whole / size)
+    basis = vectors[:, values > 1e-9 * max(values.max(), 1e-300)]  # directions in which documents differ at all
+    aim = basis @ (basis.T @ targets)
+    limit = TOLERANCE * max(targets.sum(), 1.0) / k
+
+    def gap(at: Sums, vector: np.ndarray) -> np.ndarray:
+        return basis.T @ (at.reached - aim - pull * whole @ vector) / size
+
+    def cost(at: Sums, vector: np.ndarray) -> float:
+        return (at.square / 2 + aim @ vector + pull / 2 * vector @ whole @ vector) / size
+
+    while np.abs(now.reached - targets).max() > limit and basis.shape[1]:
+        if len(steps) == STEPS:
+            return steps, targets, now, False
+        pull, vector = PULL * SHRINK ** len(steps), np.zeros(k)
+        at = sums(np.vstack([steps, vector]))
+        for _ in range(EVALUATIONS):
+            slope = gap(at, vector)
+            if np.abs(slope).max() * size <= limit / 10:
+                break
+            curve = basis.T @ (at.moments + pull * whole) @ basis / size
+            move, length = np.linalg.solve(curve, slope), 1.0
+            while True:
+                trial = vector + length * basis @ move
+                there = sums(np.vstack([steps, trial]))
+                if cost(there, trial) <= cost(at, vector) - 1e-4 * length * slope @ move or length < 1e-6:
+                    break
+                length /= 2
+            if length < 1e-6:
+                return steps, targets, now, False
+            vector, at = trial, there
+        else:
+            return steps, targets, now, False
+        steps, now = np.vstack([steps, vector]), at
+        if pull * np.sqrt(now.moved * (now.square + now.moved)) / size <= REST:
+            break
+    return steps, targets, now, True
 
 
 def fit(df: DataFrame, classifier: Classifier, weights: dict[str, float], text: str = "text", total: float | None = None) -> Mix:
     """Rates for ``df`` so that its domains' expected tokens are ``weights`` (scaled to 1) of ``total`` (default: all its tokens).
 
     Weights of unknown domains are left out. A target no document can serve stays unmet, the others are still
-    fitted; ``totals`` tells what was reached.
+    fitted; ``totals`` tells what was reached. Unmet targets, and a safety limit that was hit, are logged.
     """
     k = len(classifier.domains)
     wanted = np.array([max(0.0, weights.get(d, 0.0)) for d in classifier.domains])
     if not k or wanted.sum() <= 0:
         return Mix(classifier, np.zeros((0, k)), {}, {})
     table = materialise(_posterior_table(df, classifier, text), "posteriors")
-    steps = np.zeros((0, k))
-    sums = _sums(table, steps, k)
-    targets = wanted / wanted.sum() * (sums.sum() if total is None else total)
-    scale = np.linalg.pinv(_sums(table, steps, k, moments=True).reshape(k, k), rcond=1e-9, hermitian=True)
-    for _ in range(STEPS):
-        if np.abs(sums - targets).max() <= TOLERANCE * max(targets.sum(), 1.0) / k:
-            break
-        # Projected gradient in the metric of the tokens, scaled by the moments of all documents.
-        steps = np.concatenate([steps, (scale @ (sums - targets))[None]])
-        sums = _sums(table, steps, k)
+    steps, targets, sums, settled = solve(lambda steps: _sums(table, steps, k), wanted, total)
     named = lambda x: dict(zip(classifier.domains, map(float, x), strict=True))
-    return Mix(classifier, steps, named(targets), named(sums))
+    mix = Mix(classifier, steps, named(targets), named(sums.reached), settled)
+    if not settled:
+        log.warning("the rates are unfinished: a safety limit was hit after %d steps; wanted %s, reached %s", len(steps), mix.targets, mix.totals)
+    elif np.abs(sums.reached - targets).max() > TOLERANCE * max(targets.sum(), 1.0) / k:
+        log.warning("the targets cannot all be met: wanted %s, reached %s", mix.targets, mix.totals)
+    return mix
 
 
 def apply(df: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
