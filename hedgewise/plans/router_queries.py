@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from hedgewise.operators import features as X
 from hedgewise.operators import router as R
@@ -16,19 +19,19 @@ from hedgewise.session import materialise, scratch_path
 from hedgewise.sources.readers import scan_matrix as read_matrix
 
 
-def inference(spark, sf):
-    """Recorded answers of model 0 for the documents that were asked."""
+def inference(spark, sf, model=0):
+    """Recorded answers of one model for the documents that were asked."""
     docs = inputs.long_texts(spark, sf).select("row_id", F.col("source").alias("topic"), F.col("question").alias("original_question"))
-    answers = inputs.direct(spark, sf).filter("model = 0").select(
+    answers = inputs.direct(spark, sf).filter(F.col("model") == model).select(
         "row_id", "gold_label", F.col("pred_by_probs").alias("model_answer"), (F.col("correct_by_probs") == 1).alias("is_correct")
     )
-    made = inputs.generations(spark, sf).filter("model = 0").drop("model")
+    made = inputs.generations(spark, sf).filter(F.col("model") == model).drop("model")
     return docs.join(answers.join(made, "row_id"), "row_id")
 
 
-def matrix(spark, sf, components=None):
+def matrix(spark, sf, components=None, model=0):
     docs = inputs.long_texts(spark, sf).select("row_id", F.col("question").alias("original_question"))
-    return X.build_router_matrix(inference(spark, sf), lexicon(spark, sf), components, questions=docs)
+    return X.build_router_matrix(inference(spark, sf, model), lexicon(spark, sf), components, questions=docs)
 
 
 VIEWS["fx_matrix"] = """
@@ -104,38 +107,41 @@ def class_weights(spark, sf):
 # ---------------------------------------------------------------- training
 
 
-def prepared(spark, sf):
+def prepared(spark, sf, model):
     """Stored raw matrix, split 80/20 by label; preparing is part of every fit."""
-    stored = materialise(matrix(spark, sf).drop("original_question", "first_token_top5_logprobs"), "matrix")
+    stored = materialise(matrix(spark, sf, model=model).drop("original_question", "first_token_top5_logprobs"), "matrix")
     split = stored.join(stratified_holdout(stored, R.LABEL).select("row_id", "split"), "row_id")
     split = materialise(split, "matrix-split")
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     return train, test, X.feature_columns(stored)
 
 
+def per_model(spark, sf, work: Callable[..., DataFrame], rows=None) -> DataFrame:
+    """A router per model: ``work`` on what ``rows`` makes of each model's own answers, keyed by model."""
+    models = [r["model"] for r in inputs.direct(spark, sf).select("model").distinct().orderBy("model").collect()]
+    return reduce(DataFrame.unionByName, [work(*(rows or prepared)(spark, sf, m)).select(F.lit(m).alias("model"), "*") for m in models])
+
+
 def _scored(model, test):
     return R.apply_router(model, test).select("row_id", "target_label", "router_prob", "router_pred")
 
 
-SCORED = "row_id:i target_label:i router_prob:d router_pred:i"
+SCORED = "model:i row_id:i target_label:i router_prob:d router_pred:i"
 
 
 @query("router_logreg", SCORED)
 def router_logreg(spark, sf):
-    train, test, columns = prepared(spark, sf)
-    return _scored(R.fit_logreg(train, columns), test)
+    return per_model(spark, sf, lambda train, test, columns: _scored(R.fit_logreg(train, columns), test))
 
 
 @query("router_forest", SCORED)
 def router_forest(spark, sf):
-    train, test, columns = prepared(spark, sf)
-    return _scored(R.fit_forest(train, columns), test)
+    return per_model(spark, sf, lambda train, test, columns: _scored(R.fit_forest(train, columns), test))
 
 
 @query("router_boosted", SCORED)
 def router_boosted(spark, sf):
-    train, test, columns = prepared(spark, sf)
-    return _scored(R.fit_boosted(train, columns), test)
+    return per_model(spark, sf, lambda train, test, columns: _scored(R.fit_boosted(train, columns), test))
 
 
 def tuned(train, columns):
@@ -147,16 +153,18 @@ def tuned(train, columns):
 @query("apply_router", SCORED)
 def apply_router(spark, sf):
     """Train, keep, load and score the raw matrix."""
-    train, test, columns = prepared(spark, sf)
-    path = scratch_path(spark, "router")
-    R.save_router(R.fit_logreg(train, columns), path)
-    return _scored(R.load_router(path), train.unionByName(test))
+
+    def work(train, test, columns):
+        path = scratch_path(spark, "router")
+        R.save_router(R.fit_logreg(train, columns), path)
+        return _scored(R.load_router(path), train.unionByName(test))
+
+    return per_model(spark, sf, work)
 
 
-@query("cv_f1", "fold:i n:i precision:d recall:d f1:d")
+@query("cv_f1", "model:i fold:i n:i precision:d recall:d f1:d")
 def cv_f1(spark, sf):
-    train, _, columns = prepared(spark, sf)
-    return R.cv_f1(train, lambda df: R.fit_logreg(df, columns))
+    return per_model(spark, sf, lambda train, _, columns: R.cv_f1(train, lambda df: R.fit_logreg(df, columns)))
 
 
 VIEWS["fx_split"] = holdout_sql("fx_matrix", "target_label")
@@ -177,58 +185,64 @@ def baseline_always(spark, sf):
     return R.baseline_always(split.filter("split = 'train'"), split.filter("split = 'test'"))
 
 
-@query("results_table", "strategy:s train_f1:d cv_f1:d test_f1:d test_auc:d")
+@query("results_table", "model:i strategy:s train_f1:d cv_f1:d test_f1:d test_auc:d")
 def results_table(spark, sf):
-    train, test, columns = prepared(spark, sf)
-    return R.results_table(
-        R.baseline_always(train, test),
-        R.strategy_metrics("logistic_regression", train, test, lambda df: R.fit_logreg(df, columns)),
-        R.strategy_metrics("random_forest", train, test, lambda df: R.fit_forest(df, columns)),
-        R.strategy_metrics("boosted_trees", train, test, tuned(train, columns)),
-    )
+    def work(train, test, columns):
+        return R.results_table(
+            R.baseline_always(train, test),
+            R.strategy_metrics("logistic_regression", train, test, lambda df: R.fit_logreg(df, columns)),
+            R.strategy_metrics("random_forest", train, test, lambda df: R.fit_forest(df, columns)),
+            R.strategy_metrics("boosted_trees", train, test, tuned(train, columns)),
+        )
+
+    return per_model(spark, sf, work)
 
 
-@query("feature_importance", "feature:s readable:s importance:d")
+@query("feature_importance", "model:i feature:s readable:s importance:d")
 def feature_importance(spark, sf):
-    train, _, columns = prepared(spark, sf)
-    return R.feature_importance(R.fit_forest(train, columns), columns, train, top_k=15)
+    return per_model(spark, sf, lambda train, _, columns: R.feature_importance(R.fit_forest(train, columns), columns, train, top_k=15))
 
 
-def components(spark, sf):
+def components(spark, sf, model=0):
     """Components of all vectors, fitted on the router's own training rows."""
     vectors = inputs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
-    marks = matrix(spark, sf).select("row_id", R.LABEL)
+    marks = matrix(spark, sf, model=model).select("row_id", R.LABEL)
     part = stratified_holdout(marks, R.LABEL).filter("split = 'train'").select("row_id")
     return R.semantic_pca(vectors, vectors.join(part, "row_id", "left_semi"))[0]
 
 
-@query("semantic_pca", "row_id:i " + " ".join(f"feat_pc_{i:02d}:d" for i in range(1, 17)))
+@query("semantic_pca", "model:i row_id:i " + " ".join(f"feat_pc_{i:02d}:d" for i in range(1, 17)))
 def semantic_pca(spark, sf):
-    return components(spark, sf)
+    return per_model(spark, sf, lambda parts: parts, lambda *at: [components(*at)])
 
 
-@query("ablation_compare", "strategy:s n_features:i train_f1:d cv_f1:d test_f1:d test_auc:d")
+@query("ablation_compare", "model:i strategy:s n_features:i train_f1:d cv_f1:d test_f1:d test_auc:d")
 def ablation_compare(spark, sf):
-    wide = materialise(matrix(spark, sf, components(spark, sf)).drop("original_question", "first_token_top5_logprobs"), "matrix38")
-    split = materialise(wide.join(stratified_holdout(wide, R.LABEL).select("row_id", "split"), "row_id"), "split38")
-    return R.ablation_compare(split.filter("split = 'train'"), split.filter("split = 'test'"), R.fit_logreg)
+    def rows(spark, sf, model):
+        wide = matrix(spark, sf, components(spark, sf, model), model)
+        wide = materialise(wide.drop("original_question", "first_token_top5_logprobs"), "matrix38")
+        split = materialise(wide.join(stratified_holdout(wide, R.LABEL).select("row_id", "split"), "row_id"), "split38")
+        return split.filter("split = 'train'"), split.filter("split = 'test'")
 
+    return per_model(spark, sf, lambda train, test: R.ablation_compare(train, test, R.fit_logreg), rows)
 
-@query("platt_calibration", "row_id:i target_label:i calibrated_prob:d")
+
+@query("platt_calibration", "model:i row_id:i target_label:i calibrated_prob:d")
 def platt_calibration(spark, sf):
-    train, test, columns = prepared(spark, sf)
-    return R.platt_calibration(train, test, tuned(train, columns))
+    return per_model(spark, sf, lambda train, test, columns: R.platt_calibration(train, test, tuned(train, columns)))
 
 
-@query("calibration_report", "series:s f1:d n:i ece:d")
+@query("calibration_report", "model:i series:s f1:d n:i ece:d")
 def calibration_report(spark, sf):
-    train, test, columns = prepared(spark, sf)
-    fit = tuned(train, columns)
-    scored = R.apply_router(fit(train), R.platt_calibration(train, test, fit))
-    return R.calibration_report(
-        scored.withColumn("vanilla_prob", vanilla_error_prob(F.col("chosen_token_prob"))),
-        ["vanilla_prob", "router_prob", "calibrated_prob"],
-    )
+    def work(train, test, columns):
+        fit = tuned(train, columns)
+        scored = R.apply_router(fit(train), R.platt_calibration(train, test, fit))
+        return R.calibration_report(
+            scored.withColumn("vanilla_prob", vanilla_error_prob(F.col("chosen_token_prob"))),
+            ["vanilla_prob", "router_prob", "calibrated_prob"],
+        )
+
+    return per_model(spark, sf, work)
 
 
 # ---------------------------------------------------------------- three conditions

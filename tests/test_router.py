@@ -207,3 +207,13 @@ def test_queries_search_the_published_grid(toy, spark, monkeypatch, name):
     with pytest.raises(Searched):
         catalog.CATALOG[name].plan(spark, SMALL)
     assert seen == [[(3, 4, 5), (0.01, 0.1), (100, 200), 5]]
+
+
+@pytest.mark.parametrize("name", ["apply_router", "semantic_pca"])
+def test_every_model_has_a_router_of_its_own(spark, name):
+    """All recorded answers are used, each model's by its own fit."""
+    asked = Q.inputs.direct(spark, SMALL).groupBy("model").count().collect()
+    rows = catalog.queries()[name](spark, SMALL)
+    assert len(asked) == 4 and {r["model"] for r in rows.select("model").distinct().collect()} == {r["model"] for r in asked}
+    marks = [c for c in ("router_prob", "feat_pc_01") if c in rows.columns]
+    assert rows.groupBy("row_id").agg(F.countDistinct(*marks).alias("n")).filter("n > 1").count() > 0
