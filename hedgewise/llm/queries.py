@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hedgewise.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, sharding, token_counts, token_files, toxicity
+from hedgewise.llm import (
+    decontamination, filter_audit, fingerprints, language_id, lm_scoring, mixing, near_dedup, ngram_join, periodic_runs, sharding, token_counts, token_files, toxicity,
+)
 from hedgewise.llm.common import held_out, table
 
 TOKEN_LIMIT = 4096
@@ -15,8 +16,15 @@ SHARDS = 24
 END_ID = 1
 
 
+def vocabulary(name: str) -> str:
+    """A file of the vocabulary package, which only the two queries over tokens need."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +56,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +82,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apply(docs, fitted_mix(spark, docs, sf_dir))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -85,5 +106,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
+    "op13_periodic_runs": op13_periodic_runs,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op11_filter_interaction_audit": filter_audit.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontamination.ORACLE_SQL}
