@@ -14,10 +14,10 @@ set's digest, so copies never meet as pairs.
    the set's size level; a set is indexed on its own level and on that of its smallest possible partner.
 3. Nodes that share an indexed entry are candidates. Every member of an entry is verified against the entry's smallest
    node first, which joins large groups of copies at the cost of one pair per member.
-4. Entries whose members still lie in different components are dealt to tasks with their full sets. Members of
-   different components are compared there: sizes, then a parity bitmap that bounds the difference from below, then the
-   sets. A task keeps its own union-find and returns at most one link per member, so near misses and large
-   groups never become rows of pairs.
+4. Entries whose members still lie in different components are dealt to tasks with a parity bitmap of each member,
+   whose distance bounds the difference of two sets from below. Members of different components that bitmaps cannot
+   tell apart form *groups*; those are dealt to tasks with their full sets and verified. A task keeps its own
+   union-find and returns at most one link per member, so near misses and large groups never become rows of pairs.
 
 Every step is exact: counts, table, order and groups steer the work, never the result.
 """
@@ -29,7 +29,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hedgewise.llm.common import hash_words, mix64, shingle_hashes, slices, split_words, texts_of
 from hedgewise.llm.components import connected
@@ -179,6 +180,14 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
     return sums.view(np.int64)
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit is set if an odd number of tokens falls on it, so two bitmaps differ in no more bits than the sets in tokens."""
+    out = np.zeros((len(sets), BITS), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        row[:] = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
     shared = spark.sparkContext.broadcast((keys, counts))
 
@@ -194,7 +203,8 @@ def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
             entries = [signatures(s, known[lo:hi], floor) if len(s) else s for s, lo, hi in zip(sets, ends[:-1], ends[1:], strict=True)]
             k1, k2 = _digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), _lists(entries)], ["doc_id", "n", "k1", "k2", "entries"]
+                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), _lists(entries), _lists(list(_bitmaps(sets)))],
+                ["doc_id", "n", "k1", "k2", "entries", "bits"],
             )
 
     return describe
@@ -202,87 +212,164 @@ def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2048, 4 << 20):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(token_sets(texts_of(batch)))], ["node", "tokens"])
+        sets = token_sets(texts_of(batch))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets)], ["node", "tokens"])
 
 
 # ---------------------------------------------------------------- verification
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are links, on their full sets."""
+def _near(a: str, b: str) -> Column:
+    """Whether bitmaps allow two sets to be a link: it differs in at most (OF - SHARE) / (OF + SHARE) of both sizes."""
+    apart = F.aggregate(F.zip_with(f"bits_{a}", f"bits_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    return (OF + SHARE) * apart <= (OF - SHARE) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
+def _full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and tokens of the wanted nodes, read again from the texts."""
+    wanted = materialise(wanted.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_NODES
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return materialise(texts.mapInArrow(_sets, "node bigint, tokens array<bigint>").dropDuplicates(["node", "tokens"]), "tokens")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are links: first by bitmaps, then on their full sets."""
+    small = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    likely = materialise(pairs.join(small("a"), "a").join(small("b"), "b").filter(_near("a", "b")).select("a", "b").distinct(), "likely")
+    sets = _full_sets(rows, likely.select(F.explode(F.array("a", "b")).alias("node")))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"set_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = likely.join(side("a"), "a").join(side("b"), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
     return materialise(sized.filter(OF * F.col("i") >= SHARE * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A bit is set if an odd number of tokens falls on it, so two bitmaps differ in no more bits than the sets in tokens."""
-    out = np.zeros((len(sets), BITS), np.uint8)
-    for row, s in zip(out, sets, strict=True):
-        row[:] = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(out, axis=1).view(np.uint64)
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return OF * shared >= SHARE * (len(a) + len(b) - shared)
 
 
-def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between members of different components, at most one for each that they join.
-
-    ``sides``: 0 and 1 meet each other; where all are 0, everyone meets everyone.
-    """
-    n = np.array([len(s) for s in sets], np.int64)
-    bits = _bitmaps(sets)
-    _, comp = np.unique(components, return_inverse=True)
-    above = list(range(int(comp.max(initial=-1)) + 1))
+class _Union:
+    def __init__(self, n: int):
+        self.above = list(range(n))
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        above = self.above
         while above[x] != x:
             above[x] = above[above[x]]
             x = above[x]
         return x
 
-    right = np.flatnonzero(sides == 1) if sides.any() else np.arange(len(nodes))
-    found = []
-    for i in np.flatnonzero(sides == 0):
-        j = right if sides.any() else right[right > i]
-        j = j[(comp[j] != comp[i]) & (OF * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j]))]
-        # A link differs in at most (OF - SHARE) / (OF + SHARE) of both sizes.
+    def join(self, a: int, b: int) -> bool:
+        one, other = self.root(a), self.root(b)
+        self.above[max(one, other)] = min(one, other)
+        return one != other
+
+
+def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every member with the later members of other components that sizes and bitmaps cannot tell from it.
+
+    ``sides``: 0 and 1 meet each other; where all are alike, everyone meets everyone.
+    """
+    crossing = len(np.unique(sides)) > 1
+    right = np.flatnonzero(sides == 1) if crossing else np.arange(len(n))
+    for i in np.flatnonzero(sides == 0) if crossing else right:
+        j = right if crossing else right[i + 1 :]
+        j = j[(components[j] != components[i]) & (OF * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j]))]
         j = j[(OF + SHARE) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (OF - SHARE) * (n[i] + n[j])]
+        if len(j):
+            yield int(i), j
+
+
+def alike_groups(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """Places of the members that likely pairs hold together, group by group."""
+    union, inside = _Union(len(nodes)), np.zeros(len(nodes), bool)
+    for i, j in likely_pairs(components, sides, n, bits):
+        inside[i], inside[j] = True, True
         for k in j:
-            one, other = root(comp[i]), root(comp[k])
-            if one != other and linked(sets[i], sets[k]):
-                above[one] = other
-                found.append((int(nodes[i]), int(nodes[k])))
-    return found
+            union.join(i, int(k))
+    roots = np.array([union.root(i) for i in range(len(nodes))], np.int64)
+    places = np.flatnonzero(inside)
+    places = places[np.argsort(roots[places], kind="stable")]
+    return np.split(places, np.flatnonzero(np.diff(roots[places])) + 1) if len(places) else []
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside every (entry, lo, hi); rows come sorted by them."""
+def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of different components, at most one for each that they join."""
+    _, comp = np.unique(components, return_inverse=True)
+    union = _Union(int(comp.max(initial=-1)) + 1)
+    found = []
+    for i, likely in likely_pairs(comp, sides, np.array([len(s) for s in sets], np.int64), _bitmaps(sets)):
+        for k in likely:
+            if union.root(comp[i]) != union.root(comp[k]) and linked(sets[i], sets[k]):
+                union.join(comp[i], comp[k])
+                found.append((int(nodes[i]), int(nodes[k])))
+    return found
 
-    def done(rows: list[dict]) -> pa.RecordBatch:
-        lo, hi = rows[0]["lo"], rows[0]["hi"]
-        sides = np.array([int(r["own"] != lo) if lo != hi else 0 for r in rows])
-        sets = [np.array(r["tokens"], np.int64).view(np.uint64) for r in rows]
-        links = spanning_links(np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows]), sides, sets)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    tag, held = None, []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of every (entry, lo, hi) together; they come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        tokens = batch.column("tokens")
-        plain = batch.drop_columns(["tokens"]).to_pylist()
-        for at, row in enumerate(plain):
-            row["tokens"] = tokens[at].values.to_numpy()
-            if (row["entry"], row["lo"], row["hi"]) != tag and held:
-                yield done(held)
+        tags = np.stack([batch.column(c).to_numpy() for c in ("entry", "lo", "hi")])
+        cuts = [0, *(np.flatnonzero((tags[:, 1:] != tags[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi == lo:
+                continue
+            tag = tuple(tags[:, lo])
+            if tag != last and held:
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            tag = (row["entry"], row["lo"], row["hi"])
-            held.append(row)
+            last = tag
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield done(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _columns(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    node, component, own, lo = (block.column(c).to_numpy() for c in ("node", "component", "own", "lo"))
+    payload = block.column("payload").combine_chunks()
+    flat, offsets = payload.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(pc.list_value_length(payload).to_numpy()))
+    return node, component, (own != lo).astype(np.int64), [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of members that bitmaps cannot tell apart, named by their members, so that a group met twice is one."""
+    for block in _blocks(batches):
+        node, component, sides, bits = _columns(block)
+        groups = alike_groups(node, component, sides, block.column("size").to_numpy(), np.stack(bits))
+        if groups:
+            names = np.concatenate([np.full(len(g), (mix64(node[g].astype(np.uint64)).sum() + np.uint64(len(g))).astype(np.int64)) for g in groups])
+            places = np.concatenate(groups)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(node[places]), pa.array(block.column("size").to_numpy()[places]), pa.array(component[places])], ["entry", "node", "size", "component"])
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        links = spanning_links(*_columns(block))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+
+def _dealt(placed: DataFrame, payload: DataFrame) -> DataFrame:
+    """The members (entry, node, size, component) of entries with several components, dealt to tasks with their payload.
+
+    Entries with the same members are looked at once. A large one is cut into blocks; every two blocks meet in a task.
+    """
+    name = F.xxhash64("node")
+    apart = placed.groupBy("entry").agg(
+        F.count("*").alias("members"), F.sum("size").alias("tokens"),
+        F.sum(F.shiftright(name, 32)).alias("name1"), F.sum(name.bitwiseAND(0xFFFFFFFF)).alias("name2"),
+        F.min("component").alias("_least"), F.max("component").alias("_most"),
+    ).filter("_least <> _most")
+    apart = apart.groupBy("members", "tokens", "name1", "name2").agg(F.min("entry").alias("entry"))
+    blocks = F.greatest(F.ceil(F.col("tokens") / BLOCK), F.ceil(F.col("members") / ROWS)).cast("int")
+    dealt = placed.join(materialise(apart.select("entry", blocks.alias("blocks")), "apart"), "entry")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(payload, "node").select("entry", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "size", "component", "payload")
+    return dealt.repartition("entry", "lo", "hi").sortWithinPartitions("entry", "lo", "hi")
 
 
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, table: int = TABLE) -> DataFrame:
@@ -296,41 +383,25 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     keys, counts, floor = frequent_tokens(rows, least, table)
-    described = materialise(rows.mapInArrow(_describer(keys, counts, floor, spark), "doc_id bigint, n bigint, k1 bigint, k2 bigint, entries array<bigint>"), "described")
+    described = materialise(rows.mapInArrow(_describer(keys, counts, floor, spark), "doc_id bigint, n bigint, k1 bigint, k2 bigint, entries array<bigint>, bits array<bigint>"), "described")
     filled = described.filter("n > 0 AND doc_id IS NOT NULL")
     named = ["n", "k1", "k2"]
-    nodes = materialise(filled.groupBy(*named).agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("entries").alias("entries")), "nodes")
+    nodes = materialise(filled.groupBy(*named).agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("entries").alias("entries"), F.first("bits").alias("bits")), "nodes")
 
     members = nodes.select("node", F.col("n").alias("size"), F.explode("entries").alias("entry"))
     buckets = members.groupBy("entry").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"), F.max("node").alias("_last"))
     buckets = materialise(buckets.filter("pivot <> _last").drop("_last"), "entries")
     inside = materialise(members.join(buckets, "entry"), "members")
-    wanted = inside.select(F.col("node").alias("doc_id")).distinct()
-    few = wanted.count() <= BROADCAST_NODES
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "node bigint, tokens array<bigint>").dropDuplicates(["node", "tokens"]), "tokens")
-
     likely = OF * F.least("size", "pivot_size") >= SHARE * F.greatest("size", "pivot_size")
     stars = inside.filter(likely & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(stars, sets)
+    links = _verified(stars, nodes, rows)
     joined = connected(links).withColumnRenamed("node", "_node")
     placed = inside.join(joined, F.col("node") == F.col("_node"), "left").select("entry", "node", "size", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
-    name = F.xxhash64("node")
-    apart = placed.groupBy("entry").agg(
-        F.count("*").alias("members"), F.sum("size").alias("tokens"),
-        F.sum(F.shiftright(name, 32)).alias("name1"), F.sum(name.bitwiseAND(0xFFFFFFFF)).alias("name2"),
-        F.min("component").alias("_least"), F.max("component").alias("_most"),
-    ).filter("_least <> _most")
-    # Entries with the same members are looked at once.
-    apart = apart.groupBy("members", "tokens", "name1", "name2").agg(F.min("entry").alias("entry"))
-    blocks = F.greatest(F.ceil(F.col("tokens") / BLOCK), F.ceil(F.col("members") / ROWS)).cast("int")
-    dealt = placed.join(materialise(apart.select("entry", blocks.alias("blocks")), "apart"), "entry")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(sets, "node").select("entry", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "tokens")
-    sorted_ = dealt.repartition("entry", "lo", "hi").sortWithinPartitions("entry", "lo", "hi")
-    more = materialise(sorted_.mapInArrow(_compare, "a bigint, b bigint").distinct(), "links")
+    groups = _dealt(placed, nodes.select("node", F.col("bits").alias("payload"))).mapInArrow(_alike, "entry bigint, node bigint, size bigint, component bigint")
+    groups = materialise(groups.distinct(), "alike")
+    sets = _full_sets(rows, groups).withColumnRenamed("tokens", "payload")
+    more = materialise(_dealt(groups, sets).mapInArrow(_links, "a bigint, b bigint").distinct(), "links")
 
     final = connected(links.unionByName(more)).withColumnRenamed("node", "_node")
     return _labelled(described, nodes, final)
