@@ -16,7 +16,7 @@ set's digest, so copies never meet as pairs.
    node first, which joins large groups of copies at the cost of one pair per member.
 4. Entries whose members still lie in different components are dealt to tasks with a parity bitmap of each member,
    whose distance bounds the difference of two sets from below. Members of different components that bitmaps cannot
-   tell apart form *groups*; those are dealt to tasks with their full sets and verified. A task keeps its own
+   tell apart form *groups*, those with common members one; they are dealt to tasks with their full sets and verified. A task keeps its own
    union-find and returns at most one link per member, so near misses and large groups never become rows of pairs.
 
 Every step is exact: counts, table, order and groups steer the work, never the result.
@@ -400,6 +400,10 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     placed = materialise(placed, "placed")
     groups = _dealt(placed, nodes.select("node", F.col("bits").alias("payload"))).mapInArrow(_alike, "entry bigint, node bigint, size bigint, component bigint")
     groups = materialise(groups.distinct(), "alike")
+    # Groups that share members become one, so that a full set is sent once.
+    hubs = groups.groupBy("entry").agg(F.min("node").alias("b"))
+    whole = connected(groups.join(hubs, "entry").select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("entry"))
+    groups = materialise(groups.select("node", "size", "component").distinct().join(whole, "node").select("entry", "node", "size", "component"), "alike")
     sets = _full_sets(rows, groups).withColumnRenamed("tokens", "payload")
     more = materialise(_dealt(groups, sets).mapInArrow(_links, "a bigint, b bigint").distinct(), "links")
 
