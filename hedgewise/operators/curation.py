@@ -71,21 +71,32 @@ def sample_n_per_source(df: DataFrame, n: int, seed: int = 42, source: str = "so
     return join_small(df, drawn.select("row_id"), ["row_id"], "left_semi")
 
 
-def _quotas(sizes: DataFrame, stratum: str, share: Column, wanted: Column, name: str) -> DataFrame:
-    """Largest-remainder share of ``wanted`` over the strata (one small row per stratum)."""
-    everything = Window.partitionBy(F.lit(0))
-    exact = F.col("_exact")
-    rows = sizes.withColumn("_exact", wanted * share / F.sum(share).over(everything))
-    rest = wanted - F.sum(F.floor(exact)).over(everything)
-    by_rest = Window.partitionBy(F.lit(0)).orderBy((exact - F.floor(exact)).desc(), stratum)
-    bonus = (F.row_number().over(by_rest) <= rest).cast("int")
-    return rows.withColumn(name, (F.floor(exact) + bonus).cast("bigint")).drop("_exact")
-
-
-def _ranked_in_stratum(df: DataFrame, stratum: str, seed: int) -> DataFrame:
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``few`` has one row per key, or one row in all; its columns come beside every row."""
+    if keys:
+        return join_small(rows, few, keys, "inner")
+    return rows.withColumns({c: few.select(c).scalar() for c in few.columns})
+
+
+def _quotas(sizes: DataFrame, stratum: str, share: Column, wanted: Column, name: str, keys: list[str]) -> DataFrame:
+    """Largest-remainder share of ``wanted`` over the strata of a key, one row per stratum.
+
+    Remainders are ranked in buckets, ties by stratum, so any number of strata is spread over tasks.
+    """
+    totals = sizes.groupBy(*keys).agg(F.sum(share).alias("_total"), F.max(wanted).alias("_wanted"))
+    rows = _beside(sizes, totals, keys).withColumn("_exact", F.col("_wanted") * share / F.col("_total"))
+    left = rows.groupBy(*keys).agg((F.max("_wanted") - F.sum(F.floor("_exact"))).alias("_left"))
+    rest = F.struct((F.floor("_exact") - F.col("_exact")).alias("r"), F.col(stratum).alias("s"))
+    ranked = row_ranks(rows.withColumn("_rest", rest), keys, ["_rest"], "_place")
+    bonus = (F.col("_place") <= F.col("_left")).cast("int")
+    quota = (F.floor("_exact") + bonus).cast("bigint")
+    return _beside(ranked, left, keys).withColumn(name, quota).select(*sizes.columns, name)
+
+
+def _ranked_in_stratum(df: DataFrame, strata: list[str], seed: int) -> DataFrame:
     """Rank of each row_id within its stratum by draw; only (stratum, draw, row_id) is moved."""
-    keyed = df.select(stratum, "row_id", draw_key(seed, "row_id").alias("_draw"))
-    return row_ranks(keyed, [stratum], ["_draw", "row_id"], "_rank").drop("_draw")
+    keyed = df.select(*strata, "row_id", draw_key(seed, "row_id").alias("_draw"))
+    return row_ranks(keyed, strata, ["_draw", "row_id"], "_rank").drop("_draw")
 
 
 def stratified_split3(
@@ -96,9 +107,9 @@ def stratified_split3(
     The result is (row_id, stratum, split): join it to the rows by ``row_id``.
     """
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = _quotas(sizes, stratum, F.col("_n"), F.lit(held_out), "_held")
-    sizes = _quotas(sizes, stratum, F.col("_held"), F.lit(test), "_test").select(stratum, "_held", "_test")
-    ranked = join_small(_ranked_in_stratum(df, stratum, seed), sizes, [stratum], "inner")
+    sizes = _quotas(sizes, stratum, F.col("_n"), F.lit(held_out), "_held", [])
+    sizes = _quotas(sizes, stratum, F.col("_held"), F.lit(test), "_test", []).select(stratum, "_held", "_test")
+    ranked = join_small(_ranked_in_stratum(df, [stratum], seed), sizes, [stratum], "inner")
     split = (
         F.when(F.col("_rank") <= F.col("_test"), F.lit("test"))
         .when(F.col("_rank") <= F.col("_held"), F.lit("validation"))
@@ -107,23 +118,28 @@ def stratified_split3(
     return ranked.select("row_id", stratum, split.alias("split"))
 
 
-def stratified_holdout(df: DataFrame, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """80/20 by label; two labels never mean two tasks (see ``row_ranks``). Result: row_id, label, split."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = F.ceil(F.sum("_n").over(Window.partitionBy(F.lit(0))) * F.lit(share))
-    sizes = _quotas(sizes.withColumn("_want", wanted), label, F.col("_n"), F.col("_want"), "_held")
-    ranked = join_small(_ranked_in_stratum(df, label, seed), sizes.select(label, "_held"), [label], "inner")
+def stratified_holdout(df: DataFrame, label: str, share: float = 0.2, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """80/20 by label, within each of the keys; two labels never mean two tasks (see ``row_ranks``).
+
+    Result: keys, row_id, label, split.
+    """
+    keys = keys or []
+    sizes = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.groupBy(*keys).agg(F.ceil(F.sum("_n") * F.lit(share)).alias("_want"))
+    sizes = _quotas(_beside(sizes, wanted, keys), label, F.col("_n"), F.col("_want"), "_held", keys)
+    ranked = join_small(_ranked_in_stratum(df, [*keys, label], seed), sizes.select(*keys, label, "_held"), [*keys, label], "inner")
     split = F.when(F.col("_rank") <= F.col("_held"), F.lit("test")).otherwise(F.lit("train"))
-    return ranked.select("row_id", label, split.alias("split"))
+    return ranked.select(*keys, "row_id", label, split.alias("split"))
 
 
-def stratified_folds(df: DataFrame, label: str, folds: int = 5, seed: int | None = 42) -> DataFrame:
-    """A fold number per row, even within every label. Without a seed rows keep their row_id order."""
+def stratified_folds(df: DataFrame, label: str, folds: int = 5, seed: int | None = 42, keys: list[str] | None = None) -> DataFrame:
+    """A fold number per row, even within every label of a key. Without a seed rows keep their row_id order."""
+    strata = [*(keys or []), label]
     if seed is None:
-        ranked = row_ranks(df.select(label, "row_id"), [label], ["row_id"], "_rank")
+        ranked = row_ranks(df.select(*strata, "row_id"), strata, ["row_id"], "_rank")
     else:
-        ranked = _ranked_in_stratum(df, label, seed)
-    return ranked.select("row_id", label, ((F.col("_rank") - 1) % folds).cast("int").alias("fold"))
+        ranked = _ranked_in_stratum(df, strata, seed)
+    return ranked.select(*(keys or []), "row_id", label, ((F.col("_rank") - 1) % folds).cast("int").alias("fold"))
 
 
 def hash_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:

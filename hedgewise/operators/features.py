@@ -175,21 +175,21 @@ def build_router_matrix(
 ) -> DataFrame:
     """All inference columns, ``target_label`` and 22 ``feat_*`` columns (38 with components).
 
-    Everything but the token classes is a projection of the row itself. ``questions`` (row_id and question) saves
-    working out the inference twice for them.
+    Text features are worked out once per question and joined to the answers by ``row_id``; ``questions`` (row_id and
+    question) says which questions there are, without it they are taken from the answers. Components are joined on
+    the columns they share with the answers (row_id, model).
     """
     text = F.col(question)
-    rows = inference.withColumn("_shape", top5_features(F.col("first_token_top5_logprobs")))
-    wide = rows.select(
-        *inference.columns,
-        target_label(F.col("is_correct")).alias("target_label"),
-        *[c.alias(n) for n, c in {**basic_text(text), **keyword_flags(text), **model_features()}.items()],
+    answers = inference.withColumn("_shape", top5_features(F.col("first_token_top5_logprobs"))).select(
+        *inference.columns, target_label(F.col("is_correct")).alias("target_label"), *[c.alias(n) for n, c in model_features().items()]
     )
-    asked = inference.select("row_id", question) if questions is None else questions
-    matrix = wide.join(token_class_shares(asked, lexicon, question), "row_id")
+    asked = inference.select("row_id", question).dropDuplicates(["row_id"]) if questions is None else questions
+    described = asked.select("row_id", *[c.alias(n) for n, c in {**basic_text(text), **keyword_flags(text)}.items()])
+    matrix = answers.join(described, "row_id").join(token_class_shares(asked, lexicon, question), "row_id")
     expected = BASE_FEATURES
     if components is not None:
-        matrix = matrix.join(components, "row_id", "left")  # a row without a vector stays, its components missing
+        shared = [c for c in ("model", "row_id") if c in components.columns]
+        matrix = matrix.join(components, shared, "left")  # a row without a vector stays, its components missing
         expected += PCA_FEATURES
     found = len(feature_columns(matrix))
     if found != expected:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hedgewise.functions.common import missing_if_nan
 from hedgewise.operators.ranks import percentile_table, running_totals
-from hedgewise.session import join_small
+from hedgewise.session import join_small, materialise
 
 
 def unpivot_signals(df: DataFrame, ids: list[str], signals: list[str]) -> DataFrame:
@@ -132,54 +135,87 @@ def signal_advantage(table: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks; the p-value uses the large-sample normal form."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
-    )
-    one = {"n": F.lit(1).cast("bigint")}
+    """Rank correlation with average ranks over the rows where both are present; null below two rows or without spread.
+
+    Equal pairs are collapsed and written once; ranks and their correlation are worked out on those. The mean rank is
+    (n + 1) / 2. The p-value is that of Student's t with n - 2 degrees of freedom, null below three rows.
+    """
+    known = lambda c: missing_if_nan(F.col(c))
+    both = df.select(known(x).alias("x"), known(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    pairs = materialise(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
+    one = {"n": F.col("w")}
     average = F.col("cum_n") - (F.col("n") - 1) / 2.0
-    pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    rank_x = running_totals(both, [], "x", one).select("x", average.alias("rank_x"))
-    rank_y = running_totals(both, [], "y", one).select("y", average.alias("rank_y"))
+    rank_x = running_totals(pairs, [], "x", one).select("x", average.alias("rank_x"), "all_n")
+    rank_y = running_totals(pairs, [], "y", one).select("y", average.alias("rank_y"))
     # Few distinct values can each hold many rows; their ranks are then few and broadcast.
     ranked = join_small(join_small(pairs, rank_x, ["x"], "inner"), rank_y, ["y"], "inner")
-    return weighted_correlation(ranked, "rank_x", "rank_y", "w")
+    mean = (F.col("all_n") + 1) / 2.0
+    d = ranked.select("w", (F.col("rank_x") - mean).alias("dx"), (F.col("rank_y") - mean).alias("dy"))
+    return _correlation(d)
+
+
+def _correlation(d: DataFrame) -> DataFrame:
+    """n, rho and p_value of the distances dx, dy from the means, each row standing for ``w``."""
+    sum_of = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
+    rho = F.try_divide(sum_of("dx", "dy"), F.sqrt(sum_of("dx", "dx")) * F.sqrt(sum_of("dy", "dy")))
+    out = d.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.greatest(F.least(rho, F.lit(1.0)), F.lit(-1.0)).alias("rho"))
+    freedom = F.col("n") - 2.0
+    rest = 1.0 - F.col("rho") * F.col("rho")
+    p = F.when(F.col("rho").isNull() | (F.col("n") < 3), F.lit(None).cast("double")).otherwise(t_two_sided(rest, freedom))
+    return out.withColumn("p_value", p)
 
 
 def weighted_correlation(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
-    """Pearson correlation of rows standing for ``w`` copies each: rho, n and a normal p-value."""
+    """Pearson correlation of rows standing for ``w`` copies each: n, rho and the p-value of Student's t."""
     n = F.sum(w).cast("double")
     wx, wy = F.sum(F.col(w) * F.col(x)), F.sum(F.col(w) * F.col(y))
     means = df.agg(F.struct((wx / n).alias("mx"), (wy / n).alias("my")).alias("m")).scalar()
-    d = df.withColumn("_m", means).select(
-        w, (F.col(x) - F.col("_m.mx")).alias("dx"), (F.col(y) - F.col("_m.my")).alias("dy")
-    )
-    sxy = F.sum(F.col(w) * F.col("dx") * F.col("dy"))
-    sxx, syy = F.sum(F.col(w) * F.col("dx") * F.col("dx")), F.sum(F.col(w) * F.col("dy") * F.col("dy"))
-    out = d.agg(F.sum(w).alias("n"), F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy)).alias("rho"))
-    z = F.abs(F.col("rho")) * F.sqrt(F.col("n") - 1.0)
-    return out.withColumn("p_value", normal_two_sided(z))
-
-
-def normal_two_sided(z: Column) -> Column:
-    """2*(1 - Phi(z)) by the classical rational approximation of erfc (error below 1.2e-7)."""
-    u = z / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.5 * u)
-    # Chebyshev coefficients of the approximation, lowest power first.
-    coefficients = [
-        -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-        0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-    ]
-    poly = F.lit(0.0)
-    for c in reversed(coefficients):
-        poly = poly * t + F.lit(c)
-    return t * F.exp(-u * u + poly)
+    d = df.withColumn("_m", means).select(F.col(w).alias("w"), (F.col(x) - F.col("_m.mx")).alias("dx"), (F.col(y) - F.col("_m.my")).alias("dy"))
+    return _correlation(d)
+
+
+def log_gamma(z: Column) -> Column:
+    """ln Gamma(z) for z > 0: Stirling's series at z + 8, carried back by the recurrence."""
+    up = z + 8.0
+    # B(2k) / (2k (2k - 1)) for k = 1 to 5.
+    series = sum((F.lit(c) / F.pow(up, F.lit(2.0 * i + 1)) for i, c in enumerate((1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188))), F.lit(0.0))
+    back = sum((F.log(z + float(i)) for i in range(8)), F.lit(0.0))
+    return (up - 0.5) * F.log(up) - up + 0.5 * F.log(F.lit(2 * math.pi)) + series - back
+
+
+def incomplete_beta(x: Column, a: Column, b: Column, terms: int = 300) -> Column:
+    """The regularised incomplete beta function by its continued fraction, for x below (a + 1) / (a + b + 2)."""
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    start = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+    state = F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("h"))
+
+    def step(s: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
+        term = F.when(k % 2 == 0, even).otherwise(odd)
+        d, c = 1.0 / safe(1.0 + term * s["d"]), safe(1.0 + term / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    fraction = F.aggregate(F.sequence(F.lit(2), F.lit(terms)), state, step)["h"]
+    front = F.exp(a * F.log(x) + b * F.log(1.0 - x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b))
+    return front * fraction / a
+
+
+def t_two_sided(rest: Column, freedom: Column) -> Column:
+    """P(|T| > t) where ``rest`` = freedom / (freedom + t^2), which is 1 - rho^2 of a correlation."""
+    a, half = freedom / 2.0, F.lit(0.5)
+    low = rest < (a + 1.0) / (a + 2.5)
+    whole = F.when(low, incomplete_beta(rest, a, half)).otherwise(1.0 - incomplete_beta(1.0 - rest, half, a))
+    return F.when(rest <= 0, F.lit(0.0)).when(rest >= 1, F.lit(1.0)).otherwise(whole)
 
 
 def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Linear correlation over rows where both are present."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"))
+    known = lambda c: missing_if_nan(F.col(c))
+    both = df.select(*(keys or []), known(x).alias("_x"), known(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    return both.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("pearson_r"))
 
 
 def binary_scores(df: DataFrame, pred: str, target: str, keys: list[str] | None = None) -> DataFrame:
@@ -215,13 +251,13 @@ def accuracy_rollup(df: DataFrame, greedy: str, argmax: str, group: str = "sourc
 
 def means_by_correctness(df: DataFrame, correct: str, signals: list[str], keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or []), correct).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(s).alias(f"mean_{s}") for s in signals]
+        F.count(F.lit(1)).alias("n"), *[F.avg(missing_if_nan(F.col(s))).alias(f"mean_{s}") for s in signals]
     )
 
 
 def signal_histogram(df: DataFrame, signal: str, by: str, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins between the overall minimum and maximum; the maximum is in the last bin."""
-    rows = df.filter(F.col(signal).isNotNull()).select(F.col(signal).cast("double").alias("x"), by)
+    rows = df.select(missing_if_nan(F.col(signal)).alias("x"), by).filter("x IS NOT NULL")
     span = rows.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("s")).scalar()
     width = (F.col("_s.hi") - F.col("_s.lo")) / float(bins)
     spot = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("_s.lo"), width)), F.lit(0))

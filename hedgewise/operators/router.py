@@ -1,31 +1,28 @@
-"""Training, applying and comparing the classifier that flags answers as likely wrong."""
+"""Training and applying single classifiers of ``pyspark.ml``, comparing strategies and conditions.
+
+Fits of many models and folds at once are in ``keyed`` and ``boosting``.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hedgewise.operators.calibration import ece_weighted, f1_at_threshold
-from hedgewise.operators.curation import stratified_folds
-from hedgewise.operators.features import feature_columns
 from hedgewise.operators.ranking import binary_scores, roc_auc
 from hedgewise.operators.ranks import percentile_rows
-from hedgewise.session import materialise
 
 LABEL = "target_label"
 WEIGHT = "class_weight"
 Fit = Callable[[DataFrame], Model]
-ROWS_PER_PARTITION = 20_000
+PARTITIONS = 8  # of the training rows of one fit, whatever their number; raise it for large tables
 
 
 # ---------------------------------------------------------------- preparation
@@ -45,27 +42,6 @@ def column_medians(df: DataFrame, columns: list[str], exact: bool = True) -> dic
     return {r["feature"]: r["edge"] for r in rows}
 
 
-def impute_median(train: DataFrame, columns: list[str], *others: DataFrame, exact: bool = True) -> list[DataFrame]:
-    """Fill missing values with the training medians, in the training table and all others."""
-    medians = column_medians(train, columns, exact)
-    out = []
-    for df in (train, *others):
-        clean = df.withColumns(
-            {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-        )
-        out.append(clean.fillna({**{c: 0.0 for c in columns}, **medians}, subset=columns))
-    return out
-
-
-def standardise(train: DataFrame, columns: list[str], *others: DataFrame) -> list[DataFrame]:
-    """(x - mean) / std with the population std; a constant column is only centred."""
-    row = train.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
-    ).first()
-    scaled = {c: (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns}
-    return [df.withColumns(scaled) for df in (train, *others)]
-
-
 PREPARED = "prepared_"
 
 
@@ -133,26 +109,19 @@ def with_balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.withColumn(WEIGHT, weight)
 
 
-def with_scale_pos_weight(df: DataFrame, label: str = LABEL) -> DataFrame:
-    rows = class_weights(df, label).limit(1).collect()
-    scale = rows[0]["scale_pos_weight"] if rows else 1.0
-    return df.withColumn(WEIGHT, F.when(F.col(label) == 1, F.lit(scale)).otherwise(F.lit(1.0)))
-
-
 # ---------------------------------------------------------------- estimators
 
 
 @contextmanager
-def _training_rows(df: DataFrame, columns: list[str], *others: str) -> Iterator[tuple[DataFrame, int]]:
+def _training_rows(df: DataFrame, columns: list[str], *others: str, partitions: int = PARTITIONS) -> Iterator[tuple[DataFrame, int]]:
     """The columns a fit needs, kept for its many passes, and their number.
 
-    A small table is brought into few partitions, as every pass costs a task per partition;
-    a large one keeps its own.
+    Rows are dealt by their id to a fixed number of partitions and sorted there, because a forest draws its samples by
+    partition and place: the same rows give the same forest.
     """
-    kept = df.select(*columns, *others).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.select("row_id", *columns, *others).repartition(partitions, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = kept.count()
-        yield kept.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))), n
+        yield kept, kept.count()
     finally:
         kept.unpersist()
 
@@ -176,7 +145,7 @@ def fit_logreg(train: DataFrame, columns: list[str], label: str = LABEL, max_ite
 
 
 def fit_forest(
-    train: DataFrame, columns: list[str], label: str = LABEL, trees: int = 100, depth: int = 10, seed: int = 42
+    train: DataFrame, columns: list[str], label: str = LABEL, trees: int = 100, depth: int = 30, seed: int = 42
 ) -> PipelineModel:
     forest = RandomForestClassifier(
         labelCol=label, weightCol=WEIGHT, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
@@ -185,76 +154,6 @@ def fit_forest(
         return _pipeline(columns, forest).fit(rows)
 
 
-class PositiveF1(Evaluator):
-    """F1 of class 1 with the zero-division rule of ``binary_scores``."""
-
-    def __init__(self, label: str = LABEL):
-        super().__init__()
-        self._label = label
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        return float(binary_scores(dataset, "prediction", self._label).first()["f1"])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-def _booster(label: str, seed: int = 42, **params) -> GBTClassifier:
-    return GBTClassifier(labelCol=label, weightCol=WEIGHT, subsamplingRate=0.8, seed=seed, **params)
-
-
-def search_boosted(
-    train: DataFrame,
-    columns: list[str],
-    label: str = LABEL,
-    depths: tuple[int, ...] = (3, 4, 5),
-    rates: tuple[float, ...] = (0.01, 0.1),
-    trees: tuple[int, ...] = (100, 200),
-    folds: int = 5,
-    seed: int = 42,
-    parallelism: int = 4,
-) -> list[tuple[dict, float]]:
-    """Mean F1 over the folds of every combination, best first.
-
-    The folds are exact per label. Each is prepared once, by its own training rows, for all combinations.
-    """
-    grid = [{"maxDepth": d, "stepSize": r, "maxIter": t} for d in depths for r in rates for t in trees]
-    fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
-    folded = materialise(with_scale_pos_weight(train, label).select("row_id", label, WEIGHT, *columns).join(fold_of, "row_id"), "search-folds")
-    sums = [0.0] * len(grid)
-    for k in range(folds):
-        rest, held = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
-        stages = [Preparation(columns).fit(rest), _assembler(columns)]
-        ready = lambda df: PipelineModel(stages).transform(df).select("features", label, WEIGHT)  # noqa: E731, B023
-        with _training_rows(ready(rest), ["features"], label, WEIGHT) as (rows, _), _training_rows(ready(held), ["features"], label) as (seen, _):
-
-            @inheritable_thread_target(train.sparkSession)
-            def scored(params: dict) -> float:
-                model = _booster(label, seed, **params).fit(rows)  # noqa: B023
-                return PositiveF1(label).evaluate(model.transform(seen))  # noqa: B023
-
-            with ThreadPool(parallelism) as pool:
-                for at, f1 in enumerate(pool.map(scored, grid)):
-                    sums[at] += f1
-    order = sorted(range(len(grid)), key=lambda at: -sums[at])
-    return [(grid[at], sums[at] / folds) for at in order]
-
-
-def fit_boosted(train: DataFrame, columns: list[str], label: str = LABEL, seed: int = 42, **search) -> PipelineModel:
-    """Boosted trees with the settings that ``search_boosted`` likes best, refitted on all training rows."""
-    best = search_boosted(train, columns, label, seed=seed, **search)[0][0]
-    return fit_boosted_once(train, columns, label, best["maxDepth"], best["stepSize"], best["maxIter"])
-
-
-def fit_boosted_once(
-    train: DataFrame, columns: list[str], label: str = LABEL, depth: int = 3, rate: float = 0.1, trees: int = 10
-) -> PipelineModel:
-    """Boosted trees with given settings, for refits of an already chosen combination."""
-    booster = _booster(label, maxDepth=depth, stepSize=rate, maxIter=trees)
-    with _training_rows(with_scale_pos_weight(train, label), columns, label, WEIGHT) as (rows, _):
-        return _pipeline(columns, booster).fit(rows)
-
-
 def apply_router(model: Model, rows: DataFrame) -> DataFrame:
     """``router_prob`` and 0/1 ``router_pred`` per row of a raw matrix; rows are never paired by position.
 
@@ -271,175 +170,37 @@ def apply_router(model: Model, rows: DataFrame) -> DataFrame:
     )
 
 
-def cv_f1(train: DataFrame, fit: Fit, label: str = LABEL, folds: int = 5, seed: int = 42) -> DataFrame:
-    """F1 of every fold; the mean over folds is the cross-validated score."""
-    fold_of = stratified_folds(train, label, folds, seed).select("row_id", "fold")
-    rows = materialise(train.join(fold_of, "row_id"), "folds")
-
-    @inheritable_thread_target(train.sparkSession)
-    def scored(k: int) -> DataFrame:
-        model = fit(rows.filter(F.col("fold") != k).drop("fold"))
-        held = apply_router(model, rows.filter(F.col("fold") == k))
-        return held.select("row_id", "fold", "router_pred", label)
-
-    # The folds are independent jobs, so they are submitted side by side.
-    with ThreadPool(folds) as pool:
-        parts = pool.map(scored, range(folds))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return binary_scores(whole, "router_pred", label, ["fold"])
-
-
-def strategy_metrics(
-    name: str, train: DataFrame, test: DataFrame, fit: Fit, label: str = LABEL, folds: int = 5
-) -> DataFrame:
-    """One row: train F1, cross-validated F1, test F1, test AUC."""
-    model = fit(train)
-    on = lambda df: apply_router(model, df).select("row_id", "router_pred", "router_prob", label)
-    tested = on(test)
-    f1 = lambda df: binary_scores(df, "router_pred", label).select("f1").scalar()
-    cv = cv_f1(train, fit, label, folds).agg(F.avg("f1").alias("f1")).scalar()
-    auc = roc_auc(tested, "router_prob", label).select("auc")
-    return auc.select(
-        F.lit(name).alias("strategy"),
-        f1(on(train)).alias("train_f1"),
-        cv.alias("cv_f1"),
-        f1(tested).alias("test_f1"),
-        F.col("auc").alias("test_auc"),
-    )
-
-
-def baseline_always(train: DataFrame, test: DataFrame, label: str = LABEL, folds: int = 5) -> DataFrame:
-    """Always flag: the F1 of every part and an AUC of one half, counted in one aggregate."""
-    fold_of = stratified_folds(train, label, folds)
-    part = lambda df, name, fold: df.select(F.lit(name).alias("part"), fold.alias("fold"), label, F.lit(1).alias("p"))
-    rows = (
-        part(train, "train", F.lit(0))
-        .unionByName(part(test, "test", F.lit(0)))
-        .unionByName(part(fold_of, "fold", F.col("fold")))
-    )
-    scores = binary_scores(rows, "p", label, ["part", "fold"])
-    f1 = lambda name: F.when(F.col("part") == name, F.col("f1"))
-    both = (F.col("part") == "test") & (F.col("tp") > 0) & (F.col("fp") > 0)
-    return scores.agg(
-        F.lit("always").alias("strategy"),
-        F.max(f1("train")).alias("train_f1"),
-        F.avg(f1("fold")).alias("cv_f1"),
-        F.max(f1("test")).alias("test_f1"),
-        F.max(F.when(both, F.lit(0.5))).alias("test_auc"),
-    )
-
-
-def results_table(*rows: DataFrame) -> DataFrame:
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def strategy_table(scored: DataFrame, keys: list[str], label: str = LABEL) -> DataFrame:
+    """keys, strategy, train_f1, cv_f1 (mean over folds), test_f1, test_auc, all strategies and keys in one go.
 
-
-# ---------------------------------------------------------------- importances, ablation, PCA
-
-def readable(feature: str) -> str:
-    """``feat_avg_word_len`` as ``Avg word len``."""
-    return feature.removeprefix("feat_").replace("_", " ").capitalize()
-
-
-def feature_importance(model: Model, columns: list[str], like: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Importances, largest first, with readable names; one row per feature."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(c, readable(c), float(v)) for c, v in zip(columns, values, strict=True)]
-    table = like.sparkSession.createDataFrame(rows, "feature string, readable string, importance double")
-    table = table.orderBy(F.desc("importance"), "feature")
-    return table if top_k is None else table.limit(top_k)
-
-
-def ablation_compare(
-    train: DataFrame, test: DataFrame, fit_on: Callable[[DataFrame, list[str]], Model], folds: int = 5
-) -> DataFrame:
-    """The same training with and without the principal components (prefix ``feat_pc_``)."""
-    parts = []
-    for name, dropped in (("base_features", ("feat_pc_",)), ("with_components", ())):
-        columns = feature_columns(train, dropped)
-        row = strategy_metrics(name, train, test, lambda df, cs=columns: fit_on(df, cs), folds=folds)
-        parts.append(row.withColumn("n_features", F.lit(len(columns))))
-    return results_table(*parts)
-
-
-def semantic_pca(
-    vectors: DataFrame, fit_on: DataFrame | None = None, k: int = 16, vector: str = "vector"
-) -> tuple[DataFrame, PipelineModel]:
-    """``feat_pc_01``.. per row_id, fitted on the given rows (or all). Vectors are centred first.
-
-    There are never more components than rows fitted on or dimensions.
+    ``scored``: keys, strategy, ``part`` (train, fold, test), ``fit`` (the fold), router_prob, router_pred, label.
     """
-    to_vec = lambda df: df.select("row_id", array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    taught = to_vec(vectors if fit_on is None else fit_on)
-    first = taught.limit(1).collect()
-    k = min(k, len(first[0]["_v"]) if first else k, max(1, taught.limit(k).count()))
-    stages = [
-        StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False),
-        PCA(k=k, inputCol="_c", outputCol="_pc"),
-    ]
-    model = Pipeline(stages=stages).fit(taught)
-    parts = vector_to_array("_pc")
-    named = [F.get(parts, F.lit(i)).alias(f"feat_pc_{i + 1:02d}") for i in range(k)]
-    return model.transform(to_vec(vectors)).select("row_id", *named), model
+    named = [*keys, "strategy"]
+    scores = binary_scores(scored, "router_pred", label, [*named, "part", "fit"])
+    of = lambda part: F.when(F.col("part") == part, F.col("f1"))
+    f1 = scores.groupBy(*named).agg(F.max(of("train")).alias("train_f1"), F.avg(of("fold")).alias("cv_f1"), F.max(of("test")).alias("test_f1"))
+    auc = roc_auc(scored.filter("part = 'test'"), "router_prob", label, named).select(*named, F.col("auc").alias("test_auc"))
+    return f1.join(auc, named, "left")
 
 
-# ---------------------------------------------------------------- calibration of the router
-
+def top_features(gains: DataFrame, keys: list[str], value: str, top_k: int) -> DataFrame:
+    """The features of greatest importance of every key, with readable names; ties by feature."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(value), "feature")
+    best = gains.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= top_k)
+    words = F.replace(F.regexp_replace("feature", "^feat_", ""), F.lit("_"), F.lit(" "))
+    shown = F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1000)))
+    return best.select(*keys, "feature", shown.alias("readable"), F.col(value).alias("importance"))
 
-def _platt_rows(scored: DataFrame, label: str) -> DataFrame:
-    """Platt's soft targets: each row counts once as 1 with weight t and once as 0 with 1 - t."""
-    counts = scored.agg(
-        F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1.0 - F.col(label).cast("double")).alias("neg")
-    ).first()
-    pos, neg = counts["pos"] or 0.0, counts["neg"] or 0.0
-    soft = F.when(F.col(label) == 1, F.lit((pos + 1.0) / (pos + 2.0))).otherwise(F.lit(1.0 / (neg + 2.0)))
-    pair = F.array(
-        F.struct(F.lit(1.0).alias("y"), soft.alias("w")), F.struct(F.lit(0.0).alias("y"), (1.0 - soft).alias("w"))
-    )
-    return scored.select("margin", F.explode(pair).alias("p")).select("margin", "p.y", "p.w")
 
-
-def _held_score(model: Model, rows: DataFrame) -> DataFrame:
-    """The router's probability, which is all that a wrapped classifier offers to calibrate."""
-    return model.transform(rows).withColumn("margin", F.get(vector_to_array("probability"), F.lit(1)))
-
-
-def platt_calibration(
-    train: DataFrame, test: DataFrame, fit: Fit, label: str = LABEL, folds: int = 3
-) -> DataFrame:
-    """Mean of ``folds`` calibrated probabilities: fit on the rest, sigmoid on the held-out scores."""
-    fold_of = stratified_folds(train, label, folds, seed=None).select("row_id", "fold")
-    rows = materialise(train.join(fold_of, "row_id"), "calibration-folds")
-    calibrated = test
-    names = []
-    for k in range(folds):
-        model = fit(rows.filter(F.col("fold") != k).drop("fold"))
-        held = _held_score(model, rows.filter(F.col("fold") == k)).select("margin", label)
-        sigmoid = Pipeline(
-            stages=[
-                VectorAssembler(inputCols=["margin"], outputCol="mf"),
-                LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0),
-            ]
-        ).fit(_platt_rows(held, label))
-        slope, shift = float(sigmoid.stages[-1].coefficients[0]), float(sigmoid.stages[-1].intercept)
-        name = f"_p{k}"
-        calibrated = _held_score(model, calibrated).select(
-            *calibrated.columns, (1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("margin") + F.lit(shift))))).alias(name)
-        )
-        names.append(name)
-    mean: Column = sum((F.col(n) for n in names[1:]), F.col(names[0])) / float(folds)
-    return calibrated.withColumn("calibrated_prob", mean).drop(*names)
+# ---------------------------------------------------------------- calibration of the router
 
 
-def calibration_report(df: DataFrame, probs: list[str], label: str = LABEL) -> DataFrame:
+def calibration_report(df: DataFrame, probs: list[str], label: str = LABEL, keys: list[str] | None = None) -> DataFrame:
     """F1 at one half and the weighted calibration error of several probability columns."""
-    long = df.select("row_id", label, *probs).unpivot(["row_id", label], probs, "series", "p")
-    f1 = f1_at_threshold(long, "p", label, 0.5, ["series"]).select("series", "f1")
-    return f1.join(ece_weighted(long, "p", label, ["series"]), "series")
+    named = [*(keys or []), "series"]
+    long = df.select(*(keys or []), "row_id", label, *probs).unpivot([*(keys or []), "row_id", label], probs, "series", "p")
+    f1 = f1_at_threshold(long, "p", label, 0.5, named).select(*named, "f1")
+    return f1.join(ece_weighted(long, "p", label, named), named)
 
 
 # ---------------------------------------------------------------- three conditions

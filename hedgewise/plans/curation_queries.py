@@ -223,10 +223,11 @@ def sample_n_per_source(spark, sf):
     return C.sample_n_per_source(inputs.all_questions(spark, sf).select("row_id", "source"), 25)
 
 
-def _quota_sql(rows: str, stratum: str, share: str, wanted: str, name: str) -> str:
-    exact = f"(({wanted}) * {share} / (sum({share}) OVER ()))"
-    return f"""SELECT *, floor(exact)::BIGINT + (row_number() OVER (ORDER BY exact - floor(exact) DESC, {stratum})
-    <= ({wanted}) - sum(floor(exact)) OVER ())::BIGINT AS {name} FROM (SELECT *, {exact} AS exact FROM ({rows}))"""
+def _quota_sql(rows: str, stratum: str, share: str, wanted: str, name: str, key: str = "") -> str:
+    part = f"PARTITION BY {key}" if key else ""
+    exact = f"(({wanted}) * {share} / (sum({share}) OVER ({part})))"
+    return f"""SELECT *, floor(exact)::BIGINT + (row_number() OVER ({part} ORDER BY exact - floor(exact) DESC, {stratum})
+    <= ({wanted}) - sum(floor(exact)) OVER ({part}))::BIGINT AS {name} FROM (SELECT *, {exact} AS exact FROM ({rows}))"""
 
 
 _SIZES = "SELECT source, count(*) AS n FROM fx_all_questions GROUP BY source"
@@ -245,12 +246,15 @@ def stratified_split3(spark, sf):
     return C.stratified_split3(inputs.all_questions(spark, sf).select("row_id", "source"))
 
 
-def holdout_sql(rows: str, label: str) -> str:
-    sizes = f"SELECT {label}, count(*) AS n, ceil((SELECT count(*) FROM {rows}) * 0.2::DOUBLE) AS want FROM {rows} GROUP BY {label}"
-    held = _quota_sql(sizes, label, "n", "want", "held")
-    return f"""SELECT row_id, {label}, CASE WHEN k <= held THEN 'test' ELSE 'train' END AS split
-FROM (SELECT row_id, {label}, row_number() OVER (PARTITION BY {label} ORDER BY {draw_sql(42)}, row_id) AS k FROM {rows})
-JOIN (SELECT {label}, held FROM ({held})) USING ({label})"""
+def holdout_sql(rows: str, label: str, key: str = "") -> str:
+    """The 80/20 split by label, within each value of ``key`` if one is named."""
+    keyed, part = (f"{key}, ", f"PARTITION BY {key}") if key else ("", "")
+    sizes = f"""SELECT {keyed}{label}, n, ceil(sum(n) OVER ({part}) * 0.2::DOUBLE) AS want
+    FROM (SELECT {keyed}{label}, count(*) AS n FROM {rows} GROUP BY {keyed}{label})"""
+    held = _quota_sql(sizes, label, "n", "want", "held", key)
+    return f"""SELECT {keyed}row_id, {label}, CASE WHEN k <= held THEN 'test' ELSE 'train' END AS split
+FROM (SELECT {keyed}row_id, {label}, row_number() OVER (PARTITION BY {keyed}{label} ORDER BY {draw_sql(42)}, row_id) AS k FROM {rows})
+JOIN (SELECT {keyed}{label}, held FROM ({held})) USING ({keyed}{label})"""
 
 
 @query("stratified_holdout", "row_id:i target:i split:s", holdout_sql("fx_questions", "target"))
@@ -258,8 +262,9 @@ def stratified_holdout(spark, sf):
     return C.stratified_holdout(inputs.questions(spark, sf).select("row_id", "target"), "target")
 
 
-def folds_sql(rows: str, label: str, folds: int, order: str) -> str:
-    return f"SELECT row_id, {label}, (row_number() OVER (PARTITION BY {label} ORDER BY {order}) - 1) % {folds} AS fold FROM {rows}"
+def folds_sql(rows: str, label: str, folds: int, order: str, key: str = "") -> str:
+    keyed = f"{key}, " if key else ""
+    return f"""SELECT {keyed}row_id, {label}, (row_number() OVER (PARTITION BY {keyed}{label} ORDER BY {order}) - 1) % {folds} AS fold FROM {rows}"""
 
 
 @query("stratified_folds", "row_id:i target:i fold:i", folds_sql("fx_questions", "target", 5, f"{draw_sql(42)}, row_id"))

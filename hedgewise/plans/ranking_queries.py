@@ -127,15 +127,22 @@ def signal_advantage_parsed_only(spark, sf):
     return R.signal_advantage(table, ["model"])
 
 
+def _with_p(sql: str) -> str:
+    """Adds the p-value of Student's t by Simpson's rule over theta: I_x(a, 1/2) = 2 int sin^(2a-1) / B(a, 1/2), x = 1 - rho^2."""
+    return f"""SELECT n, rho, 2 * exp(lgamma(n / 2.0 - 0.5) - lgamma(n / 2.0 - 1) - lgamma(0.5)) * sum(pow(sin(asin(sqrt(1 - rho * rho)) * i / 20000.0), n - 3)
+    * CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * asin(sqrt(1 - rho * rho)) / 60000.0 AS p_value
+FROM ({sql}), (SELECT unnest(range(0, 20001)) AS i) GROUP BY n, rho"""
+
+
 @query(
     "spearman",
-    "n:i rho:d",
-    """SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
+    "n:i rho:d p_value:d",
+    _with_p("""SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
 SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
        rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
 FROM (SELECT self_confidence AS x, value AS y FROM fx_confidences
       JOIN (SELECT row_id // 4 AS row_id, (row_id % 4)::INT AS model, value FROM fx_replies) USING (model, row_id)
-      WHERE self_confidence IS NOT NULL AND value IS NOT NULL))""",
+      WHERE self_confidence IS NOT NULL AND value IS NOT NULL))"""),
 )
 def spearman(spark, sf):
     from hedgewise.functions.labels import parse_confidence
@@ -146,9 +153,9 @@ def spearman(spark, sf):
 
 @query(
     "spearman_signals",
-    "n:i rho:d",
-    """SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
-SELECT rank() OVER (ORDER BY margin) AS rx, rank() OVER (ORDER BY entropy_over_labels) AS ry FROM fx_direct)""",
+    "n:i rho:d p_value:d",
+    _with_p("""SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
+SELECT rank() OVER (ORDER BY margin) AS rx, rank() OVER (ORDER BY entropy_over_labels) AS ry FROM fx_direct)"""),
 )
 def spearman_signals(spark, sf):
     return R.spearman(inputs.direct(spark, sf), "margin", "entropy_over_labels")

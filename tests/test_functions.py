@@ -105,9 +105,9 @@ def test_fingerprint_cuts_before_it_strips(one):
 
     text = " " + "Q" * 199 + " tail"
     want = hashlib.md5(text[:200].strip().lower().encode()).hexdigest()
-    assert one(X.question_fingerprint(F.col("t")), t=text) == want
+    assert one(X.question_fingerprint(F.col("t"), 200), t=text) == want
     whole = hashlib.md5(text.strip().lower().encode()).hexdigest()
-    assert one(X.question_fingerprint(F.col("t"), None), t=text) == whole
+    assert one(X.question_fingerprint(F.col("t")), t=text) == whole  # the whole text by default
 
 
 @pytest.mark.parametrize(

@@ -123,9 +123,47 @@ def test_spearman_with_ties(spark, pdf):
     assert 0 <= row["p_value"] < 1e-6
 
 
-def test_normal_tail(one):
-    for z in (0.0, 0.5, 1.96, 4.0):
-        assert math.isclose(one(R.normal_two_sided(F.lit(z))), math.erfc(z / math.sqrt(2)), abs_tol=2e-7)
+@pytest.mark.parametrize("freedom, t, want", [(8, 0.5, 0.630536), (8, 2.306004, 0.05), (1, 1.0, 0.5), (2, 4.302653, 0.05), (30, 2.042272, 0.05), (998, 1.962344, 0.05), (100_000, 1.959988, 0.05)])
+def test_student_tail(one, freedom, t, want):
+    rest = F.lit(freedom / (freedom + t * t))
+    assert math.isclose(one(R.t_two_sided(rest, F.lit(float(freedom)))), want, abs_tol=1e-6)
+
+
+def test_spearman_of_ten_rows(spark):
+    x, y = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [2, 1, 4, 3, 7, 5, 6, 10, 8, 9]
+    got = R.spearman(spark.createDataFrame(list(zip(x, y)), "x int, y int"), "x", "y").first()
+    rho = 1 - 6 * sum((a - b) ** 2 for a, b in zip(x, y)) / (10 * 99)
+    assert got["n"] == 10 and math.isclose(got["rho"], rho)
+    t, steps = rho * math.sqrt(8 / (1 - rho * rho)), 200_000  # the tail of Student's t with 8 degrees, by Simpson's rule
+    top = math.asin(math.sqrt(8 / (8 + t * t)))
+    area = sum((1 if i in (0, steps) else 4 if i % 2 else 2) * math.sin(top * i / steps) ** 7 for i in range(steps + 1)) * top / steps / 3
+    assert math.isclose(got["p_value"], 2 * area * math.gamma(4.5) / math.gamma(4) / math.gamma(0.5), abs_tol=1e-6)
+
+
+def test_spearman_skips_missing_and_needs_spread(spark):
+    rows = [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (float("nan"), 9.0), (4.0, None)]
+    got = R.spearman(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    assert got["n"] == 3 and math.isclose(got["rho"], 1.0) and got["p_value"] < 1e-6
+    flat = R.spearman(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 5.0)], "x double, y double"), "x", "y").first()
+    assert flat["rho"] is None and flat["p_value"] is None
+    none = R.spearman(spark.createDataFrame([], "x double, y double"), "x", "y").first()
+    assert none["n"] == 0 and none["rho"] is None
+
+
+def test_nan_is_missing(spark):
+    from hedgewise.operators import calibration as C
+
+    rows = [(0.1, 0), (float("nan"), 0), (0.9, 1), (0.95, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "p double, y int").withColumn("g", F.lit("a"))
+    uniform = {r["bin"]: (r["n"], r["fraction_positive"]) for r in C.reliability_uniform(df, "p", "y").collect()}
+    assert uniform == {0: (1, 0.0), 8: (1, 1.0), 9: (1, 1.0)} or uniform == {0: (1, 0.0), 9: (2, 1.0)}
+    assert C.ece_weighted(df, "p", "y").first()["n"] == 3
+    assert C.f1_at_threshold(df, "p", "y").first()["f1"] == 1.0
+    assert R.signal_histogram(df, "p", "g", 4).agg(F.sum("n")).first()[0] == 3
+    assert R.pearson(df, "p", "y").first()["n"] == 3
+    assert math.isclose(R.means_by_correctness(df, "g", ["p"]).first()["mean_p"], 0.65)
+    errors = [r[0] for r in df.select(C.vanilla_error_prob(F.col("p"))).collect()]
+    assert errors[1] is None and errors[4] is None and math.isclose(errors[0], 0.9)
 
 
 def test_binary_scores_zero_division(spark):

@@ -1,4 +1,3 @@
-import inspect
 import math
 
 import numpy as np
@@ -25,26 +24,6 @@ def toy(spark):
 COLS = ["feat_a", "feat_b"]
 
 
-def test_median_interpolates(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (9.0,), (4.0,), (None,)], "x double")
-    assert R.column_medians(df, ["x"]) == {"x": 3.0}
-    filled = R.impute_median(df, ["x"])[0]
-    assert sorted(r[0] for r in filled.collect()) == [1.0, 2.0, 3.0, 3.0, 4.0, 9.0]
-
-
-def test_test_rows_use_training_numbers(spark):
-    train = spark.createDataFrame([(1.0,), (3.0,)], "x double")
-    test = spark.createDataFrame([(None,), (5.0,)], "x double")
-    train, test = R.impute_median(train, ["x"], test)
-    train, test = R.standardise(train, ["x"], test)
-    assert [r[0] for r in test.collect()] == [0.0, 3.0]
-
-
-def test_constant_column_is_centred(spark):
-    df = spark.createDataFrame([(2.0,), (2.0,)], "x double")
-    assert [r[0] for r in R.standardise(df, ["x"])[0].collect()] == [0.0, 0.0]
-
-
 def newton(x, y, w, lam):
     """Weighted logistic regression with an unpenalised intercept."""
     z = np.c_[x, np.ones(len(x))]
@@ -67,20 +46,11 @@ def test_logreg_equals_newton(toy):
     assert np.allclose([*lr.coefficients, lr.intercept], beta, atol=1e-4)
 
 
-@pytest.mark.parametrize("fit", [lambda d: R.fit_forest(d, COLS, trees=10, depth=4), lambda d: R.fit_boosted_once(d, COLS)])
-def test_trees_learn_the_rule(toy, fit):
-    scored = R.apply_router(fit(toy), toy)
+def test_trees_learn_the_rule(toy):
+    scored = R.apply_router(R.fit_forest(toy, COLS, trees=10, depth=4), toy)
     assert R.binary_scores(scored, "router_pred", "target_label").first()["f1"] > 0.85
 
 
-def test_search_picks_from_the_grid(toy):
-    found = R.search_boosted(toy, COLS, depths=(1, 3), rates=(0.1,), trees=(5,), folds=2)
-    assert len(found) == 2 and found[0][1] >= found[1][1]
-    model = R.fit_boosted(toy, COLS, depths=(1, 3), rates=(0.1,), trees=(5,), folds=2)
-    top = R.feature_importance(model, COLS, toy).first()
-    assert top["feature"] == "feat_a"
-
-
 def test_class_weights(toy, spark):
     rows = {r["target_label"]: r for r in R.class_weights(toy).collect()}
     n, pos, neg = 300, rows[1]["n"], rows[0]["n"]
@@ -111,36 +81,13 @@ def test_split3_sizes(spark):
     assert {v for (_, s), v in sizes.items() if s != "train"} == {50}
 
 
-def test_cv_and_baseline(toy):
-    folds = R.cv_f1(toy, lambda d: R.fit_logreg(d, COLS)).collect()
-    assert len(folds) == 5 and sum(r["n"] for r in folds) == 300
-    base = R.baseline_always(toy, toy).first()
-    pos = toy.filter("target_label = 1").count()
-    assert math.isclose(base["test_f1"], 2 * pos / (pos + 300)) and base["test_auc"] == 0.5
-
-
-def test_platt_probabilities(toy):
-    out = R.platt_calibration(toy, toy, lambda d: R.fit_boosted_once(d, COLS)).toPandas()
-    assert out.calibrated_prob.between(0, 1).all()
-    assert out[out.target_label == 1].calibrated_prob.mean() > out[out.target_label == 0].calibrated_prob.mean() + 0.3
-
-
-def test_pca_is_centred_and_orthogonal(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1] + 10
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id int, vector array<double>")
-    got = R.semantic_pca(df, k=2)[0].orderBy("row_id").toPandas().drop(columns="row_id").to_numpy()
-    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-8)
-
-
 def test_matrix_has_22_or_38_features(spark):
     m = Q.matrix(spark, SMALL)
     assert len(X.feature_columns(m)) == 22 and X.feature_columns(m) == sorted(X.FEATURE_NAMES)
     parts = spark.createDataFrame([(0, 1.0)], "row_id long, feat_pc_01 double")
     with pytest.raises(ValueError, match="23 feature columns"):
         Q.matrix(spark, SMALL, parts)
-    assert len(X.feature_columns(Q.matrix(spark, SMALL, Q.components(spark, SMALL)))) == 38
+    assert len(X.feature_columns(Q.matrix(spark, SMALL, Q.semantic(spark, SMALL)[0]))) == 38
     with pytest.raises(ValueError):
         X.feature_columns(m, ("feat_",))
 
@@ -189,26 +136,6 @@ def test_held_out_outliers_do_not_move_a_fold(toy, spark):
     assert R.Preparation(COLS).fit(odd).getStatement() != R.Preparation(COLS).fit(toy).getStatement()
 
 
-@pytest.mark.parametrize("name", ["router_boosted", "results_table", "platt_calibration", "calibration_report"])
-def test_queries_search_the_published_grid(toy, spark, monkeypatch, name):
-    class Searched(Exception):
-        pass
-
-    real, seen = inspect.signature(R.search_boosted), []
-
-    def search(*args, **given):
-        call = real.bind(*args, **given)
-        call.apply_defaults()
-        seen.append([call.arguments[k] for k in ("depths", "rates", "trees", "folds")])
-        raise Searched
-
-    monkeypatch.setattr(Q, "prepared", lambda *_: (toy, toy, COLS))
-    monkeypatch.setattr(R, "search_boosted", search)
-    with pytest.raises(Searched):
-        catalog.CATALOG[name].plan(spark, SMALL)
-    assert seen == [[(3, 4, 5), (0.01, 0.1), (100, 200), 5]]
-
-
 @pytest.mark.parametrize("name", ["apply_router", "semantic_pca"])
 def test_every_model_has_a_router_of_its_own(spark, name):
     """All recorded answers are used, each model's by its own fit."""
