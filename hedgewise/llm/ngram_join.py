@@ -41,7 +41,7 @@ SHARE, OF = 85, 100  # a link: OF * intersection >= SHARE * union
 PARTS, FLUSH = 4096, 1 << 21  # token counts: key ranges, and tokens a task holds before it sends them on
 LEAST, TABLE, STEEP = 16, 1 << 20, 64
 BLOCK, ROWS = 1 << 20, 4096  # tokens and members of one block of an entry; two blocks meet in a task
-BITS = 2048
+BITS = 2048  # of the narrowest bitmap
 HOT = 1000  # sets that hold over a thousandth of the rows: fewer than HOT, so they may be broadcast
 BROADCAST_NODES = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -180,12 +180,18 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
     return sums.view(np.int64)
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A bit is set if an odd number of tokens falls on it, so two bitmaps differ in no more bits than the sets in tokens."""
-    out = np.zeros((len(sets), BITS), np.uint8)
-    for row, s in zip(out, sets, strict=True):
-        row[:] = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def _bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A bit is set if an odd number of tokens falls on it, so two bitmaps differ in no more bits than the sets in tokens.
+
+    A bitmap has ``BITS`` bits or the power of two from four bits per token on; its halves, folded together, are the
+    bitmap of half the width.
+    """
+    out = []
+    for s in sets:
+        width = max(BITS, 1 << (4 * max(len(s), 1) - 1).bit_length())
+        odd = (np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+        out.append(np.packbits(odd).view(np.uint64))
+    return out
 
 
 def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
@@ -203,7 +209,7 @@ def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
             entries = [signatures(s, known[lo:hi], floor) if len(s) else s for s, lo, hi in zip(sets, ends[:-1], ends[1:], strict=True)]
             k1, k2 = _digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), _lists(entries), _lists(list(_bitmaps(sets)))],
+                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), _lists(entries), _lists(_bitmaps(sets))],
                 ["doc_id", "n", "k1", "k2", "entries", "bits"],
             )
 
@@ -220,8 +226,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(a: str, b: str) -> Column:
-    """Whether bitmaps allow two sets to be a link: it differs in at most (OF - SHARE) / (OF + SHARE) of both sizes."""
-    apart = F.aggregate(F.zip_with(f"bits_{a}", f"bits_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    """Whether bitmaps allow two sets to be a link: it differs in at most (OF - SHARE) / (OF + SHARE) of both sizes.
+
+    Sizes of a link are so close that widths are equal or one is twice the other, which is folded.
+    """
+    one, other = F.col(f"bits_{a}"), F.col(f"bits_{b}")
+    differ = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(bits: Column, to: Column) -> Column:
+        n = F.size(to)
+        return F.when(F.size(bits) > n, F.zip_with(F.slice(bits, F.lit(1), n), F.slice(bits, n + 1, n), differ)).otherwise(bits)
+
+    apart = F.aggregate(F.zip_with(folded(one, other), folded(other, one), lambda x, y: F.bit_count(differ(x, y))), F.lit(0), lambda s, v: s + v)
     return (OF + SHARE) * apart <= (OF - SHARE) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
 
@@ -266,22 +282,33 @@ class _Union:
         return one != other
 
 
-def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """Every member with the later members of other components that sizes and bitmaps cannot tell from it.
 
     ``sides``: 0 and 1 meet each other; where all are alike, everyone meets everyone.
     """
+    width = np.array([len(b) for b in bits], np.int64)
+    at_width = {}
+    for w in np.unique(width).tolist():
+        members = np.flatnonzero((width == w) | (width == 2 * w))
+        rows = np.full(len(n), -1)
+        rows[members] = np.arange(len(members))
+        at_width[w] = rows, np.stack([bits[m] if width[m] == w else bits[m][:w] ^ bits[m][w:] for m in members])
     crossing = len(np.unique(sides)) > 1
     right = np.flatnonzero(sides == 1) if crossing else np.arange(len(n))
     for i in np.flatnonzero(sides == 0) if crossing else right:
         j = right if crossing else right[i + 1 :]
         j = j[(components[j] != components[i]) & (OF * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j]))]
-        j = j[(OF + SHARE) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (OF - SHARE) * (n[i] + n[j])]
-        if len(j):
-            yield int(i), j
+        common = np.minimum(width[i], width[j])
+        for w in np.unique(common).tolist():  # sizes are close, so a width is at most folded once
+            rows, matrix = at_width[w]
+            k = j[common == w]
+            k = k[(OF + SHARE) * np.bitwise_count(matrix[rows[i]] ^ matrix[rows[k]]).sum(axis=1, dtype=np.int64) <= (OF - SHARE) * (n[i] + n[k])]
+            if len(k):
+                yield int(i), k
 
 
-def alike_groups(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+def alike_groups(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> list[np.ndarray]:
     """Places of the members that likely pairs hold together, group by group."""
     union, inside = _Union(len(nodes)), np.zeros(len(nodes), bool)
     for i, j in likely_pairs(components, sides, n, bits):
@@ -338,7 +365,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of members that bitmaps cannot tell apart, named by their members, so that a group met twice is one."""
     for block in _blocks(batches):
         node, component, sides, bits = _columns(block)
-        groups = alike_groups(node, component, sides, block.column("size").to_numpy(), np.stack(bits))
+        groups = alike_groups(node, component, sides, block.column("size").to_numpy(), bits)
         if groups:
             names = np.concatenate([np.full(len(g), (mix64(node[g].astype(np.uint64)).sum() + np.uint64(len(g))).astype(np.int64)) for g in groups])
             places = np.concatenate(groups)
