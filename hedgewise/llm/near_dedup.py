@@ -4,15 +4,13 @@
    by the smallest id; from here on only representatives count, so copies never meet as pairs.
 2. ``HASHES`` minima per set give ``BANDS`` band keys of ``ROWS`` minima each; of the minima only the low
    ``BITS`` bits are kept, packed. Two sets with similarity 0.75 miss every band with probability 3e-7.
-3. In the buckets of the first ``STAR_BANDS`` bands every member is compared with the bucket's smallest id.
-   Confirmed links are joined into components. ``STAR_ROUNDS`` more rounds compare a member drawn by hash in
-   every bucket of every band with the members of other components. Both cost as much as there are members, and
-   they swallow large groups of near copies, also those whose members mostly link through others.
-4. In all buckets that still hold several components, members of different components are compared by bit
-   counts of their packed signatures, block against block; a bucket's largest component is not compared with
-   itself, so its members are dealt out once. A pair is looked at in the first band it shares. Pairs whose
-   collision-corrected estimate is below ``LOWEST`` (over four standard errors under the threshold) are
-   dropped, the others confirmed on their full sets. Two members of one component need no further test: the components are already what they would be.
+3. In the buckets of the first ``STAR_BANDS`` bands every member is compared with the bucket's smallest id: by
+   bit counts of their packed signatures, then on the full sets. Confirmed links are joined into components, which
+   costs as much as there are members and swallows large groups of near copies.
+4. Members of different components that still share a bucket are compared in tasks by bit counts, block against
+   block. Those whose collision-corrected estimate reaches ``LOWEST`` (over four standard errors under the threshold)
+   form groups, whose full sets are verified in tasks with a union-find (``set_links``). A task returns at most one
+   row per member, so near misses, which no component swallows, never become rows of pairs.
 
 So a link is lost only if the bands or the estimate miss it (less than one in a million), whatever the size
 of the bucket, and no bucket is cut short.
@@ -26,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hedgewise.llm import set_links
 from hedgewise.llm.common import hash_words, mix64, shingle_hashes, slices, split_words, texts_of
 from hedgewise.llm.components import connected
 from hedgewise.session import materialise
@@ -34,10 +33,8 @@ SHINGLE = 5
 BANDS, ROWS, BITS = 40, 4, 4
 HASHES = BANDS * ROWS
 STAR_BANDS = 8
-STAR_ROUNDS = 2
 SHARE, OF = 75, 100  # a link: OF * intersection >= SHARE * union
 LOWEST = 0.58
-BLOCK = 512
 BROADCAST_IDS = 1 << 21  # candidate ids that may be broadcast (16 MB); beyond, the texts are shuffled to them
 _LOW = np.uint64(0x1111111111111111)
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -96,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(texts_of(batch))
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(values))], ["rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(values))], ["node", "tokens"])
 
 
 def estimated(a: str, b: str) -> Column:
@@ -113,72 +110,43 @@ def estimated(a: str, b: str) -> Column:
     return ((1 - apart / HASHES) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: first by size and estimate, then on the full sets."""
     side = lambda c: nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = likely.filter((OF * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")) & (estimated("bits_a", "bits_b") >= LOWEST))
     likely = materialise(likely.select("a", "b"), "likely")
-    full = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}"))
+    sets = _full_sets(rows, likely.select(F.explode(F.array("a", "b")).alias("node")))
+    full = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"set_{c}"))
     both = likely.join(full("a"), "a").join(full("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     sized = both.select("a", "b", shared.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
     return materialise(sized.filter(OF * F.col("i") >= SHARE * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with a sufficient estimate; rows come sorted by (key, lo, hi)."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks().to_batches()[0]
-        tags = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")])
-        cuts = np.flatnonzero((tags[:, 1:] != tags[:, :-1]).any(axis=0)) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        held = table.slice(last)
-        if last:
-            yield from _pairs(table.slice(0, last), np.concatenate([[0], cuts]))
-    if held is not None:
-        yield from _pairs(held, np.array([0, held.num_rows]))
-
-
-def _pairs(rows: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    column = lambda c: rows.column(c).to_numpy()
-    rep, comp, own, n, lo, hi, band = (column(c) for c in ("rep", "comp", "own", "n", "lo", "hi", "band"))
-    words = HASHES * BITS // 64
-    bits = rows.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, words)
-    keys = rows.column("bands").flatten().to_numpy().reshape(-1, BANDS)
-    found: list[np.ndarray] = []
-    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-        left = start + np.flatnonzero(own[start:end] == lo[start])
-        right = start + np.flatnonzero(own[start:end] == hi[start]) if lo[start] != hi[start] else left
-        for at in range(0, len(left), 64):
-            part = left[at : at + 64]
-            test = comp[part][:, None] != comp[right][None, :]
-            test &= OF * np.minimum(n[part][:, None], n[right]) >= SHARE * np.maximum(n[part][:, None], n[right])
-            if lo[start] == hi[start]:
-                test &= rep[part][:, None] < rep[right][None, :]
-            i, j = np.nonzero(test)
-            if not len(i):
-                continue
-            x = bits[part[i]] ^ bits[right[j]]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            equal = 1 - np.bitwise_count(x & _LOW).sum(axis=1) / HASHES
-            likely = np.flatnonzero((equal - 0.5**BITS) / (1 - 0.5**BITS) >= LOWEST)
-            a, b = part[i[likely]], right[j[likely]]
-            first = ~(keys[a, : band[start]] == keys[b, : band[start]]).any(axis=1)
-            if first.any():
-                found.append(np.sort(np.stack([rep[a[first]], rep[b[first]]]), axis=0))
-    if found:
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-
-def _placed(inside: DataFrame, links: DataFrame) -> DataFrame:
-    """Every member of a bucket with the component it is in so far."""
-    joined = connected(links).withColumnRenamed("node", "rep")
-    members = inside.select("key", "band", "rep").join(joined, "rep", "left")
-    return materialise(members.select("key", "band", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, codes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Every member with those of other components whose size and estimate may make a link (see ``set_links``)."""
+    bits = np.stack(codes)
+    crossing = len(np.unique(sides)) > 1
+    right = np.flatnonzero(sides == 1) if crossing else np.arange(len(n))
+    for i in np.flatnonzero(sides == 0) if crossing else right:
+        j = right if crossing else right[i + 1 :]
+        j = j[(components[j] != components[i]) & (OF * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j]))]
+        x = bits[i] ^ bits[j]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        equal = 1 - np.bitwise_count(x & _LOW).sum(axis=1) / HASHES
+        j = j[(equal - 0.5**BITS) / (1 - 0.5**BITS) >= LOWEST]
+        if len(j):
+            yield int(i), j
+
+
+def _full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and tokens of the wanted nodes, read again from the texts."""
+    wanted = materialise(wanted.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return materialise(texts.mapInArrow(_sets, "node bigint, tokens array<bigint>").dropDuplicates(["node", "tokens"]), "shingles")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,42 +166,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     members = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = materialise(members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last")).filter("pivot <> _last").select("key", "pivot"), "buckets")
     inside = materialise(members.join(shared, "key").select("key", "band", "pivot", "rep"), "members")
-    candidates = inside.select("rep").distinct()
-    few = candidates.count() <= BROADCAST_IDS
-    wanted = candidates.withColumnRenamed("rep", "doc_id")
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "rep bigint, shingles array<bigint>").dropDuplicates(["rep", "shingles"]), "shingles")
-
     stars = inside.filter((F.col("band") < STAR_BANDS) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(stars, nodes, sets)
-    for turn in range(STAR_ROUNDS):
-        placed = _placed(inside, links)
-        drawn = F.min_by(F.struct("rep", "comp"), F.xxhash64(F.lit(turn), "rep")).alias("p")
-        pivots = placed.groupBy("key").agg(drawn, F.min("comp").alias("_least"), F.max("comp").alias("_most"))
-        pivots = pivots.filter("_least <> _most").select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("_own"))
-        met = placed.join(pivots, "key").filter("comp <> _own")
-        links = links.unionByName(_confirmed(met.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), nodes, sets))
-    placed = _placed(inside, links)
-    by_component = placed.groupBy("key", "comp").agg(F.count("*").alias("_n"))
-    mixed = by_component.groupBy("key").agg(
-        F.count("*").alias("_comps"), F.max(F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("_all")
-    )
-    blocks = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("int")
-    mixed = mixed.filter("_comps > 1").select(
-        "key", F.col("_most.comp").alias("largest"), blocks(F.col("_most._n")).alias("nl"), blocks(F.col("_all") - F.col("_most._n")).alias("nr")
-    )
-    # The largest component's blocks are numbered first; they meet the blocks of the rest, which also meet each other.
-    inner = F.col("comp") == F.col("largest")
-    spread = placed.join(mixed, "key")
-    drawn = F.when(inner, F.pmod(F.xxhash64("rep"), F.col("nl"))).otherwise(F.col("nl") + F.pmod(F.xxhash64("rep"), F.col("nr")))
-    meets = F.sequence(F.when(inner, F.col("nl")).otherwise(F.lit(0)), F.col("nl") + F.col("nr") - 1)
-    spread = spread.withColumn("own", drawn.cast("int")).withColumn("other", F.explode(meets))
-    spread = spread.join(nodes.select("rep", "n", "bits", "bands"), "rep").select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "rep", "comp", "n", "bits", "bands"
-    )
-    dealt = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    across = dealt.mapInArrow(_compare_blocks, "a bigint, b bigint").distinct()
-    more = _confirmed(across, nodes, sets)
+    links = _confirmed(stars, nodes, rows)
+    joined = connected(links).withColumnRenamed("node", "_node")
+    placed = inside.select(F.col("key").alias("entry"), F.col("rep").alias("node")).join(joined, F.col("node") == F.col("_node"), "left")
+    sizes = nodes.select(F.col("rep").alias("node"), F.col("n").alias("size"))
+    placed = placed.select("entry", "node", F.coalesce("component", "node").alias("component")).join(sizes, "node")
+    placed = materialise(placed.select("entry", "node", "size", "component"), "placed")
+    codes = nodes.select(F.col("rep").alias("node"), F.col("bits").alias("payload"))
+    more = set_links.links_across(placed, codes, likely_pairs, lambda wanted: _full_sets(rows, wanted), SHARE, OF)
 
     final = connected(links.unionByName(more)).withColumnRenamed("node", "rep")
     named = nodes.select("n", "k1", "k2", "rep").join(final, "rep", "left")

@@ -29,9 +29,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from hedgewise.llm import set_links
 from hedgewise.llm.common import hash_words, mix64, shingle_hashes, slices, split_words, texts_of
 from hedgewise.llm.components import connected
 from hedgewise.session import materialise
@@ -40,8 +40,6 @@ SHINGLE = 4
 SHARE, OF = 85, 100  # a link: OF * intersection >= SHARE * union
 PARTS, FLUSH = 4096, 1 << 21  # token counts: key ranges, and tokens a task holds before it sends them on
 LEAST, TABLE, STEEP = 16, 1 << 20, 64
-BLOCK, ROWS = 1 << 20, 4096  # tokens and members of one block of an entry; two blocks meet in a task
-BITS = 2048  # of the narrowest bitmap
 HOT = 1000  # sets that hold over a thousandth of the rows: fewer than HOT, so they may be broadcast
 BROADCAST_NODES = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -180,20 +178,6 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
     return sums.view(np.int64)
 
 
-def _bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """A bit is set if an odd number of tokens falls on it, so two bitmaps differ in no more bits than the sets in tokens.
-
-    A bitmap has ``BITS`` bits or the power of two from four bits per token on; its halves, folded together, are the
-    bitmap of half the width.
-    """
-    out = []
-    for s in sets:
-        width = max(BITS, 1 << (4 * max(len(s), 1) - 1).bit_length())
-        odd = (np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
-        out.append(np.packbits(odd).view(np.uint64))
-    return out
-
-
 def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
     shared = spark.sparkContext.broadcast((keys, counts))
 
@@ -209,7 +193,7 @@ def _describer(keys: np.ndarray, counts: np.ndarray, floor: int, spark):
             entries = [signatures(s, known[lo:hi], floor) if len(s) else s for s, lo, hi in zip(sets, ends[:-1], ends[1:], strict=True)]
             k1, k2 = _digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), _lists(entries), _lists(_bitmaps(sets))],
+                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(k1), pa.array(k2), _lists(entries), _lists(set_links.bitmaps(sets))],
                 ["doc_id", "n", "k1", "k2", "entries", "bits"],
             )
 
@@ -225,22 +209,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- verification
 
 
-def _near(a: str, b: str) -> Column:
-    """Whether bitmaps allow two sets to be a link: it differs in at most (OF - SHARE) / (OF + SHARE) of both sizes.
-
-    Sizes of a link are so close that widths are equal or one is twice the other, which is folded.
-    """
-    one, other = F.col(f"bits_{a}"), F.col(f"bits_{b}")
-    differ = lambda x, y: x.bitwiseXOR(y)
-
-    def folded(bits: Column, to: Column) -> Column:
-        n = F.size(to)
-        return F.when(F.size(bits) > n, F.zip_with(F.slice(bits, F.lit(1), n), F.slice(bits, n + 1, n), differ)).otherwise(bits)
-
-    apart = F.aggregate(F.zip_with(folded(one, other), folded(other, one), lambda x, y: F.bit_count(differ(x, y))), F.lit(0), lambda s, v: s + v)
-    return (OF + SHARE) * apart <= (OF - SHARE) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
-
-
 def _full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and tokens of the wanted nodes, read again from the texts."""
     wanted = materialise(wanted.select(F.col("node").alias("doc_id")).distinct(), "wanted")
@@ -252,7 +220,7 @@ def _full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are links: first by bitmaps, then on their full sets."""
     small = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    likely = materialise(pairs.join(small("a"), "a").join(small("b"), "b").filter(_near("a", "b")).select("a", "b").distinct(), "likely")
+    likely = materialise(pairs.join(small("a"), "a").join(small("b"), "b").filter(set_links.near("a", "b", SHARE, OF)).select("a", "b").distinct(), "likely")
     sets = _full_sets(rows, likely.select(F.explode(F.array("a", "b")).alias("node")))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"set_{c}"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
@@ -260,145 +228,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return materialise(sized.filter(OF * F.col("i") >= SHARE * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * shared >= SHARE * (len(a) + len(b) - shared)
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.above = list(range(n))
-
-    def root(self, x: int) -> int:
-        above = self.above
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        one, other = self.root(a), self.root(b)
-        self.above[max(one, other)] = min(one, other)
-        return one != other
-
-
-def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """Every member with the later members of other components that sizes and bitmaps cannot tell from it.
-
-    ``sides``: 0 and 1 meet each other; where all are alike, everyone meets everyone.
-    """
-    width = np.array([len(b) for b in bits], np.int64)
-    at_width = {}
-    for w in np.unique(width).tolist():
-        members = np.flatnonzero((width == w) | (width == 2 * w))
-        rows = np.full(len(n), -1)
-        rows[members] = np.arange(len(members))
-        at_width[w] = rows, np.stack([bits[m] if width[m] == w else bits[m][:w] ^ bits[m][w:] for m in members])
-    crossing = len(np.unique(sides)) > 1
-    right = np.flatnonzero(sides == 1) if crossing else np.arange(len(n))
-    for i in np.flatnonzero(sides == 0) if crossing else right:
-        j = right if crossing else right[i + 1 :]
-        j = j[(components[j] != components[i]) & (OF * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j]))]
-        common = np.minimum(width[i], width[j])
-        for w in np.unique(common).tolist():  # sizes are close, so a width is at most folded once
-            rows, matrix = at_width[w]
-            k = j[common == w]
-            k = k[(OF + SHARE) * np.bitwise_count(matrix[rows[i]] ^ matrix[rows[k]]).sum(axis=1, dtype=np.int64) <= (OF - SHARE) * (n[i] + n[k])]
-            if len(k):
-                yield int(i), k
-
-
-def alike_groups(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> list[np.ndarray]:
-    """Places of the members that likely pairs hold together, group by group."""
-    union, inside = _Union(len(nodes)), np.zeros(len(nodes), bool)
-    for i, j in likely_pairs(components, sides, n, bits):
-        inside[i], inside[j] = True, True
-        for k in j:
-            union.join(i, int(k))
-    roots = np.array([union.root(i) for i in range(len(nodes))], np.int64)
-    places = np.flatnonzero(inside)
-    places = places[np.argsort(roots[places], kind="stable")]
-    return np.split(places, np.flatnonzero(np.diff(roots[places])) + 1) if len(places) else []
-
-
-def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between members of different components, at most one for each that they join."""
-    _, comp = np.unique(components, return_inverse=True)
-    union = _Union(int(comp.max(initial=-1)) + 1)
-    found = []
-    for i, likely in likely_pairs(comp, sides, np.array([len(s) for s in sets], np.int64), _bitmaps(sets)):
-        for k in likely:
-            if union.root(comp[i]) != union.root(comp[k]) and linked(sets[i], sets[k]):
-                union.join(comp[i], comp[k])
-                found.append((int(nodes[i]), int(nodes[k])))
-    return found
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of every (entry, lo, hi) together; they come sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        tags = np.stack([batch.column(c).to_numpy() for c in ("entry", "lo", "hi")])
-        cuts = [0, *(np.flatnonzero((tags[:, 1:] != tags[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi == lo:
-                continue
-            tag = tuple(tags[:, lo])
-            if tag != last and held:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            last = tag
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _columns(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    node, component, own, lo = (block.column(c).to_numpy() for c in ("node", "component", "own", "lo"))
-    payload = block.column("payload").combine_chunks()
-    flat, offsets = payload.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(pc.list_value_length(payload).to_numpy()))
-    return node, component, (own != lo).astype(np.int64), [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of members that bitmaps cannot tell apart, named by their members, so that a group met twice is one."""
-    for block in _blocks(batches):
-        node, component, sides, bits = _columns(block)
-        groups = alike_groups(node, component, sides, block.column("size").to_numpy(), bits)
-        if groups:
-            names = np.concatenate([np.full(len(g), (mix64(node[g].astype(np.uint64)).sum() + np.uint64(len(g))).astype(np.int64)) for g in groups])
-            places = np.concatenate(groups)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(node[places]), pa.array(block.column("size").to_numpy()[places]), pa.array(component[places])], ["entry", "node", "size", "component"])
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        links = spanning_links(*_columns(block))
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
-
-
-def _dealt(placed: DataFrame, payload: DataFrame) -> DataFrame:
-    """The members (entry, node, size, component) of entries with several components, dealt to tasks with their payload.
-
-    Entries with the same members are looked at once. A large one is cut into blocks; every two blocks meet in a task.
-    """
-    name = F.xxhash64("node")
-    apart = placed.groupBy("entry").agg(
-        F.count("*").alias("members"), F.sum("size").alias("tokens"),
-        F.sum(F.shiftright(name, 32)).alias("name1"), F.sum(name.bitwiseAND(0xFFFFFFFF)).alias("name2"),
-        F.min("component").alias("_least"), F.max("component").alias("_most"),
-    ).filter("_least <> _most")
-    apart = apart.groupBy("members", "tokens", "name1", "name2").agg(F.min("entry").alias("entry"))
-    blocks = F.greatest(F.ceil(F.col("tokens") / BLOCK), F.ceil(F.col("members") / ROWS)).cast("int")
-    dealt = placed.join(materialise(apart.select("entry", blocks.alias("blocks")), "apart"), "entry")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(payload, "node").select("entry", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "size", "component", "payload")
-    return dealt.repartition("entry", "lo", "hi").sortWithinPartitions("entry", "lo", "hi")
-
-
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, table: int = TABLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), one row per row.
 
@@ -425,15 +254,11 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     joined = connected(links).withColumnRenamed("node", "_node")
     placed = inside.join(joined, F.col("node") == F.col("_node"), "left").select("entry", "node", "size", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
-    groups = _dealt(placed, nodes.select("node", F.col("bits").alias("payload"))).mapInArrow(_alike, "entry bigint, node bigint, size bigint, component bigint")
-    groups = materialise(groups.distinct(), "alike")
-    # Groups that share members become one, so that a full set is sent once.
-    hubs = groups.groupBy("entry").agg(F.min("node").alias("b"))
-    whole = connected(groups.join(hubs, "entry").select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("entry"))
-    groups = materialise(groups.select("node", "size", "component").distinct().join(whole, "node").select("entry", "node", "size", "component"), "alike")
-    sets = _full_sets(rows, groups).withColumnRenamed("tokens", "payload")
-    more = materialise(_dealt(groups, sets).mapInArrow(_links, "a bigint, b bigint").distinct(), "links")
+    def pairs(component, sides, size, bits):
+        return set_links.likely_pairs(component, sides, size, bits, SHARE, OF)
 
+    bits = nodes.select("node", F.col("bits").alias("payload"))
+    more = set_links.links_across(placed, bits, pairs, lambda wanted: _full_sets(rows, wanted), SHARE, OF)
     final = connected(links.unionByName(more)).withColumnRenamed("node", "_node")
     return _labelled(described, nodes, final)
 

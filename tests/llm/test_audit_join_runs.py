@@ -9,10 +9,11 @@ from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 
-from hedgewise.llm import filter_audit, ngram_join, periodic_runs, queries, recompression
+from hedgewise.llm import filter_audit, near_dedup, ngram_join, periodic_runs, queries, recompression, set_links
 from hedgewise.llm.common import table
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -161,7 +162,7 @@ def test_prefixes_never_miss_a_link():
         x = rng.choice(10**6, n, replace=False).astype(np.uint64)
         gone = rng.integers(0, max(1, n // 8) + 1)
         y = np.unique(np.append(x[gone:], rng.choice(10**6, int(rng.integers(0, n // 10 + 1))).astype(np.uint64)))
-        if not ngram_join.linked(np.sort(x), y):
+        if not set_links.linked(np.sort(x), y, 85, 100):
             continue
         for t in np.append(x, y):
             frequent.setdefault(int(t), int(rng.choice([0, 20, 5000], p=[0.05, 0.5, 0.45])))
@@ -178,8 +179,8 @@ def test_near_misses_give_links_at_most_once_per_member():
             s = base.copy()
             s[rng.choice(100, 6, replace=False)] = rng.choice(1 << 40, 6).astype(np.uint64)
             sets.append(np.unique(s))
-        found = ngram_join.spanning_links(np.arange(size), np.arange(size), np.zeros(size, np.int64), sets)
-        assert len(found) < size and all(ngram_join.linked(sets[a], sets[b]) for a, b in found)
+        found = set_links.spanning_links(np.arange(size), np.arange(size), np.zeros(size, np.int64), sets, 85, 100)
+        assert len(found) < size and all(set_links.linked(sets[a], sets[b], 85, 100) for a, b in found)
 
 
 # ---------------------------------------------------------------- 13 runs
@@ -284,3 +285,28 @@ def test_registered_runs_equal_brute_force(spark):
     short = {d for d, t in docs if len(t or "") < 6000}
     got = Counter(tuple(r) for r in queries.op13_periodic_runs(spark, SMALL).collect() if r["doc_id"] in short)
     assert got == Counter(digest_by_hand(*r) for r in docs if r[0] in short)
+
+
+# ---------------------------------------------------------------- near misses in near-duplicate search
+
+
+@pytest.mark.parametrize("size", [150, 300])
+def test_near_misses_of_one_base_leave_a_task_once_each(size):
+    """Three words changed in 120: similarity around 0.6, which passes the estimate but makes few links."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(size):
+        w = list(base)
+        for at in rng.sample(range(120), 3):
+            w[at] = f"x{i}_{at}"
+        texts.append(" ".join(w))
+    sets = near_dedup.shingle_sets(pa.array(texts, pa.large_string()))
+    codes, _ = near_dedup.signatures(sets)
+    n = np.array([len(s) for s in sets])
+    likely = list(near_dedup.likely_pairs(np.arange(size), np.zeros(size, int), n, list(codes)))
+    assert sum(len(j) for _, j in likely) > 20 * size  # the pairs that used to become rows
+    groups = set_links.alike_groups(size, iter(likely))
+    assert sum(map(len, groups)) <= size
+    found = set_links.spanning_links(np.arange(size), np.arange(size), np.zeros(size, int), sets, 75, 100)
+    assert len(found) < size and all(set_links.linked(sets[a], sets[b], 75, 100) for a, b in found)

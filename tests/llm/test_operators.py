@@ -13,7 +13,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from hedgewise.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, queries, sharding, token_counts, token_files, toxicity
+from hedgewise.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, queries, set_links, sharding, token_counts, token_files, toxicity
 from hedgewise.llm.common import held_out, table
 from hedgewise.llm.components import connected
 
@@ -366,9 +366,9 @@ def brute_groups(rows):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("block, stars", [(256, 8), (4, 1), (256, 0)])
+@pytest.mark.parametrize("block, stars", [(1 << 20, 8), (300, 1), (1 << 20, 0)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, stars):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(set_links, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "STAR_BANDS", stars)
     rng = np.random.default_rng(block + stars)
     rows = [(1, None), (2, ""), (3, "x y"), (4, "X  y"), (5, "x y z")]
