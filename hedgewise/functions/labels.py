@@ -18,10 +18,12 @@ def parse_list_literal(text: Column) -> Column:
 
     ``None`` between commas is a missing entry; inside a quoted text it is text.
     """
-    # Quoted texts are matched first and put back as they are.
+    # Cut into quoted texts, which stay as they are, and what lies between them.
     single, double = r"'(?:[^'\\]|\\.)*'", r'"(?:[^"\\]|\\.)*"'
-    marked = F.regexp_replace(strip(text), rf"({single}|{double})|(?<=[\[,\s])None(?=\s*[,\]])", "$1\ue000")
-    body = F.regexp_replace(F.regexp_replace(marked, "(?<=['\"])\ue000", ""), "\ue000", "null")
+    parts = F.regexp_extract_all(strip(text), F.lit(rf"(?s)({single}|{double}|[^'\"]+|['\"])"), F.lit(1))
+    quoted = lambda x: x.startswith("'") | x.startswith('"')
+    named = lambda x: F.regexp_replace(x, r"(?<=[\[,\s])None(?=\s*[,\]])", "null")
+    body = F.array_join(F.transform(parts, lambda x: F.when(quoted(x), x).otherwise(named(x))), "")
     parsed = F.from_json(
         body, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
     )

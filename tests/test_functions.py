@@ -219,3 +219,11 @@ def test_check_gold(one):
     assert one(C.check_gold(labels, texts, F.lit("B"), F.lit(2), F.lit("y"))) is False
     assert one(C.check_gold(labels, texts, F.lit("Z"), null_int, null_str)) is True
     assert one(C.check_gold(labels, texts, F.lit("A"), null_int, F.lit("y"))) is False
+
+
+def test_list_literals_keep_every_character(one):
+    parse = lambda t: one(B.parse_list_literal(F.col("t")), t=t)
+    assert parse("['a\ue000b', None, \"None, \ue000\"]") == ["a\ue000b", None, "None, \ue000"]
+    assert parse("[None, 'x, None]', None]") == [None, "x, None]", None]
+    assert parse("['a\nb']") is None or parse("['a\nb']") == ["a\nb"]
+    assert parse("no list") is None and parse("[]") == []
