@@ -159,7 +159,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     described = materialise(rows.mapInArrow(_describe, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bits array<bigint>, bands array<bigint>"), "signatures")
     classes = described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bits").alias("bits"), F.first("bands").alias("bands")
     )
     nodes = materialise(classes, "classes")
 
@@ -176,9 +176,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     codes = nodes.select(F.col("rep").alias("node"), F.col("bits").alias("payload"))
     more = set_links.links_across(placed, codes, likely_pairs, lambda wanted: _full_sets(rows, wanted), SHARE, OF)
 
-    final = connected(links.unionByName(more)).withColumnRenamed("node", "rep")
-    named = nodes.select("n", "k1", "k2", "rep").join(final, "rep", "left")
-    named = named.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    final = connected(links.unionByName(more)).withColumnRenamed("node", "_node")
+    found = set_links.labelled(described, nodes.withColumnRenamed("rep", "node"), final)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

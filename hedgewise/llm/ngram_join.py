@@ -40,7 +40,6 @@ SHINGLE = 4
 SHARE, OF = 85, 100  # a link: OF * intersection >= SHARE * union
 PARTS, FLUSH = 4096, 1 << 21  # token counts: key ranges, and tokens a task holds before it sends them on
 LEAST, TABLE, STEEP = 16, 1 << 20, 64
-HOT = 1000  # sets that hold over a thousandth of the rows: fewer than HOT, so they may be broadcast
 BROADCAST_NODES = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -260,21 +259,4 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     bits = nodes.select("node", F.col("bits").alias("payload"))
     more = set_links.links_across(placed, bits, pairs, lambda wanted: _full_sets(rows, wanted), SHARE, OF)
     final = connected(links.unionByName(more)).withColumnRenamed("node", "_node")
-    return _labelled(described, nodes, final)
-
-
-def _labelled(described: DataFrame, nodes: DataFrame, final: DataFrame) -> DataFrame:
-    """Every row with its component. Sets that hold many rows are few and broadcast, so no key of the join is hot."""
-    named = ["n", "k1", "k2"]
-    placed = nodes.join(final, F.col("node") == F.col("_node"), "left").select(*named, "members", F.coalesce("component", "node").alias("component_id"))
-    placed = materialise(placed, "classes")
-    total = described.count()
-    often = placed.filter(F.col("members") * HOT > total)
-    rows = described.select("doc_id", *named)
-    hot = rows.join(F.broadcast(often.select(*named, F.col("component_id").alias("_hot"))), named, "left")
-    other = placed.join(F.broadcast(often.select(*named)), named, "left_anti").select(*named, "component_id")
-    found = hot.filter("_hot IS NOT NULL").select("doc_id", "n", F.col("_hot").alias("component_id")).unionByName(
-        hot.filter("_hot IS NULL AND n > 0").join(other, named, "left").select("doc_id", "n", "component_id")
-    ).unionByName(hot.filter("_hot IS NULL AND n = 0").select("doc_id", "n", F.lit(None).cast("bigint").alias("component_id")))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return set_links.labelled(described, nodes, final).withColumnRenamed("n", "n_shingles")

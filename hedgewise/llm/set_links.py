@@ -21,6 +21,7 @@ from hedgewise.session import materialise
 
 BLOCK, ROWS = 1 << 20, 4096  # tokens and members of one block of an entry; two blocks meet in a task
 BITS = 2048  # of the narrowest bitmap
+HOT = 1000  # sets that hold over a thousandth of the rows: fewer than HOT, so they may be broadcast
 MEMBER = "entry bigint, node bigint, size bigint, component bigint"
 
 def bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -215,3 +216,23 @@ def links_across(placed: DataFrame, payload: DataFrame, pairs: Pairs, sets_of: C
     groups = materialise(groups.select("node", "size", "component").distinct().join(whole, "node").select("entry", "node", "size", "component"), "alike")
     sets = sets_of(groups).select("node", F.col("tokens").alias("payload"))
     return materialise(dealt_members(groups, sets).mapInArrow(_links(share, of), "a bigint, b bigint").distinct(), "links")
+
+
+def labelled(described: DataFrame, nodes: DataFrame, final: DataFrame) -> DataFrame:
+    """doc_id, n, component_id of every row: that of the node of its set (n, k1, k2), null without an id.
+
+    Sets that hold many rows are few and broadcast, so no key of the join is hot; empty sets are not joined.
+    """
+    named = ["n", "k1", "k2"]
+    placed = nodes.join(final, F.col("node") == F.col("_node"), "left").select(*named, "members", F.coalesce("component", "node").alias("component_id"))
+    placed = materialise(placed, "classes")
+    total = described.count()
+    often = placed.filter(F.col("members") * HOT > total)
+    rows = described.select("doc_id", *named)
+    hot = rows.join(F.broadcast(often.select(*named, F.col("component_id").alias("_hot"))), named, "left")
+    other = placed.join(F.broadcast(often.select(*named)), named, "left_anti").select(*named, "component_id")
+    found = hot.filter("_hot IS NOT NULL").select("doc_id", "n", F.col("_hot").alias("component_id")).unionByName(
+        hot.filter("_hot IS NULL AND n > 0").join(other, named, "left").select("doc_id", "n", "component_id")
+    ).unionByName(hot.filter("_hot IS NULL AND n = 0").select("doc_id", "n", F.lit(None).cast("bigint").alias("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n", component.alias("component_id"))
