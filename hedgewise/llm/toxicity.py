@@ -170,6 +170,7 @@ def train_arrays(toxic: np.ndarray, windows: pa.Array, owners: np.ndarray) -> Ma
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     at = place[coded.indices.to_numpy()] if len(owners) else np.zeros(0, np.int64)
+    del windows, coded, place, order  # their names and places are all that is needed, and they are the largest arrays
     in_toxic = toxic[owners]
     n_toxic, n_clean = len(np.unique(owners[in_toxic])), len(np.unique(owners[~in_toxic]))
     if not n_toxic or not n_clean:
@@ -213,6 +214,7 @@ def train_arrays(toxic: np.ndarray, windows: pa.Array, owners: np.ndarray) -> Ma
         hardest = clean[np.argsort(-(rank[clean] + 1) * np.sqrt(n[clean]), kind="stable")]
         chosen = np.union1d(chosen, hardest[:HARD])
         landmarks = list(dict.fromkeys([*landmarks, *hardest[: LANDMARKS // 8], *witness[np.argsort(rank[witness])[: LANDMARKS // 8]]]))
+        del feats, gram, x  # before the next round makes its own
     value = lambda kind: _best(owners[kind], at[kind], rank)[0]
     machine.slope, machine.shift = _platt(value(in_toxic), value(~in_toxic))
     return machine
@@ -276,8 +278,11 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_i
 
     found = rows.mapInArrow(windows, "_id bigint, toxic int, windows array<string>").toArrow().sort_by("_id").combine_chunks()
     lists = found.column("windows").combine_chunks()
-    toxic = found.column("toxic").to_numpy() == 1
-    return train_arrays(toxic, lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64))
+    toxic, owners = found.column("toxic").to_numpy() == 1, pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    flat = [lists.flatten()]
+    del found, lists
+    pa.default_memory_pool().release_unused()
+    return train_arrays(toxic, flat.pop(), owners)
 
 
 def score(df: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
