@@ -59,23 +59,6 @@ def linked(a: np.ndarray, b: np.ndarray, share: int, of: int) -> bool:
     return of * shared >= share * (len(a) + len(b) - shared)
 
 
-class Union:
-    def __init__(self, n: int):
-        self.above = list(range(n))
-
-    def root(self, x: int) -> int:
-        above = self.above
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        one, other = self.root(a), self.root(b)
-        self.above[max(one, other)] = min(one, other)
-        return one != other
-
-
 def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits: list[np.ndarray], share: int, of: int) -> Iterator[tuple[int, np.ndarray]]:
     """Every member with the later members of other components that sizes and bitmaps cannot tell from it.
 
@@ -104,27 +87,30 @@ def likely_pairs(components: np.ndarray, sides: np.ndarray, n: np.ndarray, bits:
 
 def alike_groups(members: int, pairs: Iterator[tuple[int, np.ndarray]]) -> list[np.ndarray]:
     """Places of the members that the pairs hold together, group by group."""
-    union, inside = Union(members), np.zeros(members, bool)
+    label, inside = np.arange(members), np.zeros(members, bool)
     for i, j in pairs:
         inside[i], inside[j] = True, True
-        for k in j:
-            union.join(i, int(k))
-    roots = np.array([union.root(i) for i in range(members)], np.int64)
+        other = np.unique(label[j])
+        if len(other) > 1 or other[0] != label[i]:  # at most as many joins as members
+            joined = np.append(other, label[i])
+            label[np.isin(label, joined)] = joined.min()
     places = np.flatnonzero(inside)
-    places = places[np.argsort(roots[places], kind="stable")]
-    return np.split(places, np.flatnonzero(np.diff(roots[places])) + 1) if len(places) else []
+    places = places[np.argsort(label[places], kind="stable")]
+    return np.split(places, np.flatnonzero(np.diff(label[places])) + 1) if len(places) else []
 
 
 def spanning_links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], share: int, of: int) -> list[tuple[int, int]]:
     """Links between members of different components, at most one for each that they join."""
-    _, comp = np.unique(components, return_inverse=True)
-    union = Union(int(comp.max(initial=-1)) + 1)
+    _, label = np.unique(components, return_inverse=True)
     found = []
-    for i, likely in likely_pairs(comp, sides, np.array([len(s) for s in sets], np.int64), bitmaps(sets), share, of):
-        for k in likely:
-            if union.root(comp[i]) != union.root(comp[k]) and linked(sets[i], sets[k], share, of):
-                union.join(comp[i], comp[k])
+    for i, likely in likely_pairs(label.copy(), sides, np.array([len(s) for s in sets], np.int64), bitmaps(sets), share, of):
+        left = likely[label[likely] != label[i]]
+        while len(left):
+            k, left = left[0], left[1:]
+            if linked(sets[i], sets[k], share, of):
                 found.append((int(nodes[i]), int(nodes[k])))
+                label[label == label[k]] = label[i]
+                left = left[label[left] != label[i]]
     return found
 
 
