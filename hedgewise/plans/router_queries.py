@@ -134,6 +134,11 @@ def stored(name: str, spark, sf, make):
     return _STORED[at]
 
 
+def forget_stored() -> None:
+    """Work out every step anew, for measurements."""
+    _STORED.clear()
+
+
 def raw(spark, sf) -> DataFrame:
     """The matrix of all models."""
     return stored("matrix", spark, sf, lambda: matrix(spark, sf).drop("original_question", "first_token_top5_logprobs"))
