@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hedgewise.functions.common import WORD, WORD_END, WORD_START, let, strip
+from hedgewise.functions.common import WORD, WORD_END, WORD_START, let, strip, upper
 
 LETTERS = [chr(65 + i) for i in range(26)]
 
@@ -46,7 +46,7 @@ def normalize_label(text: Column, mode: str = "word") -> Column:
             return fallback
         return F.coalesce(_none_if_empty(F.regexp_extract(t, f"{WORD_START}([A-Z]){WORD_END}", 1)), fallback)
 
-    return let(F.upper(strip(text)), reduce)
+    return let(upper(strip(text)), reduce)
 
 
 def extract_choice_letter(text: Column, allowed: Column | None = None) -> Column:
@@ -62,7 +62,7 @@ def extract_choice_letter(text: Column, allowed: Column | None = None) -> Column
         anywhere = F.get(F.filter(F.split(t, ""), lambda c: F.array_contains(allowed, c)), F.lit(0))
         return F.coalesce(alone, anywhere)
 
-    return let(F.upper(strip(text)), search)
+    return let(upper(strip(text)), search)
 
 
 def parse_confidence(text: Column) -> Column:
@@ -75,12 +75,12 @@ def parse_confidence(text: Column) -> Column:
 
 def coerce_gold_label(value: Column, labels: Column) -> Column:
     """The recorded gold label mapped onto the labels in use, '' when it cannot be."""
-    known = F.transform(labels, lambda x: F.upper(strip(x)))
+    known = F.transform(labels, lambda x: upper(strip(x)))
 
     def choose(raw: Column) -> Column:
-        first = F.upper(F.regexp_extract(raw, "([A-Za-z])", 1))
+        first = upper(F.regexp_extract(raw, "([A-Za-z])", 1))
         return (
-            F.when(F.array_contains(known, F.upper(raw)), F.upper(raw))
+            F.when(F.array_contains(known, upper(raw)), upper(raw))
             .when((first != "") & F.array_contains(known, first), first)
             .otherwise(F.lit(""))
         )

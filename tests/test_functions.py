@@ -55,6 +55,12 @@ def test_extract_choice_letter_any(one):
     assert one(B.extract_choice_letter(F.col("t")), t="42") is None
 
 
+def test_extract_choice_letter_upper_cases_one_code_point_at_a_time(one):
+    # The JVM writes ß as SS; one code point each keeps the first capital where SQL finds it.
+    assert one(B.extract_choice_letter(F.col("t")), t="Äßkeit mit") == "K"
+    assert one(B.normalize_label(F.col("t"), "first_char"), t="ß") == "\u1e9e"
+
+
 @pytest.mark.parametrize("text, want", [("1000", 100), ("95%", 95), ("none", None), ("about 7 of 10", 7), ("", None)])
 def test_parse_confidence(one, text, want):
     assert one(B.parse_confidence(F.col("t")), t=text) == want
