@@ -158,7 +158,9 @@ def _correlation(d: DataFrame) -> DataFrame:
     """n, rho and p_value of the distances dx, dy from the means, each row standing for ``w``."""
     sum_of = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
     rho = F.try_divide(sum_of("dx", "dy"), F.sqrt(sum_of("dx", "dx")) * F.sqrt(sum_of("dy", "dy")))
-    out = d.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.greatest(F.least(rho, F.lit(1.0)), F.lit(-1.0)).alias("rho"))
+    # least and greatest skip nulls: clamp only a rho that exists, or no spread would read as 1.
+    clamped = F.when(rho.isNotNull(), F.greatest(F.least(rho, F.lit(1.0)), F.lit(-1.0)))
+    out = d.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), clamped.alias("rho"))
     freedom = F.col("n") - 2.0
     rest = 1.0 - F.col("rho") * F.col("rho")
     p = F.when(F.col("rho").isNull() | (F.col("n") < 3), F.lit(None).cast("double")).otherwise(t_two_sided(rest, freedom))

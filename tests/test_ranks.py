@@ -270,3 +270,9 @@ def test_small_side_is_broadcast_and_large_is_not(spark, monkeypatch):
     plain = session.join_small(big, small, ["k"])
     assert "broadcast" not in plain._jdf.queryExecution().logical().toString().lower()
     assert hinted.orderBy("id").collect() == plain.orderBy("id").collect()
+
+
+def test_weighted_correlation_without_spread_is_null(spark):
+    flat = spark.createDataFrame([(1.0, 1.0, 2), (1.0, 3.0, 1), (1.0, 5.0, 4)], "x double, y double, w long")
+    got = R.weighted_correlation(flat, "x", "y", "w").first()
+    assert got["n"] == 7 and got["rho"] is None and got["p_value"] is None
