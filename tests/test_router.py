@@ -51,6 +51,19 @@ def test_trees_learn_the_rule(toy):
     assert R.binary_scores(scored, "router_pred", "target_label").first()["f1"] > 0.85
 
 
+def test_forest_keeps_node_ids_and_grows_the_same_trees(toy):
+    """Rows keep the node they reached between levels; the forest is the one grown without that."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    model = R.fit_forest(toy, COLS, trees=10, depth=8)
+    assert model.stages[-1].getCacheNodeIds()
+    plain = RandomForestClassifier(labelCol=R.LABEL, weightCol=R.WEIGHT, numTrees=10, maxDepth=8, featureSubsetStrategy="sqrt", seed=42)
+    with R._training_rows(R.with_balanced_weights(toy), COLS, R.LABEL, R.WEIGHT) as (rows, _):
+        walked = R._pipeline(COLS, plain).fit(rows)
+    got = lambda m: R.apply_router(m, toy).orderBy("row_id").select("router_prob").collect()
+    assert got(model) == got(walked)
+
+
 def test_class_weights(toy, spark):
     rows = {r["target_label"]: r for r in R.class_weights(toy).collect()}
     n, pos, neg = 300, rows[1]["n"], rows[0]["n"]
