@@ -176,6 +176,34 @@ def test_level_by_level_over_tasks_gives_the_same_trees(rows):
         assert np.allclose(here.leaf[tree], apart.leaf[tree])
 
 
+def test_sums_are_exact_in_any_order_of_rows(rows):
+    """The same rows give the same trees to the last bit, however they are ordered, dealt or counted together."""
+    mine = binned_rows(rows)[0].filter("model = 1").repartition(3)
+    ids, bins, y = numbers(mine)
+    s = B.Settings(3, np.array([0.3, 0.1]), np.array([0.0, 1.0]), np.array([1.0, 5.0]))
+    here, apart = B.grow_here(ids, bins, y, s, 3), B.grow_apart(mine, s, 3)
+    for seed in range(5):
+        other = np.random.default_rng(seed).permutation(len(y))
+        again = B.grow_here(ids[other], bins[other], y[other], s, 3)
+        for tree in range(3):
+            for name in ("feature", "cut", "gain", "leaf"):
+                assert (getattr(here, name)[tree] == getattr(again, name)[tree]).all()
+                assert (getattr(here, name)[tree] == getattr(apart, name)[tree]).all()
+
+
+@pytest.mark.parametrize("most", [32, 100, 5000])
+def test_features_counted_together_have_the_sums_of_each(most):
+    rng = np.random.default_rng(1)
+    bins = np.column_stack([rng.integers(0, 32, 700), rng.integers(0, 2, 700), rng.integers(3, 9, 700), rng.integers(0, 32, 700)])
+    bins = np.column_stack([bins, 31 - bins[:, 0], bins[:, 2] // 3])
+    columns, groups = B.together(bins, most)
+    assert len(groups) < 6 and all(g.cells <= most for g in groups) and sum(len(g.columns) for g in groups) == 6
+    slot, slope = rng.integers(0, 3, 700), rng.integers(-9, 9, 700) + 1j * rng.integers(0, 9, 700)
+    got = B.sums_by_slot(groups, len(columns), np.arange(700), slot, 3, slope)
+    for k, (f, b) in enumerate(zip(columns.feature, columns.bin)):
+        assert [got[i, k] for i in range(3)] == [slope[(slot == i) & (bins[:, f] == b)].sum() for i in range(3)]
+
+
 def test_first_splits_equal_the_numpy_split(rows):
     ready, _, edges = binned_rows(rows)
     got = {r["model"]: r for r in B.first_splits(ready, edges, ["model"], COLS, 0.1, 0.1, 1.0).collect()}
