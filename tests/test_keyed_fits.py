@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hedgewise.operators import boosting as B
 from hedgewise.operators import components as PC
 from hedgewise.operators import curation as C
+from hedgewise.operators import forests as FO
 from hedgewise.operators import keyed as K
 
 COLS = ["feat_a", "feat_b", "feat_c"]
@@ -247,6 +248,55 @@ def test_search_fits_and_scores_every_model(spark, rows, tmp_path):
     assert top == {0: "feat_a", 1: "feat_b"}
 
 
+# ---------------------------------------------------------------- forests
+
+
+def test_a_forest_tree_has_pure_leaves_and_does_not_see_the_order_of_rows(rows):
+    ids, bins, y = numbers(binned_rows(rows)[0].filter("model = 0"))
+    for tree in range(3):
+        grown = FO.grow(ids, bins, y, tree)
+        taken = np.searchsorted(FO.TIMES, B.uniform(ids, (FO.SEED << 20) + tree), side="right") > 0
+        assert 0.5 < taken.mean() < 0.75
+        alike = {}
+        for b, t in zip(bins[taken], y[taken]):
+            alike.setdefault(tuple(b), set()).add(t)
+        pure = np.array([len(alike[tuple(b)]) == 1 for b in bins[taken]])
+        assert pure.mean() > 0.95 and (grown.score(bins)[taken][pure] == y[taken][pure]).all()
+        other = np.random.default_rng(tree).permutation(len(y))
+        again = FO.grow(ids[other], bins[other], y[other], tree)
+        assert all((getattr(grown, c) == getattr(again, c)).all() for c in ("feature", "bin", "child", "prob"))
+
+
+def test_forest_cuts_fall_most_in_weighted_impurity():
+    rng = np.random.default_rng(2)
+    bins, y = rng.integers(0, 6, (90, 3)), rng.integers(0, 2, 90)
+    counts, weights = np.where(y == 1, 1 + 0j, 1j), (0.7, 1.9)
+    sums = FO._sums(bins, np.arange(90), np.zeros(90, np.int64), counts, np.array([[0, 1, 2]]))
+    f, b, left, right = FO._cuts(sums, weights)
+
+    def impurity(side):
+        pos, neg = (y[side] == 1).sum() * weights[1], (y[side] == 0).sum() * weights[0]
+        return (pos + neg) * (1 - (pos / (pos + neg)) ** 2 - (neg / (pos + neg)) ** 2)
+
+    every = {(j, c): impurity(bins[:, j] <= c) + impurity(bins[:, j] > c) for j in range(3) for c in range(5)}
+    assert math.isclose(every[f[0], b[0]], min(every.values()))
+    assert (left[0].real, right[0].imag) == ((y[bins[:, f[0]] <= b[0]] == 1).sum(), (y[bins[:, f[0]] > b[0]] == 0).sum())
+
+
+def test_forests_of_all_models_share_a_job(rows, monkeypatch):
+    named = rows.withColumn("y", F.col("target_label"))
+    taught = named.filter("row_id % 4 <> 0").withColumn("held", F.lit(0))
+    both = taught.unionByName(named.withColumn("held", F.lit(1)))
+    ready, _, _ = B.prepare_bins(taught, both, ["model"], COLS, ["model", "held", "row_id", "y"])
+    got = FO.scores(ready, ["model"], ["row_id", "y"], trees=20).orderBy("row_id").collect()
+    assert len(got) == 400
+    fresh = [r for r in got if r["row_id"] % 4 == 0]
+    assert np.mean([r["router_pred"] == r["y"] for r in fresh]) > 0.7
+    assert np.mean([r["router_pred"] == r["y"] for r in got if r["row_id"] % 4]) > 0.95
+    monkeypatch.setattr(FO, "TREES_PER_TASK", 3)
+    assert FO.scores(ready.repartition(7), ["model"], ["row_id", "y"], trees=20).orderBy("row_id").collect() == got
+
+
 # ---------------------------------------------------------------- components, quotas
 
 
