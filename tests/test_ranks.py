@@ -272,6 +272,25 @@ def test_small_side_is_broadcast_and_large_is_not(spark, monkeypatch):
     assert hinted.orderBy("id").collect() == plain.orderBy("id").collect()
 
 
+def test_a_small_side_is_worked_out_once(spark, tmp_path):
+    """Not for its size and again for the join, nor for each join that it is a part of."""
+    import time
+
+    from hedgewise import session
+
+    def marked(batches):
+        for batch in batches:
+            if batch.num_rows:
+                (tmp_path / f"{time.time_ns()}").touch()
+            yield batch
+
+    big = spark.range(1000).withColumn("k", F.col("id") % 10)
+    few = spark.range(10).coalesce(1).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).mapInArrow(marked, "k bigint, v bigint")
+    small = session.join_small(spark.range(10).withColumnRenamed("id", "k"), few, ["k"])
+    assert session.join_small(big, small, ["k"]).agg(F.sum("v")).first()[0] == 9000
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_weighted_correlation_without_spread_is_null(spark):
     flat = spark.createDataFrame([(1.0, 1.0, 2), (1.0, 3.0, 1), (1.0, 5.0, 4)], "x double, y double, w long")
     got = R.weighted_correlation(flat, "x", "y", "w").first()
