@@ -87,6 +87,19 @@ def test_logistic_fits_equal_newton_by_hand(rows, table):
     assert slopes < 1e-6
 
 
+def test_gradients_work_out_a_rows_slope_once(spark, tmp_path):
+    """The slope of a row is one number; its products with the features must not work it out again for each of them."""
+    rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0], 1.0, 2.0), (0, [0.5, 0.0, -1.0], 0.0, 1.0)], "k int, x array<double>, y double, w double")
+    fits = spark.createDataFrame([(0, [0.1, 0.2, 0.3, 0.4])], "k int, coefficients array<double>")
+    found = K.gradients(rows, fits, ["k"])
+    x, y, w, b = np.array([[1.0, 2, 3, 1], [0.5, 0, -1, 1]]), np.array([1.0, 0]), np.array([2.0, 1]), np.array([0.1, 0.2, 0.3, 0.4])
+    want = x.T @ (w * (1 / (1 + np.exp(-x @ b)) - y)) + b * [1, 1, 1, 0]
+    assert np.allclose([r["gradient"] for r in found.orderBy("position").collect()], want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    inner = [line for line in plan.splitlines() if "posexplode" in line]
+    assert inner and all("EXP" not in line.upper().split("TRANSFORM(CONCAT(")[1].split("LAMBDAFUNCTION(")[1].split(",")[0] for line in inner)
+
+
 def test_logistic_of_separable_rows_settles(spark):
     data = [(i, [float(i)], int(i > 5), 1.0) for i in range(12)]
     fit = K.fit_logistic(spark.createDataFrame(data, "k int, x array<double>, y int, w double").withColumn("k", F.lit(1)), ["k"]).first()
